@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -16,17 +18,27 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: (x.cast("double") / length).cast("float"))).otherwise(a)
+    def scaled(vector: Column) -> Column:
+        return bind(
+            norm(vector),
+            lambda length: F.transform(
+                vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x).cast("float")
+            ),
+        )
+
+    return bind(a, scaled)
 
 
 def hashed_words(text: Column, dims: int) -> Column:
     """Bag of words hashed into ``dims`` slots, counts damped by a square root, unit length. Placeholders are skipped."""
     words = F.filter(F.split(F.lower(text), r"<[a-z]+>|[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda slot: F.sqrt(F.size(F.filter(slots, lambda s: s == slot)).cast("double")),
+    counts = bind(
+        slots,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda slot: F.sqrt(F.size(F.filter(s, lambda one: one == slot)).cast("double")),
+        ),
     )
     return unit(counts)
 

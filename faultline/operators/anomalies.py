@@ -13,7 +13,7 @@ from faultline.operators import ordered
 from faultline.operators.joins import attach
 from faultline.schema import ANOMALIES, ERROR_LEVELS
 
-COLUMNS = ANOMALIES.fieldNames()
+COLUMNS = list(ANOMALIES)
 
 
 def is_error() -> Column:

@@ -8,25 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.config import Settings
+from faultline.functions import density
 from faultline.functions.text import first_chars
 from faultline.functions.vectors import hashed_embedder
 from faultline.operators import ordered, templates
 from faultline.operators.anomalies import is_error
 
-Embedder = Callable[[DataFrame], DataFrame]
-
+# the task code travels with the job, so executors need NumPy and pandas but not this package
+cloudpickle.register_pickle_by_value(density)
 
-def _similarities(embeddings: pd.Series) -> np.ndarray:
-    matrix = np.vstack(embeddings.to_numpy()).astype(np.float64)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(lengths > 0, lengths, 1.0)
-    return matrix @ matrix.T
+Embedder = Callable[[DataFrame], DataFrame]
 
 
 def _bounded(vectors: DataFrame, cfg: Settings) -> DataFrame:
@@ -35,84 +31,20 @@ def _bounded(vectors: DataFrame, cfg: Settings) -> DataFrame:
     return ordered.top(needed, ["log_id"], [F.col("ordinal")], cfg.encode_cap + 1)
 
 
-def _check(group: pd.DataFrame, cap: int) -> pd.DataFrame:
-    if len(group) > cap:
-        raise ValueError(f"log {group['log_id'].iloc[0]!r} has more than {cap} vectors; run templates.prioritise first")
-    return group.sort_values("ordinal", kind="stable").reset_index(drop=True)
-
-
 def edges(vectors: DataFrame, cfg: Settings) -> DataFrame:
     """Pairs of one log within cosine distance ``eps``, as ``log_id, a, b, distance`` with a < b."""
     cap, eps = cfg.encode_cap, cfg.eps
-
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        group = _check(group, cap)
-        distance = np.clip(1.0 - _similarities(group["embedding"]), 0.0, 2.0)
-        a, b = np.nonzero(np.triu(distance <= eps, k=1))
-        ordinals = group["ordinal"].to_numpy()
-        return pd.DataFrame(
-            {"log_id": group["log_id"].iloc[0], "a": ordinals[a], "b": ordinals[b], "distance": distance[a, b]}
-        )
-
     return _bounded(vectors, cfg).groupBy("log_id").applyInPandas(
-        near, "log_id string, a bigint, b bigint, distance double"
+        lambda group: density.near_pairs(group, cap, eps), "log_id string, a bigint, b bigint, distance double"
     )
 
 
-def density_labels(near: np.ndarray, min_samples: int) -> np.ndarray:
-    """Labels of density clustering from a symmetric neighbour matrix, numbered by lowest member; -1 is noise."""
-    size = len(near)
-    core = near.sum(axis=1) >= min_samples
-    labels = np.full(size, -1)
-    following = 0
-    for start in np.flatnonzero(core):
-        if labels[start] != -1:
-            continue
-        # grow one component over core points, a whole frontier at a time
-        member = np.zeros(size, dtype=bool)
-        member[start] = True
-        frontier = member.copy()
-        while frontier.any():
-            reached = near[frontier].any(axis=0) & core & ~member
-            member |= reached
-            frontier = reached
-        # border points go to the first component that reaches them
-        border = near[member].any(axis=0) & (labels == -1)
-        labels[border | member] = following
-        following += 1
-    return labels
-
-
 def label(vectors: DataFrame, cfg: Settings) -> DataFrame:
     """``log_id, ordinal, row, label, centrality``; a log with a single vector gets label 0."""
     cap, eps, min_samples = cfg.encode_cap, cfg.eps, cfg.min_cluster_size
-
-    def labelled(group: pd.DataFrame) -> pd.DataFrame:
-        group = _check(group, cap)
-        matrix = np.vstack(group["embedding"].to_numpy()).astype(np.float64)
-        if len(group) == 1:
-            labels = np.zeros(1, dtype=int)
-        else:
-            distance = np.clip(1.0 - _similarities(group["embedding"]), 0.0, 2.0)
-            labels = density_labels(distance <= eps, min_samples)
-        centrality = np.ones(len(group))
-        for found in np.unique(labels[labels >= 0]):
-            members = labels == found
-            centre = matrix[members].mean(axis=0)
-            length = np.linalg.norm(centre)
-            centrality[members] = matrix[members] @ (centre / (length if length > 0 else 1.0))
-        return pd.DataFrame(
-            {
-                "log_id": group["log_id"],
-                "ordinal": group["ordinal"],
-                "row": np.arange(len(group)),
-                "label": labels,
-                "centrality": centrality,
-            }
-        )
-
     return _bounded(vectors, cfg).groupBy("log_id").applyInPandas(
-        labelled, "log_id string, ordinal bigint, row bigint, label bigint, centrality double"
+        lambda group: density.labelled(group, cap, eps, min_samples),
+        "log_id string, ordinal bigint, row bigint, label bigint, centrality double",
     )
 
 
@@ -167,14 +99,21 @@ def _single_errors(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def error_clusters(entries: DataFrame, cfg: Settings, embed: Embedder | None = None) -> DataFrame:
+def error_clusters(
+    entries: DataFrame,
+    cfg: Settings,
+    embed: Embedder | None = None,
+    stage: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The ``max_clusters`` largest clusters of every log, in order (``pos`` from 1).
 
-    ``embed`` adds an ``embedding`` column to templates (``log_id, ordinal, template, message, ...``).
+    ``embed`` adds an ``embedding`` column to templates (``log_id, ordinal, template, message, ...``). ``stage`` writes
+    a named frame and reads it back; with it templates and cluster members, each read several times, are made once.
     """
     embed = embed or hashed_embedder(cfg.vector_dims)
+    stage = stage or (lambda name, frame: frame)
     keyed = templates.keyed_errors(entries)
-    found = templates.dedup(keyed, cfg)
+    found = stage("templates", templates.dedup(keyed, cfg))
     enough = found.groupBy("log_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= cfg.min_cluster_size)
     found = found.join(enough.select("log_id"), "log_id", "left_semi")
     kept = templates.prioritise(found, cfg)
@@ -195,7 +134,7 @@ def error_clusters(entries: DataFrame, cfg: Settings, embed: Embedder | None = N
         "log_id", "template", "ordinal", "message", "count", "first_seen", "last_seen", "critical",
         "cluster_id", "centrality", "stage", "emitted", "emitted_row",
     ]
-    members = assigned.select(*columns).unionByName(dropped.select(*columns))
+    members = stage("cluster_members", assigned.select(*columns).unionByName(dropped.select(*columns)))
     order = [F.col("count").desc(), F.col("stage"), F.col("emitted"), F.col("emitted_row")]
     position = F.row_number().over(Window.partitionBy("log_id").orderBy(*order))
     largest = rollup(members).withColumn("pos", position).filter(F.col("pos") <= cfg.max_clusters)

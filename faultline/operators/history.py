@@ -37,7 +37,7 @@ def entries_of(graded: DataFrame, anomalies: DataFrame, clusters: DataFrame, cfg
 
 def append(history: DataFrame, new: DataFrame, cfg: Settings) -> DataFrame:
     """The newest rows of both, newest first."""
-    columns = HISTORY.fieldNames()
+    columns = list(HISTORY)
     both = history.select(*columns).unionByName(new.select(*columns))
     return both.orderBy(F.col("ts").desc(), "id").limit(cfg.listing_rows)
 

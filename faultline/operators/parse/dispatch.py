@@ -14,9 +14,9 @@ from faultline.operators.joins import attach
 from faultline.operators.parse import tracebacks
 from faultline.operators.parse.custom import custom_format
 from faultline.operators.parse.forms import HEADER, SKIPPED, LogFormat, columns_of
-from faultline.schema import ENTRY_FIELDS, LOG_ENTRIES
+from faultline.schema import ENTRY_FIELDS, LOG_ENTRIES, LOG_LINES
 
-ENTRY_COLUMNS = LOG_ENTRIES.fieldNames()
+ENTRY_COLUMNS = list(LOG_ENTRIES)
 
 
 def _per_format(formats: list[LogFormat], expression) -> Column:
@@ -82,8 +82,8 @@ def parse_as(lines: DataFrame, log_format: str | LogFormat, cfg: Settings) -> Da
     """All lines parsed as one declared format, with ``is_entry`` and ``is_skipped``."""
     known = detect.KNOWN[log_format] if isinstance(log_format, str) else log_format
     if known.name == "python":
-        return _parsed_python(lines.select("log_id", "line_number", "raw_line"), cfg)
-    return parse_lines(lines.select("log_id", "line_number", "raw_line"), [known], cfg)
+        return _parsed_python(lines.select(*LOG_LINES), cfg)
+    return parse_lines(lines.select(*LOG_LINES), [known], cfg)
 
 
 def parse(
@@ -91,20 +91,26 @@ def parse(
     cfg: Settings,
     formats: DataFrame | None = None,
     custom: dict[str, str] | None = None,
+    present: set[str] | None = None,
 ) -> DataFrame:
     """Lines of all logs parsed by the format of their log, with ``is_entry`` and ``is_skipped``.
 
     ``formats`` (``log_id, format``) defaults to detection; it may name formats of ``custom`` (name -> pattern).
+    ``present`` names the formats that occur, when known; parsers of other formats then stay out of the plan.
     """
     if formats is None:
         formats = detect.formats(lines, cfg)
-    made = [custom_format(name, expression) for name, expression in (custom or {}).items()]
-    typed = attach(lines.select("log_id", "line_number", "raw_line"), formats.select("log_id", "format"), cfg)
-    straight = [f for name, f in detect.KNOWN.items() if name != "python"] + made
-    generic_last = [f for f in straight if f.name != "generic"] + [detect.KNOWN["generic"]]
+    typed = attach(lines.select(*LOG_LINES), formats.select("log_id", "format"), cfg)
+    known = detect.KNOWN | {name: custom_format(name, expression) for name, expression in (custom or {}).items()}
+    wanted = [f for name, f in known.items() if present is None or name in present]
+    straight = [f for f in wanted if f.name != "python"]
     is_python = F.col("format") == "python"
-    rest = parse_lines(typed.filter(~is_python), generic_last, cfg)
-    return rest.unionByName(_parsed_python(typed.filter(is_python).drop("format"), cfg))
+    parts = []
+    if straight:
+        parts.append(parse_lines(typed.filter(~is_python), straight, cfg))
+    if len(straight) < len(wanted) or not straight:
+        parts.append(_parsed_python(typed.filter(is_python).drop("format"), cfg))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def entries(parsed: DataFrame) -> DataFrame:

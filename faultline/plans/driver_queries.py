@@ -25,6 +25,7 @@ from faultline.operators import (
 )
 from faultline.operators.parse import custom, dispatch
 from faultline.plans import lanes, pipeline
+from faultline.plans.staging import Staging
 from faultline.sources import logs as log_source
 from faultline.sources import reports
 
@@ -309,6 +310,10 @@ def family_embedder(frame: DataFrame) -> DataFrame:
     return frame.withColumn("embedding", F.array(*axes))
 
 
+def _clusters(spark, entries: DataFrame, cfg: Settings, embed=family_embedder) -> DataFrame:
+    return clusters.error_clusters(entries, cfg, embed, Staging(spark).table)
+
+
 def _flat_clusters(found: DataFrame) -> DataFrame:
     return found.select(
         "log_id",
@@ -325,13 +330,13 @@ def _flat_clusters(found: DataFrame) -> DataFrame:
 
 
 def error_clusters(spark, folder):
-    return _flat_clusters(clusters.error_clusters(_entries(spark, folder), FOUR, family_embedder))
+    return _flat_clusters(_clusters(spark, _entries(spark, folder), FOUR))
 
 
 def error_clusters_capped(spark, folder):
     """Three compared templates and five clusters per log, the rest each on its own."""
     cfg = MANY.but(encode_cap=3, max_clusters=5)
-    return _flat_clusters(clusters.error_clusters(_entries(spark, folder, 100_000), cfg, family_embedder))
+    return _flat_clusters(_clusters(spark, _entries(spark, folder, 100_000), cfg))
 
 
 def singleton_clusters(spark, folder):
@@ -339,25 +344,25 @@ def singleton_clusters(spark, folder):
     entries = _entries(spark, folder, 100_000).withColumn(
         "log_id", F.concat_ws("/", "log_id", (F.col("line_number") % 8).cast("string"))
     )
-    return _flat_clusters(clusters.error_clusters(entries, MANY.but(min_cluster_size=3), family_embedder)).filter(
+    return _flat_clusters(_clusters(spark, entries, MANY.but(min_cluster_size=3))).filter(
         F.col("cluster_id") < 0
     )
 
 
 def default_embedding_clusters(spark, folder):
     """The built-in embedder, whose hashing has no SQL equivalent."""
-    return _flat_clusters(clusters.error_clusters(_entries(spark, folder), FOUR))
+    return _flat_clusters(_clusters(spark, _entries(spark, folder), FOUR, None))
 
 
 def cluster_search(spark, folder):
-    found = clusters.error_clusters(_entries(spark, folder), FOUR, family_embedder)
+    found = _clusters(spark, _entries(spark, folder), FOUR)
     return clusters.search(found, "svc-3", ("P1", "P2")).select(
         "log_id", "pos", clusters.p_level(F.col("severity")).alias("p_level")
     )
 
 
 def cluster_export(spark, folder):
-    found = clusters.error_clusters(_entries(spark, folder), FOUR, family_embedder)
+    found = _clusters(spark, _entries(spark, folder), FOUR)
     rows = reports.cluster_rows(found)
     return rows.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in rows.columns])
 
@@ -423,7 +428,9 @@ def root_cause_evidence(spark, folder):
 
 def _findings(spark, folder) -> tuple[DataFrame, Settings]:
     cfg = FOUR.but(reference_time=dt.datetime(2024, 2, 1))
-    results = pipeline.analyse_entries(_entries(spark, folder), cfg, embed=family_embedder)
+    results = pipeline.analyse_entries(
+        _entries(spark, folder), cfg, embed=family_embedder, staging=Staging(spark)
+    )
     return pipeline.findings(results, cfg), cfg
 
 

@@ -38,22 +38,39 @@ def analyse_entries(
     embed: Embedder | None = None,
     staging: Staging | None = None,
 ) -> Results:
-    """All result tables from entries. With ``staging`` the anomalies, which three tables read, are written once."""
-    found = anomalies.all_anomalies(entries, cfg)
-    if staging is not None:
-        found = staging.table("anomalies", found)
-    causes = root_causes.analyse(entries, logs)
+    """All result tables from entries. With ``staging`` each table is written once and what follows reads it back."""
+
+    def kept(name: str, frame: DataFrame) -> DataFrame:
+        return frame if staging is None else staging.table(name, frame)
+
+    found = kept("anomalies", anomalies.all_anomalies(entries, cfg))
+    causes = kept("root_causes", root_causes.analyse(entries, logs))
     totals = summary.log_summary(entries, cfg, lines, formats, skipped, logs)
     return Results(
         entries=entries,
-        summary=summary.grade(totals, found, causes),
+        summary=kept("summary", summary.grade(totals, found, causes)),
         anomalies=found,
-        error_clusters=clusters.error_clusters(entries, cfg, embed),
-        timeline=timeline.build(entries, found, cfg),
+        error_clusters=kept("error_clusters", clusters.error_clusters(entries, cfg, embed, staging and staging.table)),
+        timeline=kept("timeline", timeline.build(entries, found, cfg)),
         root_causes=causes,
     )
 
 
+def parse_once(
+    lines: DataFrame,
+    cfg: Settings,
+    staging: Staging,
+    formats: DataFrame | None = None,
+    custom: dict[str, str] | None = None,
+    logs: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Formats and parsed lines as staged tables. Only parsers of formats that occur become part of the plan."""
+    formats = staging.table("formats", detect.formats(lines, cfg, logs) if formats is None else formats)
+    # one row per distinct format name
+    present = {row.format for row in formats.select("format").distinct().collect()}
+    return formats, staging.table("parsed", dispatch.parse(lines, cfg, formats, custom, present))
+
+
 def analyse(
     lines: DataFrame,
     cfg: Settings,
@@ -65,23 +82,15 @@ def analyse(
 ) -> Results:
     """V8: raw lines of any number of logs to all result tables.
 
-    Every branch reads the entries. ``staging`` parses once and keeps the parsed lines as a table in the shared
-    folder; without it each branch parses for itself, which only suits small inputs.
+    Lines are parsed once and kept, like every result table, in the folder that ``spark.checkpoint.dir`` names.
     """
-    if formats is None:
-        formats = detect.formats(lines, cfg, logs)
-    if staging is not None:
-        formats = staging.table("formats", formats)
-    parsed = dispatch.parse(lines, cfg, formats, custom)
-    if staging is not None:
-        parsed = staging.table("parsed", parsed)
-    labelled = formats
+    staging = staging or Staging(lines.sparkSession)
+    formats, parsed = parse_once(lines, cfg, staging, formats, custom, logs)
     if "log_source" not in formats.columns:
         known = F.col("format").isin([f.name for f in detect.SNIFFED])
-        labelled = formats.withColumn("log_source", F.when(known, F.col("format")).otherwise("unknown"))
-    return analyse_entries(
-        dispatch.entries(parsed), cfg, lines, labelled, dispatch.skipped(parsed), logs, embed, staging
-    )
+        formats = formats.withColumn("log_source", F.when(known, F.col("format")).otherwise("unknown"))
+    entries, skipped = dispatch.entries(parsed), dispatch.skipped(parsed)
+    return analyse_entries(entries, cfg, lines, formats, skipped, logs, embed, staging)
 
 
 def findings(results: Results, cfg: Settings) -> DataFrame:

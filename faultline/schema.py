@@ -1,10 +1,8 @@
-"""Schemas of the tables that operators exchange."""
+"""Schemas of the tables that operators exchange, as column -> type."""
 
-from pyspark.sql import types as T
+LOG_LINES = {"log_id": "string", "line_number": "bigint", "raw_line": "string"}
 
-LOG_LINES = T.StructType.fromDDL("log_id STRING, line_number BIGINT, raw_line STRING")
-
-# Output columns of every parse, in order, with their types.
+# columns that every parse fills
 ENTRY_FIELDS = {
     "ts": "timestamp_ntz",
     "level": "string",
@@ -19,25 +17,46 @@ ENTRY_FIELDS = {
     "metadata": "map<string,string>",
 }
 
-LOG_ENTRIES = T.StructType.fromDDL(
-    "log_id STRING, line_number BIGINT, raw_line STRING, "
-    + ", ".join(f"{name} {kind}" for name, kind in ENTRY_FIELDS.items())
-)
+LOG_ENTRIES = LOG_LINES | ENTRY_FIELDS
 
-ANOMALIES = T.StructType.fromDDL(
-    "log_id STRING, ts TIMESTAMP_NTZ, anomaly_type STRING, severity STRING, description STRING, "
-    "affected_lines ARRAY<BIGINT>, z_score DOUBLE, baseline_value DOUBLE, observed_value DOUBLE"
-)
+ANOMALIES = {
+    "log_id": "string",
+    "ts": "timestamp_ntz",
+    "anomaly_type": "string",
+    "severity": "string",
+    "description": "string",
+    "affected_lines": "array<bigint>",
+    "z_score": "double",
+    "baseline_value": "double",
+    "observed_value": "double",
+}
 
-EVAL_CASES = T.StructType.fromDDL(
-    "id STRING, description STRING, log_text STRING, expected_log_source STRING, "
-    "expected_anomaly_types ARRAY<STRING>, expected_root_cause_category STRING, expected_severity STRING, "
-    "expected_min_clusters INT, expect_no_anomalies BOOLEAN"
-)
+EVAL_CASES = {
+    "id": "string",
+    "description": "string",
+    "log_text": "string",
+    "expected_log_source": "string",
+    "expected_anomaly_types": "array<string>",
+    "expected_root_cause_category": "string",
+    "expected_severity": "string",
+    "expected_min_clusters": "int",
+    "expect_no_anomalies": "boolean",
+}
 
-HISTORY = T.StructType.fromDDL(
-    "id STRING, ts TIMESTAMP_NTZ, title STRING, severity STRING, log_source STRING, total_lines BIGINT, "
-    "cluster_count BIGINT, anomaly_count BIGINT, bookmarked BOOLEAN"
-)
+HISTORY = {
+    "id": "string",
+    "ts": "timestamp_ntz",
+    "title": "string",
+    "severity": "string",
+    "log_source": "string",
+    "total_lines": "bigint",
+    "cluster_count": "bigint",
+    "anomaly_count": "bigint",
+    "bookmarked": "boolean",
+}
 
 ERROR_LEVELS = ("ERROR", "CRITICAL")
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import Settings
 from faultline.functions import times
-from faultline.schema import EVAL_CASES
+from faultline.schema import EVAL_CASES, ddl
 
 
 def with_report_id(documents: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def export_clusters(clusters: DataFrame, path: str) -> None:
 
 def eval_cases(spark: SparkSession, path: str, cfg: Settings) -> DataFrame:
     """The first cases of a JSON array file, in file order."""
-    cases = spark.read.schema(EVAL_CASES).json(path, multiLine=True)
+    cases = spark.read.schema(ddl(EVAL_CASES)).json(path, multiLine=True)
     return cases.withColumn("_n", F.monotonically_increasing_id()).orderBy("_n").limit(cfg.eval_rows).drop("_n")
 
 
