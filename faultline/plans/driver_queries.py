@@ -152,11 +152,14 @@ def level_distribution(spark, folder):
 # --- parsing -------------------------------------------------------------------------------------------------------
 
 
-def _parsed(kind: str, log_format, columns: list, cfg: Settings = PARSE) -> Query:
+def _parsed(kind: str, log_format: str, columns: Callable[[], list], cfg: Settings = PARSE) -> Query:
+    """``columns`` is called per run, as column expressions need a session."""
+
     def query(spark, folder):
         lines = lanes.lines(_events(spark, folder), kind)
-        parsed = dispatch.parse_as(lines, log_format, cfg)
-        return dispatch.entries(parsed).select("log_id", "line_number", "level", "message", *columns)
+        known = custom.custom_format("piped", lanes.CUSTOM_PATTERN) if log_format == "custom" else log_format
+        entries = dispatch.entries(dispatch.parse_as(lines, known, cfg))
+        return entries.select("log_id", "line_number", "level", "message", *columns())
 
     return query
 
@@ -165,24 +168,29 @@ def _meta(key: str) -> Column:
     return F.col("metadata")[key].alias(key)
 
 
+def _status() -> Column:
+    return F.col("status_code").cast("bigint").alias("status_code")
+
+
 PARSERS = {
     "parse_nginx_access": _parsed(
-        "nginx_access", "nginx", [_stamp("ts"), F.col("status_code").cast("bigint").alias("status_code"),
-                                  _six("response_time_ms"), _meta("path")]),
-    "parse_nginx_error": _parsed("nginx_error", "nginx", [_stamp("ts")]),
-    "parse_python_std": _parsed("python_std", "python", [_stamp("ts")]),
-    "parse_python_std_line": _parsed("python_std_line", "python", [_stamp("ts"), "service"]),
-    "parse_uvicorn": _parsed("uvicorn", "python", [F.col("status_code").cast("bigint").alias("status_code")]),
-    "parse_docker_rfc": _parsed("docker_rfc", "docker", [_stamp("ts"), _meta("stream")]),
-    "parse_docker_pipe": _parsed("docker_pipe", "docker", [_stamp("ts"), "service"]),
-    "parse_k8s_events": _parsed("k8s_event", "kubernetes", [_stamp("ts"), "service", _meta("reason"), _meta("type")]),
-    "parse_kubectl": _parsed("kubectl", "kubernetes", ["service"]),
-    "parse_syslog": _parsed("syslog", "systemd", [_stamp("ts"), "host", "service", _meta("pid")]),
-    "parse_priority": _parsed("priority", "systemd", []),
-    "parse_generic": _parsed("generic", "generic", [_stamp("ts")]),
-    "parse_custom": _parsed(
-        "custom", custom.custom_format("piped", lanes.CUSTOM_PATTERN), [_stamp("ts"), "service"]),
-}
+        "nginx_access", "nginx", lambda: [_stamp("ts"), _status(), _six("response_time_ms"), _meta("path")]
+    ),
+    "parse_nginx_error": _parsed("nginx_error", "nginx", lambda: [_stamp("ts")]),
+    "parse_python_std": _parsed("python_std", "python", lambda: [_stamp("ts")]),
+    "parse_python_std_line": _parsed("python_std_line", "python", lambda: [_stamp("ts"), "service"]),
+    "parse_uvicorn": _parsed("uvicorn", "python", lambda: [_status()]),
+    "parse_docker_rfc": _parsed("docker_rfc", "docker", lambda: [_stamp("ts"), _meta("stream")]),
+    "parse_docker_pipe": _parsed("docker_pipe", "docker", lambda: [_stamp("ts"), "service"]),
+    "parse_k8s_events": _parsed(
+        "k8s_event", "kubernetes", lambda: [_stamp("ts"), "service", _meta("reason"), _meta("type")]
+    ),
+    "parse_kubectl": _parsed("kubectl", "kubernetes", lambda: ["service"]),
+    "parse_syslog": _parsed("syslog", "systemd", lambda: [_stamp("ts"), "host", "service", _meta("pid")]),
+    "parse_priority": _parsed("priority", "systemd", lambda: []),
+    "parse_generic": _parsed("generic", "generic", lambda: [_stamp("ts")]),
+    "parse_custom": _parsed("custom", "custom", lambda: [_stamp("ts"), "service"]),
+}
 
 
 def traceback_merge(spark, folder):
