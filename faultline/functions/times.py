@@ -28,11 +28,22 @@ def shifted(ts: Column, seconds: Column) -> Column:
     return F.try_add(ts, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def as_instant(ts: Column) -> Column:
+    """TIMESTAMP_NTZ taken as UTC, as the TIMESTAMP that watermarks need."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch(), ts))
+
+
+def from_instant(instant: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch())
+
+
 def utc(text: Column, layout: str) -> Column:
     """Text with a zone offset, read by the built-in parser and given as TIMESTAMP_NTZ in UTC."""
-    instant = F.try_to_timestamp(text, F.lit(layout))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_add("SECOND", F.unix_seconds(instant), epoch)
+    return F.timestamp_add("SECOND", F.unix_seconds(F.try_to_timestamp(text, F.lit(layout))), epoch())
 
 
 def _month(name: Column) -> Column:

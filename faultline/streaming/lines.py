@@ -10,6 +10,7 @@ from faultline.operators import detect
 from faultline.operators.parse import dispatch
 from faultline.operators.parse.forms import LogFormat
 from faultline.operators.templates import keyed_errors
+from faultline.streaming.rates import timed
 
 
 def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -35,5 +36,5 @@ def parse(lines: DataFrame, log_format: str | LogFormat, cfg: Settings) -> DataF
 
 def first_seen_errors(entries: DataFrame, lateness: str) -> DataFrame:
     """The first error of every template per log, within the watermark."""
-    keyed = keyed_errors(entries.filter(F.col("ts").isNotNull()).withWatermark("ts", lateness))
-    return keyed.dropDuplicatesWithinWatermark(["log_id", "template"])
+    keyed = timed(keyed_errors(entries), lateness)
+    return keyed.dropDuplicatesWithinWatermark(["log_id", "template"]).drop("event_time")

@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.config import Settings
+from faultline.functions import times
 from faultline.operators.anomalies import is_error
 
 
+def timed(entries: DataFrame, lateness: str) -> DataFrame:
+    """Entries with a time, watermarked on it."""
+    with_time = entries.filter(F.col("ts").isNotNull()).withColumn("event_time", times.as_instant(F.col("ts")))
+    return with_time.withWatermark("event_time", lateness)
+
+
 def error_rates(entries: DataFrame, cfg: Settings, lateness: str) -> DataFrame:
     """Errors and total per finished window; entries later than ``lateness`` are left out."""
-    timed = entries.filter(F.col("ts").isNotNull()).withWatermark("ts", lateness)
-    counted = timed.groupBy("log_id", F.window("ts", cfg.window)).agg(
+    counted = timed(entries, lateness).groupBy("log_id", F.window("event_time", cfg.window)).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(is_error()).alias("errors")
     )
     return counted.select(
         "log_id",
-        F.col("window.start").alias("window_start"),
+        times.from_instant(F.col("window.start")).alias("window_start"),
         "total",
         "errors",
         (F.col("errors") / F.col("total")).alias("rate"),
@@ -80,8 +86,9 @@ class SpikeFlags:
 
 def silence_alarms(entries: DataFrame, gap_seconds: int, lateness: str) -> DataFrame:
     """The end of every burst of entries that was followed by at least ``gap_seconds`` of silence."""
-    timed = entries.filter(F.col("ts").isNotNull()).withWatermark("ts", lateness)
-    bursts = timed.groupBy("log_id", F.session_window("ts", f"{gap_seconds} seconds")).agg(
+    bursts = timed(entries, lateness).groupBy(
+        "log_id", F.session_window("event_time", f"{gap_seconds} seconds")
+    ).agg(
         F.min("ts").alias("active_from"), F.max("ts").alias("silent_since"), F.count(F.lit(1)).alias("entries")
     )
     return bursts.select("log_id", "active_from", "silent_since", "entries")
