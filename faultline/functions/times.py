@@ -14,6 +14,7 @@ from faultline.functions.text import bind, pattern
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 _DMY = pattern(r"^(\d{1,2})/(\w{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\s+(Z|[+-]\d\d:?[0-5]\d))?$")
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
 _YMD_DASH = pattern(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:\s+|[Tt])(\d{1,2}):(\d{1,2}):(\d{1,2}(?:\.\d{1,6})?)$")
 _YMD_SLASH = pattern(r"^(\d{4})/(\d{1,2})/(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$")
 _MON_D = pattern(r"^(\w{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$")
@@ -86,7 +87,7 @@ def year_month_day(text: Column) -> Column:
         second = F.when(F.instr(parts[5], ".") == 2, F.concat(F.lit("0"), parts[5])).otherwise(parts[5])
         return _joined(*parts[:5], F.when(F.length(second) == 1, F.concat(F.lit("0"), second)).otherwise(second))
 
-    return bind(text, parsed)
+    return F.when(text.rlike(_ISO), naive(text)).otherwise(bind(text, parsed))
 
 
 def slashed(text: Column) -> Column:
@@ -104,8 +105,8 @@ def month_day(text: Column, year: Column) -> Column:
         month, day, hour, minute, second = [F.regexp_extract(t, _MON_D, i) for i in range(1, 6)]
         return _joined(year, _month(month), day, hour, minute, F.lpad(second, 2, "0"))
 
-    dated = F.concat(year, F.lit(" "), text, F.lit(" +0000"))
-    return F.coalesce(utc(dated, "yyyy MMM dd HH:mm:ss Z"), bind(text, parsed))
+    dated = F.concat(year, F.lit(" "), F.replace(text, F.lit("  "), F.lit(" ")), F.lit(" +0000"))
+    return F.coalesce(utc(dated, "yyyy MMM d HH:mm:ss Z"), bind(text, parsed))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

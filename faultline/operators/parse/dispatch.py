@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from faultline.operators.parse.custom import custom_format
 from faultline.operators.parse.forms import HEADER, SKIPPED, LogFormat, columns_of
 from faultline.schema import ENTRY_FIELDS, LOG_ENTRIES, LOG_LINES
 
+Stage = Callable[[str, DataFrame], DataFrame]
+
 ENTRY_COLUMNS = list(LOG_ENTRIES)
 
 
@@ -60,8 +63,8 @@ def parse_lines(lines: DataFrame, formats: list[LogFormat], cfg: Settings) -> Da
     )
 
 
-def _parsed_python(lines: DataFrame, cfg: Settings) -> DataFrame:
-    assigned = tracebacks.assign(lines, cfg)
+def _parsed_python(lines: DataFrame, cfg: Settings, stage: Stage | None = None) -> DataFrame:
+    assigned = tracebacks.assign(lines, cfg, stage)
     single = parse_lines(tracebacks.singles(assigned), [detect.KNOWN["python"]], cfg)
     made = {"level": F.lit("ERROR"), "source": F.lit("python")}
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -78,11 +81,13 @@ def _parsed_python(lines: DataFrame, cfg: Settings) -> DataFrame:
     return single.unionByName(merged)
 
 
-def parse_as(lines: DataFrame, log_format: str | LogFormat, cfg: Settings) -> DataFrame:
+def parse_as(
+    lines: DataFrame, log_format: str | LogFormat, cfg: Settings, stage: Stage | None = None
+) -> DataFrame:
     """All lines parsed as one declared format, with ``is_entry`` and ``is_skipped``."""
     known = detect.KNOWN[log_format] if isinstance(log_format, str) else log_format
     if known.name == "python":
-        return _parsed_python(lines.select(*LOG_LINES), cfg)
+        return _parsed_python(lines.select(*LOG_LINES), cfg, stage)
     return parse_lines(lines.select(*LOG_LINES), [known], cfg)
 
 
@@ -92,6 +97,7 @@ def parse(
     formats: DataFrame | None = None,
     custom: dict[str, str] | None = None,
     present: set[str] | None = None,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Lines of all logs parsed by the format of their log, with ``is_entry`` and ``is_skipped``.
 
@@ -109,7 +115,7 @@ def parse(
     if straight:
         parts.append(parse_lines(typed.filter(~is_python), straight, cfg))
     if len(straight) < len(wanted) or not straight:
-        parts.append(_parsed_python(typed.filter(is_python).drop("format"), cfg))
+        parts.append(_parsed_python(typed.filter(is_python).drop("format"), cfg, stage))
     return reduce(DataFrame.unionByName, parts)
 
 

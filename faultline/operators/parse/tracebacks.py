@@ -8,6 +8,8 @@ block that was open on the line before, provided it looks like ``Name: text``; e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ def _flagged(lines: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def _carried(flagged: DataFrame) -> DataFrame:
-    """The header still open at the start of each chunk; chunks that start with none are left out."""
+def _open_chunks(flagged: DataFrame) -> DataFrame:
+    """Chunks that hold a header or start inside a block, with the header still open at their start."""
     line = F.col("line_number")
     chunks = flagged.groupBy("log_id", "chunk").agg(
         F.max(F.when(F.col("breaker"), line)).alias("last_breaker"),
@@ -41,22 +43,37 @@ def _carried(flagged: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("header"), line)).alias("headers"),
     )
     after_last = F.filter("headers", lambda h: h >= F.coalesce(F.col("last_breaker"), F.lit(0)))
-    chunks = chunks.select("log_id", "chunk", "last_breaker", F.array_min(after_last).alias("tail_header"))
+    chunks = chunks.select(
+        "log_id",
+        "chunk",
+        "last_breaker",
+        (F.size("headers") > 0).alias("has_header"),
+        F.array_min(after_last).alias("tail_header"),
+    )
     in_order = Window.partitionBy("log_id").orderBy("chunk")
     stretch = F.count("last_breaker").over(in_order)
     still_open = F.min("tail_header").over(Window.partitionBy("log_id", "stretch").orderBy("chunk"))
     return (
         chunks.withColumn("stretch", stretch)
         .withColumn("open", still_open)
-        .select("log_id", "chunk", F.lag("open").over(in_order).alias("carried"))
-        .filter(F.col("carried").isNotNull())
+        .select("log_id", "chunk", "has_header", F.lag("open").over(in_order).alias("carried"))
+        .filter(F.col("carried").isNotNull() | F.col("has_header"))
+        .drop("has_header")
     )
 
 
-def assign(lines: DataFrame, cfg: Settings) -> DataFrame:
-    """Adds ``block``: line number of the header a line belongs to, NULL for lines outside tracebacks."""
+def assign(lines: DataFrame, cfg: Settings, stage: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds ``block``: line number of the header a line belongs to, NULL for lines outside tracebacks.
+
+    Only chunks that touch a traceback are put in order. ``stage`` writes the table of those chunks, one short row
+    per chunk, and reads it back; with its size known Spark broadcasts it when it is small, and then the lines of all
+    other chunks are not shuffled at all.
+    """
     flagged = _flagged(lines, cfg)
-    marked = flagged.join(_carried(flagged), ["log_id", "chunk"], "left")
+    chunks = _open_chunks(flagged)
+    if stage is not None:
+        chunks = stage("traceback_chunks", chunks)
+    marked = flagged.join(chunks, ["log_id", "chunk"])
     in_order = Window.partitionBy("log_id", "chunk").orderBy("line_number")
     since_breaker = Window.partitionBy("log_id", "chunk", "stretch").orderBy("line_number")
     line = F.col("line_number")
@@ -70,12 +87,15 @@ def assign(lines: DataFrame, cfg: Settings) -> DataFrame:
         .when(F.col("header"), line)
         .when(F.col("closing"), F.col("open_before"))
     )
-    return (
+    columns = ["log_id", "line_number", "raw_line", "blank"]
+    touched = (
         marked.withColumn("stretch", F.count(F.when(F.col("breaker"), 1)).over(in_order))
         .withColumn("open", open_header)
         .withColumn("open_before", open_before)
-        .select("log_id", "line_number", "raw_line", "blank", block.alias("block"))
+        .select(*columns, block.alias("block"))
     )
+    others = flagged.join(chunks.select("log_id", "chunk"), ["log_id", "chunk"], "left_anti")
+    return touched.unionByName(others.select(*columns, F.lit(None).cast("bigint").alias("block")))
 
 
 def merged(assigned: DataFrame) -> DataFrame:

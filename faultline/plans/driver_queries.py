@@ -45,6 +45,11 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return lanes.table(spark, folder, "events")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that are about to be rendered as text lines."""
+    return lanes.spread(_events(spark, folder), "event_id")
+
+
 def _entries(spark: SparkSession, folder: str, logs: int = 4) -> DataFrame:
     return lanes.entries(_events(spark, folder), logs)
 
@@ -156,7 +161,7 @@ def _parsed(kind: str, log_format: str, columns: Callable[[], list], cfg: Settin
     """``columns`` is called per run, as column expressions need a session."""
 
     def query(spark, folder):
-        lines = lanes.lines(_events(spark, folder), kind)
+        lines = lanes.lines(_texts(spark, folder), kind)
         known = custom.custom_format("piped", lanes.CUSTOM_PATTERN) if log_format == "custom" else log_format
         entries = dispatch.entries(dispatch.parse_as(lines, known, cfg))
         return entries.select("log_id", "line_number", "level", "message", *columns())
@@ -195,12 +200,12 @@ PARSERS = {
 
 def traceback_merge(spark, folder):
     """P12 with chunks small enough that blocks cross their edges everywhere."""
-    parsed = dispatch.parse_as(lanes.traceback_lines(_events(spark, folder)), "python", PARSE.but(chunk_lines=50))
+    parsed = dispatch.parse_as(lanes.traceback_lines(_texts(spark, folder)), "python", PARSE.but(chunk_lines=50))
     return dispatch.entries(parsed).select("log_id", "line_number", "raw_line", "level", "message", "stack_trace")
 
 
 def _all_kinds(spark, folder) -> DataFrame:
-    events = _events(spark, folder)
+    events = _texts(spark, folder)
     out = lanes.mixed_lines(events)
     for kind in lanes.LINES:
         out = out.unionByName(lanes.lines(events, kind))
@@ -228,7 +233,7 @@ def detected_counts(spark, folder):
 
 
 def custom_confidence(spark, folder):
-    lines = lanes.lines(_events(spark, folder), "custom")
+    lines = lanes.lines(_texts(spark, folder), "custom")
     return custom.confidence(lines, lanes.CUSTOM_PATTERN).select("log_id", _six("confidence"))
 
 
@@ -594,7 +599,7 @@ def eval_summary(spark, folder):
 
 def analyse_access_logs(spark, folder):
     """V8 from raw access lines: detection, parsing, all result tables, severity."""
-    lines = lanes.lines(_events(spark, folder), "nginx_access")
+    lines = lanes.lines(_texts(spark, folder), "nginx_access")
     results = pipeline.analyse(lines, Settings(fleet=3, window="1 hour"))
     return results.summary.select(
         "log_id",

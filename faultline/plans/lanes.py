@@ -15,6 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table read in fewer tasks than there are cores are dealt out; larger tables stay as they are read.
+
+    Lanes make texts from numbers, so one small file would otherwise keep a single core busy.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _id() -> Column:
     return F.col("event_id")
 
@@ -221,7 +230,7 @@ def traceback_lines(events: DataFrame, logs: int = 2) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Lane C: every document as one raw log."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("log_id"), "text"
     )
 

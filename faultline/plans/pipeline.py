@@ -68,7 +68,7 @@ def parse_once(
     formats = staging.table("formats", detect.formats(lines, cfg, logs) if formats is None else formats)
     # one row per distinct format name
     present = {row.format for row in formats.select("format").distinct().collect()}
-    return formats, staging.table("parsed", dispatch.parse(lines, cfg, formats, custom, present))
+    return formats, staging.table("parsed", dispatch.parse(lines, cfg, formats, custom, present, staging.table))
 
 
 def analyse(
