@@ -36,22 +36,24 @@ def error_rates(entries: DataFrame, cfg: Settings) -> DataFrame:
     return counted.withColumn("rate", F.col("errors") / F.col("total"))
 
 
-def rate_stats(rates: DataFrame) -> DataFrame:
-    """A17 over windows: one row per log; ``spread`` is NULL for a constant series, which then never flags."""
-    constant = F.min("rate") == F.max("rate")
-    return rates.groupBy("log_id").agg(
-        F.avg("rate").alias("mean"),
-        F.when(~constant, F.stddev_pop("rate")).alias("spread"),
-        F.count(F.lit(1)).alias("windows"),
-        F.sum("total").alias("timed"),
-    )
-
-
 def rate_scores(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """Every window with its absolute z-score against all windows of its log."""
-    rates = error_rates(entries, cfg)
-    scored = attach(rates, rate_stats(rates), cfg)
-    return scored.withColumn("z", F.abs((F.col("rate") - F.col("mean")) / F.col("spread")))
+    """Every window with its number, and its absolute z-score against all windows of its log.
+
+    The frame windowed by log has one row per observed window, so a task's share is bounded by the time a log spans,
+    not by its entries. A constant series has no z-score and never flags.
+    """
+    per_log = Window.partitionBy("log_id")
+    spread = F.when(
+        F.min("rate").over(per_log) < F.max("rate").over(per_log), F.stddev_pop("rate").over(per_log)
+    )
+    return error_rates(entries, cfg).select(
+        "*",
+        F.row_number().over(per_log.orderBy("window_start")).alias("number"),
+        F.avg("rate").over(per_log).alias("mean"),
+        spread.alias("spread"),
+        F.count(F.lit(1)).over(per_log).alias("windows"),
+        F.sum("total").over(per_log).alias("timed"),
+    ).withColumn("z", F.abs((F.col("rate") - F.col("mean")) / F.col("spread")))
 
 
 def _line_numbers(flagged: DataFrame, entries: DataFrame, keys: list[str], cap: int) -> DataFrame:
@@ -125,10 +127,12 @@ def latency_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def gaps(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """Positive gaps between neighbouring times of a log, with the line numbers on both sides.
+def gap_chunks(entries: DataFrame, cfg: Settings) -> DataFrame:
+    """Positive gaps between neighbouring times, one row per log and time chunk.
 
-    Entries are first reduced to distinct times; neighbours are then found per (log, time chunk).
+    Entries are first reduced to distinct times. Gaps inside a chunk are summed up there, and only those longer than a
+    minute are kept one by one, of which a chunk has room for few. The gap between a chunk and the one before it
+    (``edge``) comes from their end points.
     """
     moments = (
         entries.filter(F.col("ts").isNotNull())
@@ -139,54 +143,84 @@ def gaps(entries: DataFrame, cfg: Settings) -> DataFrame:
             F.count(F.lit(1)).alias("timed"),
         )
     )
-    linked = ordered.with_previous(
-        moments, ["log_id"], "chunk", ["ts"], {"previous_ts": "ts", "line_before": "last_line"}
+    inside = Window.partitionBy("log_id", "chunk").orderBy("ts")
+    linked = moments.withColumn("previous_ts", F.lag("ts").over(inside)).withColumn(
+        "line_before", F.lag("last_line").over(inside)
     )
-    return linked.select(
-        "log_id",
-        "ts",
-        "line_before",
-        "line_after",
-        "timed",
-        times.seconds_between(F.col("ts"), F.col("previous_ts")).alias("gap"),
+    linked = linked.withColumn("gap", times.seconds_between(F.col("ts"), F.col("previous_ts")))
+    kept = F.when(F.col("gap") > 60, F.struct("ts", "line_before", "line_after", "gap"))
+    chunks = linked.groupBy("log_id", "chunk").agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min_by("line_after", "ts").alias("first_line"),
+        F.max_by("last_line", "ts").alias("last_line"),
+        F.sum("timed").alias("timed"),
+        F.count("gap").alias("n"),
+        F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("variance"),
+        F.min("gap").alias("shortest"),
+        F.max("gap").alias("longest"),
+        F.collect_list(kept).alias("long_gaps"),
+    )
+    in_order = Window.partitionBy("log_id").orderBy("chunk")
+    edge = F.struct(
+        F.col("first_ts").alias("ts"),
+        F.lag("last_line").over(in_order).alias("line_before"),
+        F.col("first_line").alias("line_after"),
+        times.seconds_between(F.col("first_ts"), F.lag("last_ts").over(in_order)).alias("gap"),
     )
+    return chunks.withColumn("edge", edge)
 
 
 def silence(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """N3."""
-    all_gaps = gaps(entries, cfg)
-    deviation = F.stddev_pop("gap")
-    stats = all_gaps.groupBy("log_id").agg(
-        F.avg("gap").alias("mean"),
-        F.when((F.min("gap") == F.max("gap")) | (deviation == 0), 1e-6).otherwise(deviation).alias("spread"),
-        F.count("gap").alias("n_gaps"),
-        F.sum("timed").alias("n_timed"),
-    )
-    enough = stats.filter((F.col("n_timed") >= 5) & (F.col("n_gaps") >= 3))
-    mean, spread, gap = F.col("mean"), F.col("spread"), F.col("gap")
-    long_gaps = attach(all_gaps.filter(gap > 60), enough, cfg).filter(gap > mean + 3 * spread)
+    """N3. Chunk figures are merged per log; the rows windowed by log are bounded by the time a log spans."""
+    per_log = Window.partitionBy("log_id")
+    edge_gap = F.col("edge.gap")
+    n = F.col("n") + F.when(edge_gap.isNotNull(), 1).otherwise(0)
+    total = F.col("n") * F.col("mean") + F.coalesce(edge_gap, F.lit(0.0))
+    merged = gap_chunks(entries, cfg).select(
+        "*",
+        F.sum(n).over(per_log).alias("n_gaps"),
+        F.sum("timed").over(per_log).alias("n_timed"),
+        F.try_divide(F.sum(total).over(per_log), F.sum(n).over(per_log)).alias("mu"),
+        F.min(F.least("shortest", edge_gap)).over(per_log).alias("least"),
+        F.max(F.greatest("longest", edge_gap)).over(per_log).alias("most"),
+    )
+    away = F.col("mean") - F.col("mu")
+    squares = F.col("n") * (F.col("variance") + away * away)
+    squares = squares + F.coalesce((edge_gap - F.col("mu")) * (edge_gap - F.col("mu")), F.lit(0.0))
+    deviation = F.sqrt(F.try_divide(F.sum(squares).over(per_log), F.col("n_gaps")))
+    merged = merged.withColumn(
+        "spread", F.when((F.col("least") == F.col("most")) | (deviation == 0), 1e-6).otherwise(deviation)
+    )
+    candidates = F.concat(
+        "long_gaps", F.when(edge_gap > 60, F.array("edge")).otherwise(F.slice(F.array("edge"), 1, 0))
+    )
+    mu, spread, gap = F.col("mu"), F.col("spread"), F.col("gap")
+    long_gaps = (
+        merged.filter((F.col("n_timed") >= 5) & (F.col("n_gaps") >= 3))
+        .select("log_id", "mu", "spread", F.inline(candidates))
+        .filter(gap > mu + 3 * spread)
+    )
     return long_gaps.select(
         "log_id",
         "ts",
         F.lit("silence").alias("anomaly_type"),
-        F.when(gap > mean + 5 * spread, "high").otherwise("medium").alias("severity"),
+        F.when(gap > mu + 5 * spread, "high").otherwise("medium").alias("severity"),
         F.format_string(
-            "Log silence gap %.0fs (baseline ~%.0fs, threshold %.0fs)", gap, mean, mean + 3 * spread
+            "Log silence gap %.0fs (baseline ~%.0fs, threshold %.0fs)", gap, mu, mu + 3 * spread
         ).alias("description"),
         F.array("line_before", "line_after").alias("affected_lines"),
-        ((gap - mean) / spread).alias("z_score"),
-        mean.alias("baseline_value"),
+        ((gap - mu) / spread).alias("z_score"),
+        mu.alias("baseline_value"),
         gap.alias("observed_value"),
     )
 
 
 def cascade_runs(entries: DataFrame, cfg: Settings) -> DataFrame:
     """Flagged windows that stand in runs of three or more neighbouring observed windows."""
-    day = F.date_trunc("day", "window_start").cast("date").alias("day")
-    scored = rate_scores(entries, cfg).select("*", day)
-    numbered = ordered.positions(scored, ["log_id"], "day", ["window_start"], "number")
     base = F.when(F.col("mean") == 0, 1e-6).otherwise(F.col("mean"))
-    flagged = numbered.withColumn("mean", base).filter(
+    flagged = rate_scores(entries, cfg).withColumn("mean", base).filter(
         (F.col("timed") >= 10)
         & (F.col("windows") >= 4)
         & (F.col("z") > cfg.z_threshold)

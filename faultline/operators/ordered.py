@@ -24,27 +24,6 @@ def positions(df: DataFrame, keys: list[str], bucket: str, order: list, name: st
     )
 
 
-def with_previous(
-    df: DataFrame, keys: list[str], bucket: str, order: list[str], values: dict[str, str]
-) -> DataFrame:
-    """Adds columns of the preceding row within the keys: ``values`` maps new names to existing columns."""
-    # a single order column keeps the aggregate on fixed-width buffers, and so on hash aggregation
-    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    lasts = df.groupBy(*keys, bucket).agg(*[F.max_by(c, by).alias(f"_last_{new}") for new, c in values.items()])
-    across = Window.partitionBy(*keys).orderBy(bucket)
-    carried = lasts.select(
-        *keys, bucket, *[F.lag(f"_last_{new}").over(across).alias(f"_carried_{new}") for new in values]
-    )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    out = df.join(carried, [*keys, bucket])
-    first = F.row_number().over(inside) == 1
-    for new, existing in values.items():
-        out = out.withColumn(
-            new, F.when(first, F.col(f"_carried_{new}")).otherwise(F.lag(existing).over(inside))
-        )
-    return out.drop(*[f"_carried_{new}" for new in values])
-
-
 def top(df: DataFrame, keys: list[str], order: list[Column], count: int) -> DataFrame:
     """The first ``count`` rows per key. Spark prunes to ``count`` rows per key in every task before it shuffles."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -14,6 +14,8 @@ from faultline.operators import ordered
 from faultline.operators.anomalies import is_error, order_keys
 
 EVENT = ["log_id", "ts", "event_type", "description", "severity", "related_entries"]
+# Fixed value: how many timed entries before an INFO entry may hold the error it recovers from.
+RECOVERY_REACH = 5
 # events of equal time keep the order in which they are emitted
 TIES = ["stage", "tie_1", "tie_2", "tie_3"]
 
@@ -102,8 +104,8 @@ def anomaly_events(anomalies: DataFrame, cfg: Settings) -> DataFrame:
 def recoveries(entries: DataFrame, cfg: Settings) -> DataFrame:
     """The first INFO entry of each log that has an error among the five timed entries before it.
 
-    Positions and the last error before each entry are found per (log, time chunk); offsets and the last error of
-    earlier chunks come from the one-row-per-chunk summary.
+    Each (log, time chunk) is put in order on its own and reduced to one row: its size, its last error, its first hit
+    and its first five entries. Errors of earlier chunks can only matter to those five.
     """
     timed = entries.filter(F.col("ts").isNotNull()).select(
         "log_id",
@@ -114,23 +116,26 @@ def recoveries(entries: DataFrame, cfg: Settings) -> DataFrame:
         (F.col("level") == "INFO").alias("info"),
     )
     inside = Window.partitionBy("log_id", "chunk").orderBy("ts", "line_number")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = timed.withColumn("local", F.row_number().over(inside))
-    numbered = numbered.withColumn("error_at", F.when(F.col("error"), F.col("local")))
-    numbered = numbered.withColumn("last_error", F.max("error_at").over(before))
+    numbered = timed.withColumn("place", F.row_number().over(inside))
+    numbered = numbered.withColumn("error_at", F.when(F.col("error"), F.col("place")))
+    last_error = F.max("error_at").over(inside.rowsBetween(-RECOVERY_REACH, -1))
+    numbered = numbered.withColumn("hit", F.col("info") & last_error.isNotNull())
+    entry = F.struct("ts", "line_number")
     chunks = numbered.groupBy("log_id", "chunk").agg(
-        F.max("local").alias("rows"), F.max("error_at").alias("last_error_at")
+        F.count(F.lit(1)).alias("size"),
+        F.max("error_at").alias("error_at"),
+        F.min(F.when(F.col("hit"), entry)).alias("own"),
+        F.collect_list(
+            F.when(F.col("info") & (F.col("place") <= RECOVERY_REACH), F.struct("place", "ts", "line_number"))
+        ).alias("head"),
     )
     earlier = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    chunks = chunks.withColumn("carried", F.max(F.col("offset") + F.col("last_error_at")).over(earlier))
-    joined = numbered.join(chunks.select("log_id", "chunk", "offset", "carried"), ["log_id", "chunk"])
-    distance = (F.col("offset") + F.col("local")) - F.coalesce(
-        F.col("offset") + F.col("last_error"), F.col("carried")
-    )
-    hits = joined.filter(F.col("info") & (distance <= 5))
-    first = hits.groupBy("log_id").agg(F.min(F.struct("ts", "line_number")).alias("first"))
-    return first.select("log_id", F.col("first.ts").alias("ts"), F.col("first.line_number").alias("line_number"))
+    chunks = chunks.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    chunks = chunks.withColumn("carried", F.max(F.col("before") + F.col("error_at")).over(earlier))
+    near = F.filter("head", lambda h: F.col("before") + h["place"] - F.col("carried") <= RECOVERY_REACH)
+    over_edge = F.array_min(F.transform(near, lambda h: F.struct(h["ts"].alias("ts"), h["line_number"].alias("line_number"))))
+    first = chunks.groupBy("log_id").agg(F.min(F.least("own", over_edge)).alias("first"))
+    return first.filter(F.col("first").isNotNull()).select("log_id", "first.ts", "first.line_number")
 
 
 def recovery_events(entries: DataFrame, cfg: Settings) -> DataFrame:

@@ -28,6 +28,8 @@ from faultline.plans import lanes, pipeline
 from faultline.plans.staging import Staging
 from faultline.sources import logs as log_source
 from faultline.sources import reports
+from faultline.streaming import lines as stream_lines
+from faultline.streaming import rates as stream_rates
 
 # the lane with four logs
 FOUR = Settings(fleet=4, window="1 hour")
@@ -614,6 +616,67 @@ def analyse_access_logs(spark, folder):
     )
 
 
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+def _events_stream(spark, folder) -> DataFrame:
+    schema = _events(spark, folder).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Everything a stream gives until its input is used up, read back from an append-only table."""
+    folder = Staging(spark).folder
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def stream_parse(spark, folder):
+    """X1 over rendered container lines."""
+    lines = lanes.lines(_events_stream(spark, folder), "docker_pipe")
+    parsed = _drained(spark, stream_lines.parse(lines, "docker", PARSE))
+    return parsed.select("log_id", "line_number", "level", "message", _stamp("ts"), "service")
+
+
+def stream_error_rates(spark, folder):
+    """The hours that the watermark has closed."""
+    rates = stream_rates.error_rates(lanes.entries(_events_stream(spark, folder)), FOUR, "2 hours")
+    return _drained(spark, rates).select("log_id", _stamp("window_start"), "total", "errors", _six("rate"))
+
+
+def stream_spike_flags(spark, folder):
+    """The same rates in two batches, the second flagged against the trailing three days of the first."""
+    rates = anomalies.error_rates(_entries(spark, folder), FOUR).select(
+        "log_id", "window_start", "total", "errors", "rate"
+    )
+    flags = stream_rates.SpikeFlags(spark, Staging(spark).folder, FOUR.but(z_threshold=1.5), "3 days")
+    split = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    flags(rates.filter(F.col("window_start") < split), 0)
+    flags(rates.filter(F.col("window_start") >= split), 1)
+    return flags.found(spark).select(
+        "log_id", _stamp("window_start"), _six("rate"), _six("mean"), "windows", _six("z_score")
+    )
+
+
+def stream_silence_alarms(spark, folder):
+    """Bursts of entries per log, one log per user, that six hours of silence have ended."""
+    bursts = stream_rates.silence_alarms(lanes.entries(_events_stream(spark, folder), 100_000), 6 * 3600, "1 hour")
+    return _drained(spark, bursts).select("log_id", _stamp("active_from"), _stamp("silent_since"), "entries")
+
+
+def stream_first_seen_errors(spark, folder):
+    """The templates met, each once per log."""
+    seen = stream_lines.first_seen_errors(lanes.entries(_events_stream(spark, folder)), "100 days")
+    return _drained(spark, seen.select("log_id", "template")).select("log_id", "template")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -626,6 +689,7 @@ QUERIES: dict[str, Query] = {
         recovery_points, timeline_build, timeline_volume, root_cause_ranking, root_cause_evidence, report_markdown,
         report_json, report_prompt, report_shape, report_continuations, severity_distribution, source_distribution,
         history_totals, daily_trend, average_severity, history_latest, history_search, service_metrics, eval_rows,
-        eval_summary, analyse_access_logs,
+        eval_summary, analyse_access_logs, stream_parse, stream_error_rates, stream_spike_flags, stream_silence_alarms,
+        stream_first_seen_errors,
     )
 } | PARSERS

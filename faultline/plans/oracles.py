@@ -609,6 +609,29 @@ HISTORY = {
   round(avg(false_positive::INT), 6) AS false_positive_rate, round(avg(ms), 6) AS avg_processing_time_ms FROM v""",
 }
 
+_LAST = "(SELECT max(ts) FROM events)"
+
+STREAMS = {
+    "stream_parse": PARSERS["parse_docker_pipe"],
+    "stream_error_rates": f"""{DETECTORS['error_rate_by_window']}
+  WHERE w + INTERVAL 1 HOUR <= {_LAST} - INTERVAL 2 HOUR""",
+    "stream_spike_flags": f"""WITH {_entries()}, {_rates('1 hour')},
+  o AS (SELECT log_id, min(w) AS oldest FROM r WHERE w >= TIMESTAMP '2024-01-20' GROUP BY 1),
+  b AS (SELECT log_id, avg(rate) AS mean, stddev_pop(rate) AS spread, count(*) AS windows FROM r JOIN o USING (log_id)
+    WHERE w < TIMESTAMP '2024-01-20' AND w >= oldest - INTERVAL 3 DAY GROUP BY 1 HAVING count(*) >= 3)
+  SELECT log_id, {_stamp('w', 'window_start')}, round(rate, 6) AS rate, round(mean, 6) AS mean, windows,
+    round((rate - mean) / spread, 6) AS z_score FROM r JOIN b USING (log_id)
+  WHERE w >= TIMESTAMP '2024-01-20' AND spread > 0 AND (rate - mean) / spread > 1.5 AND rate > 0""",
+    "stream_silence_alarms": f"""WITH {_entries(100_000)},
+  g AS (SELECT log_id, ts, CASE WHEN ts - lag(ts) OVER o >= INTERVAL 6 HOUR OR lag(ts) OVER o IS NULL THEN 1 ELSE 0 END AS fresh
+    FROM e WINDOW o AS (PARTITION BY log_id ORDER BY ts)),
+  s AS (SELECT log_id, ts, sum(fresh) OVER (PARTITION BY log_id ORDER BY ts) AS burst FROM g),
+  b AS (SELECT log_id, min(ts) AS active_from, max(ts) AS silent_since, count(*) AS entries FROM s GROUP BY log_id, burst)
+  SELECT log_id, {_stamp('active_from')}, {_stamp('silent_since')}, entries FROM b
+  WHERE b.silent_since + INTERVAL 6 HOUR <= {_LAST} - INTERVAL 1 HOUR""",
+    "stream_first_seen_errors": f"WITH {_entries()}, {_KEYED} SELECT DISTINCT log_id, template FROM k",
+}
+
 ORACLES: dict[str, str] = (
-    DETECTORS | SUMMARY | PARSERS | DETECTION | INGEST | CLUSTERS | TIMELINE | ROOT_CAUSES | REPORTS | HISTORY
+    DETECTORS | SUMMARY | PARSERS | DETECTION | INGEST | CLUSTERS | TIMELINE | ROOT_CAUSES | REPORTS | HISTORY | STREAMS
 )

@@ -83,6 +83,10 @@ class SpikeFlags:
         flagged.write.mode("overwrite").parquet(f"{self.flags}/batch={batch}")
         rates.write.mode("overwrite").parquet(f"{self.windows}/batch={batch}")
 
+    def found(self, spark: SparkSession) -> DataFrame:
+        """All windows flagged so far."""
+        return spark.read.option("basePath", self.flags).parquet(self.flags)
+
 
 def silence_alarms(entries: DataFrame, gap_seconds: int, lateness: str) -> DataFrame:
     """The end of every burst of entries that was followed by at least ``gap_seconds`` of silence."""
