@@ -59,7 +59,7 @@ class Settings:
     report_inline_rows: int = 10_000
 
     # size of the pieces in which one log is put in order, so that no task ever sorts a whole log
-    chunk_lines: int = 100_000
+    chunk_lines: int = 50_000
     time_chunk: str = "10 minutes"
 
     # number of logs, when the caller has counted them; enables broadcasting of one-row-per-log frames

@@ -61,11 +61,11 @@ NGINX_ERROR_LEVELS = {"ERROR": "ERROR", "CRIT": "ERROR", "WARN": "WARNING"}
 
 # --- message templates -------------------------------------------------------------------------------------------
 
-# applied to the lowered message in this order
+# applied to the lowered message in this order; dotless i and long s count as letters of the Latin alphabet there
 TEMPLATE_RULES = (
     (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<ID>"),
     (r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", "<IP>"),
-    (r"(?:/[A-Za-z0-9_.\-~]+)+|(?:[a-z]:\\(?:[^\\\s]+\\)*[^\\\s]+)", "<PATH>"),
+    (r"(?:/[A-Za-z0-9_.\-~ıſ]+)+|(?:[a-zıſ]:\\(?:[^\\\s]+\\)*[^\\\s]+)", "<PATH>"),
     (r"\b[0-9a-f]{32,64}\b", "<ID>"),
     (r"\d+", "<NUM>"),
     (r"\s+", " "),
@@ -96,14 +96,19 @@ RESOURCE_WORDS = ("oomkilled", "out of memory")
 # --- root-cause rules, in rule order -------------------------------------------------------------------------------
 
 DB_PORT = r":(5432|3306|27017)\b"
-MEMORY = r"memoryerror|oomkilled|cannot allocate memory|out of memory"
+MEMORY = ("memoryerror", "oomkilled", "cannot allocate memory", "out of memory")
 BAD_GATEWAY_WORD = r"\b50[234]\b"
 BAD_GATEWAY_ANYWHERE = r"50[234]"
-EXHAUSTION = r"no space left on device|too many open files|resource temporarily unavailable"
-CONFIGURATION = r"invalid configuration|environment variable not set|filenotfounderror.*\.(?:ya?ml|json|env)"
-CODE_ERROR = r"traceback|unhandled exception|assertionerror"
+EXHAUSTION = ("no space left on device", "too many open files", "resource temporarily unavailable")
+CONFIGURATION = ("invalid configuration", "environment variable not set")
+CONFIGURATION_FILE = r"filenotfounderror.*\.(?:ya?ml|json|env)"
+CODE_ERROR = ("traceback", "unhandled exception", "assertionerror")
 NETWORK = (
-    r"dns resolution failed|ssl certificate|certificate expired|tls handshake|connection reset by peer"
+    "dns resolution failed",
+    "ssl certificate",
+    "certificate expired",
+    "tls handshake",
+    "connection reset by peer",
 )
 
 DATABASE_EVIDENCE = (

@@ -6,73 +6,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
-from faultline.functions.text import pattern
+from faultline.functions.text import bind, contains_any, pattern
 from faultline.operators import ordered
 
+# rules that quote their matches
 QUOTED = {"memory": fixed.MEMORY, "resource_exhaustion": fixed.EXHAUSTION, "network": fixed.NETWORK}
 
 
-def _text() -> Column:
-    return F.lower(F.concat_ws("\n", "message", "stack_trace"))
+def _configuration_file(text: Column) -> Column:
+    return text.contains("filenotfounderror") & text.rlike(pattern(fixed.CONFIGURATION_FILE))
 
 
-def _message_matches(body: str) -> Column:
-    return F.coalesce(F.col("message").rlike(pattern(body, ignore_case=True)), F.lit(False))
+def _db_port(text: Column) -> Column:
+    return text.contains(":") & text.rlike(pattern(fixed.DB_PORT))
+
+
+def _gateway_status(text: Column) -> Column:
+    return text.contains("50") & text.rlike(pattern(fixed.BAD_GATEWAY_WORD))
+
+
+def _words(words):
+    return lambda text: contains_any(text, words)
+
+
+# signal -> test on lowered text; plain words are searched as bytes, patterns only run where their fixed part occurs
+SIGNALS = {
+    "refused": _words(("connection refused",)),
+    "db_port": _db_port,
+    "too_many": _words(("too many connections",)),
+    "password": _words(("password authentication failed",)),
+    "sqlalchemy": _words(("sqlalchemy",)),
+    "operational": _words(("operationalerror",)),
+    "no_server": _words(("could not connect to server",)),
+    "memory": _words(fixed.MEMORY),
+    "killed": _words(("killed",)),
+    "oom": _words(("oom",)),
+    "gateway_status": _gateway_status,
+    "upstream": _words(("upstream timed out", "bad gateway")),
+    "health_check": _words(("health check",)),
+    "fail": _words(("fail",)),
+    "exhaustion": _words(fixed.EXHAUSTION),
+    "misconfigured": lambda text: contains_any(text, fixed.CONFIGURATION) | _configuration_file(text),
+    "configuration": _words(("configuration error",)),
+    "code": _words(fixed.CODE_ERROR),
+    "network": _words(fixed.NETWORK),
+}
 
 
 def signals(entries: DataFrame) -> DataFrame:
     """Per log, whether each signal occurs anywhere, and the first time of each rule's own signal."""
-    text = F.col("text")
-    lowered = F.lower(F.coalesce("message", F.lit("")))
-    traced = F.coalesce(F.col("stack_trace") != "", F.lit(False))
-    flags = {
-        "refused": text.contains("connection refused"),
-        "db_port": text.rlike(pattern(fixed.DB_PORT)),
-        "too_many": text.contains("too many connections"),
-        "password": text.contains("password authentication failed"),
-        "sqlalchemy": text.contains("sqlalchemy"),
-        "operational": text.contains("operationalerror"),
-        "no_server": text.contains("could not connect to server"),
-        "memory": text.rlike(pattern(fixed.MEMORY)),
-        "killed": text.contains("killed"),
-        "oom": text.contains("oom"),
-        "gateway_status": text.rlike(pattern(fixed.BAD_GATEWAY_WORD)),
-        "upstream": text.contains("upstream timed out") | text.contains("bad gateway"),
-        "health_check": text.contains("health check"),
-        "fail": text.contains("fail"),
-        "exhaustion": text.rlike(pattern(fixed.EXHAUSTION)),
-        "configuration": text.rlike(pattern(fixed.CONFIGURATION)) | text.contains("configuration error"),
-        "traced": traced,
-        "code": text.rlike(pattern(fixed.CODE_ERROR)),
-        "network": text.rlike(pattern(fixed.NETWORK)),
-    }
+    lowered = entries.select(
+        "log_id",
+        "ts",
+        F.lower(F.coalesce("message", F.lit(""))).alias("text"),
+        F.lower("stack_trace").alias("trace"),
+    )
+    text, trace = F.col("text"), F.col("trace")
+    # no signal spans the line break between message and trace, so both are searched on their own
+    tested = lowered.select(
+        "log_id",
+        "ts",
+        F.coalesce(trace != "", F.lit(False)).alias("traced"),
+        text.contains("connection").alias("connection"),
+        text.rlike(fixed.BAD_GATEWAY_ANYWHERE).alias("gateway_digits"),
+        *[test(text).alias(f"m_{name}") for name, test in SIGNALS.items()],
+        *[
+            F.when(trace.isNotNull(), bind(trace, test)).otherwise(F.lit(False)).alias(f"t_{name}")
+            for name, test in SIGNALS.items()
+        ],
+    )
+    # what a message must show to be the first signal of a rule
     firsts = {
-        "database": lowered.contains("connection"),
-        "memory": _message_matches(fixed.MEMORY),
-        "dependency": _message_matches(fixed.BAD_GATEWAY_ANYWHERE),
-        "resource_exhaustion": _message_matches(fixed.EXHAUSTION),
-        "configuration": _message_matches(fixed.CONFIGURATION),
-        "code_error": traced,
-        "network": _message_matches(fixed.NETWORK),
+        "database": "connection",
+        "memory": "m_memory",
+        "dependency": "gateway_digits",
+        "resource_exhaustion": "m_exhaustion",
+        "configuration": "m_misconfigured",
+        "code_error": "traced",
+        "network": "m_network",
     }
-    rows = entries.select("log_id", "ts", "message", "stack_trace", _text().alias("text"))
-    return rows.groupBy("log_id").agg(
-        *[F.bool_or(flag).alias(name) for name, flag in flags.items()],
-        *[F.min(F.when(hit, F.col("ts"))).alias(f"first_{rule}") for rule, hit in firsts.items()],
+    return tested.groupBy("log_id").agg(
+        F.bool_or("traced").alias("traced"),
+        *[F.bool_or(F.col(f"m_{name}") | F.col(f"t_{name}")).alias(name) for name in SIGNALS],
+        *[F.min(F.when(F.col(hit), F.col("ts"))).alias(f"first_{rule}") for rule, hit in firsts.items()],
     )
 
 
 def quoted_evidence(entries: DataFrame, count: int = 3) -> DataFrame:
     """The first matches of each quoting rule in line and text order, per log."""
-    any_rule = pattern("|".join(QUOTED.values()))
-    rows = entries.select("log_id", "line_number", _text().alias("text")).filter(F.col("text").rlike(any_rule))
+    every_word = "|".join(word for words in QUOTED.values() for word in words)
+    lowered = F.lower(F.concat_ws("\n", "message", "stack_trace"))
+    rows = entries.select("log_id", "line_number", lowered.alias("text"))
+    rows = rows.filter(F.col("text").rlike(every_word))
     per_rule = F.array(
         *[
             F.struct(
                 F.lit(rule).alias("rule"),
-                F.slice(F.regexp_extract_all("text", F.lit(pattern(body)), F.lit(0)), 1, count).alias("matches"),
+                F.slice(F.regexp_extract_all("text", F.lit("|".join(words)), F.lit(0)), 1, count).alias("matches"),
             )
-            for rule, body in QUOTED.items()
+            for rule, words in QUOTED.items()
         ]
     )
     exploded = rows.select("log_id", "line_number", F.explode(per_rule).alias("r")).select(
@@ -127,7 +159,7 @@ def analyse(entries: DataFrame, logs: DataFrame | None = None) -> DataFrame:
         "memory": (has("memory") | has("killed", "oom"), F.lit("high"), memory),
         "dependency": (F.size(dependency) > 0, several["dependency"], dependency),
         "resource_exhaustion": (has("exhaustion"), F.lit("high"), F.col("quoted_resource_exhaustion")),
-        "configuration": (has("configuration"), F.lit("medium"), F.array(F.lit(fixed.CONFIGURATION_EVIDENCE))),
+        "configuration": (has("misconfigured") | has("configuration"), F.lit("medium"), F.array(F.lit(fixed.CONFIGURATION_EVIDENCE))),
         "code_error": (
             has("traced") | has("code"),
             F.when(has("traced"), "high").otherwise("medium"),

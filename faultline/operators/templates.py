@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
 from faultline.config import Settings
-from faultline.functions.text import contains_any, first_chars, pattern, strip
+from faultline.functions.text import bind, contains_any, first_chars, pattern, strip
 from faultline.operators import ordered
 from faultline.operators.anomalies import is_error
 
 
+# per template rule, a cheap test that it can apply at all; the last two rules are their own test
+POSSIBLE = (
+    lambda text: text.contains("-"),
+    lambda text: text.contains("."),
+    lambda text: text.contains("/") | text.contains("\\"),
+    lambda text: F.length(text) >= 32,
+    None,
+    None,
+)
+
+
+def _rule(body: str, mark: str, possible) -> Callable[[Column], Column]:
+    def apply(text: Column) -> Column:
+        replaced = F.regexp_replace(text, pattern(body), mark)
+        return replaced if possible is None else F.when(possible(text), replaced).otherwise(text)
+
+    return apply
+
+
 def normalise(message: Column) -> Column:
     """Volatile parts of a message replaced by placeholders."""
-    replaced = reduce(
-        lambda text, rule: F.regexp_replace(text, pattern(rule[0], ignore_case=True), rule[1]),
-        fixed.TEMPLATE_RULES,
-        F.lower(message),
-    )
-    return strip(replaced)
+    text = F.lower(message)
+    for (body, mark), possible in zip(fixed.TEMPLATE_RULES, POSSIBLE):
+        text = bind(text, _rule(body, mark, possible))
+    return strip(text)
 
 
 def keyed_errors(entries: DataFrame) -> DataFrame:

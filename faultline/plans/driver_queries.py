@@ -165,7 +165,7 @@ def _parsed(kind: str, log_format: str, columns: Callable[[], list], cfg: Settin
     def query(spark, folder):
         lines = lanes.lines(_texts(spark, folder), kind)
         known = custom.custom_format("piped", lanes.CUSTOM_PATTERN) if log_format == "custom" else log_format
-        entries = dispatch.entries(dispatch.parse_as(lines, known, cfg))
+        entries = dispatch.entries(dispatch.parse_as(lines, known, cfg, Staging(spark).table))
         return entries.select("log_id", "line_number", "level", "message", *columns())
 
     return query
@@ -202,7 +202,8 @@ PARSERS = {
 
 def traceback_merge(spark, folder):
     """P12 with chunks small enough that blocks cross their edges everywhere."""
-    parsed = dispatch.parse_as(lanes.traceback_lines(_texts(spark, folder)), "python", PARSE.but(chunk_lines=50))
+    lines = lanes.traceback_lines(_texts(spark, folder))
+    parsed = dispatch.parse_as(lines, "python", PARSE.but(chunk_lines=50), Staging(spark).table)
     return dispatch.entries(parsed).select("log_id", "line_number", "raw_line", "level", "message", "stack_trace")
 
 
@@ -225,7 +226,7 @@ def detect_format(spark, folder):
 
 def detected_counts(spark, folder):
     """Lines of all kinds parsed by their detected format; entries, skipped lines and errors per log."""
-    parsed = dispatch.parse(_all_kinds(spark, folder), PARSE)
+    _, parsed = pipeline.parse_once(_all_kinds(spark, folder), PARSE, Staging(spark))
     return parsed.groupBy("log_id").agg(
         F.count_if("is_entry").alias("parsed_lines"),
         F.count_if("is_skipped").alias("skipped_lines"),
