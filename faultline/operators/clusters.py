@@ -113,7 +113,7 @@ def error_clusters(
     embed = embed or hashed_embedder(cfg.vector_dims)
     stage = stage or (lambda name, frame: frame)
     keyed = templates.keyed_errors(entries)
-    found = stage("templates", templates.dedup(keyed, cfg))
+    found = stage("templates", templates.dedup(keyed, cfg, stage))
     enough = found.groupBy("log_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= cfg.min_cluster_size)
     found = found.join(enough.select("log_id"), "log_id", "left_semi")
     kept = templates.prioritise(found, cfg)

@@ -55,8 +55,14 @@ def keyed_errors(entries: DataFrame) -> DataFrame:
     )
 
 
-def dedup(keyed: DataFrame, cfg: Settings) -> DataFrame:
-    """One row per log and template, with its first message; ``ordinal`` counts first appearances from 0."""
+def dedup(
+    keyed: DataFrame, cfg: Settings, stage: Callable[[str, DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """One row per log and template, with its first message; ``ordinal`` counts first appearances from 0.
+
+    Numbering reads the grouped templates twice; ``stage`` writes them once in between, so that messages are
+    normalised only once.
+    """
     grouped = keyed.groupBy("log_id", "template").agg(
         F.min(F.struct("line_number", "message")).alias("first"),
         F.count(F.lit(1)).alias("count"),
@@ -74,6 +80,8 @@ def dedup(keyed: DataFrame, cfg: Settings) -> DataFrame:
         "last_seen",
         "critical",
     ).withColumn("chunk", F.floor(F.col("first_line") / cfg.chunk_lines))
+    if stage is not None:
+        flat = stage("template_counts", flat)
     numbered = ordered.positions(flat, ["log_id"], "chunk", ["first_line"], "ordinal")
     return numbered.withColumn("ordinal", F.col("ordinal") - 1).drop("chunk")
 

@@ -37,3 +37,27 @@ def test_no_collecting_in_operators():
     for path in (ROOT / "faultline" / "operators").rglob("*.py"):
         text = path.read_text()
         assert ".collect()" not in text and "toPandas" not in text and ".rdd" not in text, path
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_what_they_need(spark):
+    plan = _plan(driver.queries()["error_rate_by_window"](spark, FOLDER))
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
+    assert "PushedFilters: [IsNotNull(ts)]" in plan
+
+
+def test_first_n_lists_are_pruned_before_the_shuffle(spark):
+    for name in ("top_error_messages", "first_errors", "error_spikes"):
+        plan = _plan(driver.queries()[name](spark, FOLDER))
+        assert name == "first_errors" or "WindowGroupLimit" in plan
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_python_in_parsing_and_detectors(spark):
+    for name in ("parse_nginx_access", "parse_custom", "traceback_merge", "all_anomalies", "root_cause_ranking"):
+        plan = _plan(driver.queries()[name](spark, FOLDER))
+        for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsIn", "MapIn"):
+            assert node not in plan, name
