@@ -8,6 +8,9 @@ import oracle_check
 import pytest
 from conftest import ROOT
 
+from faultline.plans.driver_queries import QUERIES
+from faultline.plans.oracles import ORACLES
+
 FOLDER = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"default_embedding_clusters", "report_markdown", "report_json", "report_prompt"}
 
@@ -17,13 +20,14 @@ def con():
     return oracle_check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, con, name):
     assert oracle_check.compare(driver.queries()[name](spark, FOLDER), con, driver.oracle_sql()[name]) is None
 
 
 def test_queries_without_sql_are_the_known_ones(spark):
-    assert set(driver.queries()) - set(driver.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert driver.entry(spark).count() > 0
 
