@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once per task and looked up after that."""
+"""Token ids of whole texts by the tokenizers library, common words encoded once per worker and looked up after that."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import os
 
 import numpy as np
 
-#: Entries after which a task empties its word cache, to bound memory.
+#: Entries after which a worker's word cache takes no more, and the share of words it may then lack before it is emptied.
 CACHE_WORDS = 600_000
+STALE = 0.25
 #: Longer words are encoded each time.
 CACHED_WORD_BYTES = 64
+#: ASCII punctuation: a run of it after letters is one unit. How many such runs are remembered.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHED_TAILS = 5_000
 #: Words encoded in one call.
 WORDS_A_CALL = 2_000
 
@@ -18,9 +22,9 @@ class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to those of the whole text in one call.
 
     White space separates the vocabulary's units and is dropped, so a text's ids are those of its ASCII-space separated
-    words one after the other. Plain lower-case letters (below U+0250) are one unit each; they go to the library many at
-    a time, without the steps that leave them as they are, and are told apart by the end-of-word tokens. All other words
-    go through the whole pipeline one by one.
+    words one after the other. Letters (below U+0250) are one unit each, as is punctuation after them; in lower case
+    they go to the library many at a time, without the steps that leave them as they are, and are told apart by the
+    end-of-word tokens. All other words go through the whole pipeline one by one.
     """
 
     def __init__(self, path: str):
@@ -41,7 +45,7 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.last[number] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
-        self.tails = {mark: self.ids([mark])[0] for mark in ".,"} | {"": b""}
+        self.tails = {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
@@ -56,38 +60,58 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    def learn(self, new: set[bytes]) -> None:
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        plain: dict[str, list[tuple[bytes, str]]] = {}
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks."""
+        found: dict[bytes, bytes] = {}
+        plain: dict[str, list[tuple[bytes, bytes]]] = {}
         other: list[bytes] = []
+        known, tails = self.cache.get, self.tails
         for word in new:
+            if len(word) > CACHED_WORD_BYTES:
+                other.append(word)
+                continue
             text = word.decode(errors="replace")
-            core, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            core = text.rstrip(MARKS)
+            tail = text[len(core) :]
+            end = tails.get(tail)
+            if end is None:
+                end = self.ids([tail])[0]
+                if len(tails) < CACHED_TAILS:
+                    tails[tail] = end
             if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-                plain.setdefault(core.lower(), []).append((word, tail))
+                low = core.lower()
+                ids = known(low.encode())
+                if ids is None:
+                    plain.setdefault(low, []).append((word, end))
+                else:
+                    found[word] = ids + end
             else:
                 other.append(word)
         for ids, uses in zip(self.plain_ids(list(plain)), plain.values(), strict=True):
-            for word, tail in uses:
-                self.cache[word] = ids + self.tails[tail]
-        self.cache.update(zip(other, self.ids([w.decode(errors="replace") for w in other]), strict=True))
+            for word, end in uses:
+                found[word] = ids + end
+        found.update(zip(other, self.ids([w.decode(errors="replace") for w in other]), strict=True))
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        get = self.cache.get
         split = [text.split() for text in texts]
-        words = {w for w in set().union(*split) if len(w) <= CACHED_WORD_BYTES}
-        new = words.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            new = words
-        self.learn(new)
-        get, cache = self.cache.__getitem__, self.cache
-        out = []
-        for own in split:
-            try:
-                out.append(b"".join(map(get, own)))
-            except KeyError:
-                out.append(b"".join([cache.get(w) or self.ids([w.decode(errors="replace")])[0] for w in own]))
-        return out
+        parts = [list(map(get, own)) for own in split]
+        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in parts]
+        new = {own[i] for own, at in zip(split, gaps, strict=True) for i in at}
+        found = self.learn(new)
+        for own, ids, at in zip(split, parts, gaps, strict=True):
+            for i in at:
+                ids[i] = found[own[i]]
+        self.remember(found, sum(map(len, gaps)), sum(map(len, split)))
+        return [b"".join(ids) for ids in parts]
+
+    def remember(self, found: dict[bytes, bytes], misses: int, words: int) -> None:
+        """Keeps new words until the cache is full; a full one starts anew when it has stopped to fit the texts."""
+        if len(self.cache) >= CACHE_WORDS and misses > STALE * words:
+            self.cache.clear()
+        if len(self.cache) < CACHE_WORDS:
+            self.cache.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_WORD_BYTES)
 
 
 def encoder(path: str) -> WordEncoder:
