@@ -183,7 +183,8 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.table("groups", groups(docs, scratch))
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     stays = scratch.table("stays", stays).withColumnRenamed("doc_id", "near_id")
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("near_id")))
+    # one plan at every size: the table of ids grows with the corpus
+    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("near_id")))
     order = Window.partitionBy("near_id").orderBy(F.xxhash64("text"))
     one = kept.withColumn("near_rank", F.when(F.col("near_id").isNotNull(), F.row_number().over(order)))
     return one.where("near_rank IS NULL OR near_rank = 1").drop("near_id", "near_rank")
