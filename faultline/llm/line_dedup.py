@@ -54,8 +54,8 @@ def remove(docs: DataFrame, site: Column, min_sites: int, scratch: Scratch) -> D
     own; a null text stays null, with no lines. Null doc_ids come last. Rows that share a doc_id lose the lines whose
     place in any of them is a repeat of the same line, so equal rows are cut alike; a column n_chars is set
     to the new length where lines went. Other columns stay, but ``n_lines``, ``n_removed`` and names that begin with
-    ``line_`` are taken. Texts are not shuffled unless the table of removals is too large for Spark to broadcast. A line
-    on a third of all rows is pre-aggregated in each task; its removals are spread over its documents.
+    ``line_`` are taken. Texts meet their removals by doc_id in one shuffle, at every size, as the removals grow with
+    the corpus. A line on a third of all rows is pre-aggregated in each task; its removals are spread over its documents.
     """
     found = scratch.table("lines", lines(docs, site))
     wide = widespread(found, min_sites, scratch)
@@ -69,7 +69,7 @@ def remove(docs: DataFrame, site: Column, min_sites: int, scratch: Scratch) -> D
     listed = F.transform(own, lambda line, i: F.struct(i.alias("place"), F.xxhash64(stripped(line)).alias("key")))
     gone = F.array_intersect(listed, "line_gone")
     left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("line_gone.place"))
-    out = docs.drop("n_lines", "n_removed").join(removals, F.col("doc_id").eqNullSafe(F.col("line_doc")), "left")
+    out = docs.drop("n_lines", "n_removed").join(removals.hint("merge"), F.col("doc_id").eqNullSafe(F.col("line_doc")), "left")
     # rows that share a doc_id may hold other lines at a place: only those that are the same line go
     out = out.withColumn("line_gone", F.when(F.col("line_gone").isNotNull() & F.col("text").isNotNull(), gone))
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(own)), F.lit(0)))
