@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import steps
 
 #: Training: rows taken on each side (those with the smallest hash of doc_id), and the longest text.
-POSITIVES = 2_000
-UNLABELLED = 6_000
+POSITIVES = 1_500
+UNLABELLED = 4_500
 TRAIN_CHARS = 50_000
 #: Bytes of a word's beginning that are features besides the word.
 STEMS = (4, 5, 6)
@@ -40,6 +40,10 @@ def of_word(word: bytes) -> list[bytes]:
     return [b"=" + word, *[word[:n] for n in STEMS if len(word) >= n]]
 
 
+def features_of(text: bytes, known: dict[bytes, float]) -> set[bytes]:
+    return {f for word in words_of(text) for f in of_word(word) if f in known}
+
+
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[dict[bytes, float], float]:
     """Weights by feature and a bias, with the least class-prior-corrected risk.
 
@@ -47,15 +51,20 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[d
     loss. Where the second term falls below zero the step goes up its gradient instead, which keeps it from overfitting.
     A text's features are the distinct words and word beginnings in it.
     """
-    sets = [set().union(*map(of_word, words_of(t))) if t else set() for t in (*positive, *unlabelled)]
     n = len(positive)
     if not n or not unlabelled:
         return {}, -10.0
-    with_p, with_u = Counter(f for s in sets[:n] for f in s), Counter(f for s in sets[n:] for f in s)
-    ratio = {f: (c / n) / ((with_u[f] + 1) / len(unlabelled)) for f, c in with_p.items() if c >= max(LEAST_DOCS, LEAST_SHARE * n)}
-    chosen = sorted((f for f, r in ratio.items() if r >= LEAST_RATIO), key=lambda f: (-with_p[f] * np.log(ratio[f]), f))[:FEATURES]
+    with_p: Counter[bytes] = Counter()
+    for text in positive:
+        with_p.update(set().union(*map(of_word, words_of(text))))
+    frequent = {f: c for f, c in with_p.items() if c >= max(LEAST_DOCS, LEAST_SHARE * n)}
+    del with_p  # nearly all features are rare: only frequent ones are counted in the other texts
+    held = [features_of(t, frequent) for t in (*positive, *unlabelled)]
+    with_u = Counter(f for s in held[n:] for f in s)
+    ratio = {f: (c / n) / ((with_u[f] + 1) / len(unlabelled)) for f, c in frequent.items()}
+    chosen = sorted((f for f, r in ratio.items() if r >= LEAST_RATIO), key=lambda f: (-frequent[f] * np.log(ratio[f]), f))[:FEATURES]
     at = {f: i for i, f in enumerate(chosen)}
-    own = [[at[f] for f in s if f in at] for s in sets]
+    own = [sorted(at[f] for f in s if f in at) for s in held]
     row = np.repeat(np.arange(len(own)), list(map(len, own)))
     col = np.array([i for x in own for i in x], np.int64)
     w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
