@@ -29,7 +29,7 @@ ROWS_IN_ALL = 4_000
 TRAIN_CHARS = 50_000
 #: Hashed byte trigrams, documents whose histograms are held at once, weight of the squared norm, gradient steps.
 SLOTS = 4_096
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 128
 NORM = 1e-4
 STEPS = 150
 

@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(vocabulary), end_id.to_bytes(4, "little")
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, encoding=True):
             rows: list[tuple] = []
             for doc, body in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):
                 ids = body + end

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +17,7 @@ from faultline.plans.staging import Staging
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of Python code looks at; a longer single text makes a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: Most rows of a side that may be asked to be broadcast; its rows are a few numbers or a short key each.
 BROADCAST_ROWS = 100_000
 
@@ -48,8 +50,18 @@ def small(frame: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about STEP_BYTES of text each, and their texts as UTF-8 (null: empty)."""
+def worker_state() -> dict:
+    """What this Python worker keeps between tasks."""
+    return sys.modules.setdefault("faultline_worker_state", ModuleType("faultline_worker_state")).__dict__
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", encoding: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about STEP_BYTES of text each, and their texts as UTF-8 (null: empty).
+
+    Workers outlive tasks, so the token encoders are let go here, unless this task is ``encoding`` itself.
+    """
+    if not encoding:
+        worker_state().pop("encoders", None)
     for batch in batches:
         if batch.num_rows == 0:
             continue

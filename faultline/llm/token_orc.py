@@ -27,7 +27,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, stripe_bytes
 
         words, end = encoder(vocabulary), end_id.to_bytes(4, "little")
         shard, place, start = TaskContext.get().partitionId(), 0, 0
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, encoding=True):
             bodies = [body + end for body in words.encode(texts)]
             counts = np.array([len(b) // 4 for b in bodies], np.int64)
             ends = np.cumsum(counts)

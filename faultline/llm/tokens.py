@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from faultline.llm.shared import worker_state
+
 #: Entries after which a worker's word cache takes no more, and the share of words it may then lack before it is emptied.
 CACHE_WORDS = 600_000
 STALE = 0.25
@@ -116,10 +118,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker, which outlives a task."""
-    import sys
-    from types import ModuleType
-
-    held = sys.modules.setdefault("faultline_worker_state", ModuleType("faultline_worker_state"))
-    if path not in (encoders := held.__dict__.setdefault("encoders", {})):
+    encoders = worker_state().setdefault("encoders", {})
+    if path not in encoders:
         encoders[path] = WordEncoder(path)
     return encoders[path]
