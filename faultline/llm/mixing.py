@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import Scratch, small, text_of, word_count
+from faultline.llm.shared import Scratch, fresh, small, text_of, word_count
 
 #: Bits of the document hash, and how many of them one histogram resolves.
 HASH_BITS = 60
@@ -56,7 +56,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...], share: float, most: fl
         .withColumn("base", base.cast("long"))
         .withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")),
     )
-    open_, found = wanted.where("source_size > 0").select("source", "rest", F.lit(0).cast("long").alias("prefix")), None
+    open_, found = wanted.where("source_size > 0 AND rest > 0").select("source", "rest", F.lit(0).cast("long").alias("prefix")), None
     for level, shift in enumerate(range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS)):
         inside = F.shiftright("place", shift + LEVEL_BITS) == F.col("prefix")
         near = small(open_.withColumnRenamed("source", "of"))
@@ -96,16 +96,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, s
     return rows, scratch.table("thresholds", thresholds(rows, weights, share, most, scratch))
 
 
-def times(cutoffs: DataFrame, rows: DataFrame, place: Column) -> DataFrame:
-    """``rows`` with the columns of their source's threshold, and how often each is taken (``mix_times``)."""
-    sources = small(cutoffs.select(*[F.col(c).alias(f"mix_{c}") for c in cutoffs.columns]))
-    return rows.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn(
-        "mix_times", F.col("mix_base") + (place < F.col("mix_cutoff")).cast("long")
+def times(cutoffs: DataFrame, rows: DataFrame, place: Column, mix: str = "mix_") -> DataFrame:
+    """``rows`` with the columns of their source's threshold, and how often each is taken (``mix_times``, by that prefix)."""
+    sources = small(cutoffs.select(*[F.col(c).alias(f"{mix}{c}") for c in cutoffs.columns]))
+    return rows.join(sources, F.col("source").eqNullSafe(F.col(f"{mix}source"))).withColumn(
+        f"{mix}times", F.col(f"{mix}base") + (place < F.col(f"{mix}cutoff")).cast("long")
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, scratch: Scratch) -> DataFrame:
     """``docs`` with each row as often as it is taken, its columns unchanged."""
     _, cutoffs = plan(docs, weights, share, most, scratch)
-    taken = times(cutoffs, docs, place(F.col("doc_id"))).where("mix_times > 0")
-    return taken.withColumn("mix_times", F.explode(F.sequence(F.lit(1).cast("long"), "mix_times"))).select(*[taken[c] for c in docs.columns])
+    prefix = fresh(docs, "mix_")
+    count = f"{prefix}times"
+    taken = times(cutoffs, docs, place(F.col("doc_id")), prefix).where(F.col(count) > 0)
+    return taken.withColumn(count, F.explode(F.sequence(F.lit(1).cast("long"), count))).select(*[taken[c] for c in docs.columns])
