@@ -18,10 +18,10 @@ UNLABELLED = 4_500
 TRAIN_CHARS = 50_000
 #: Bytes of a word's beginning that are features besides the word.
 STEMS = (4, 5, 6)
-#: A feature counts if it is in this many and this share of the positives, and this many times as frequent there as in
+#: A feature counts if it is in this many and this share of the distinct positives, and this many times as frequent there as in
 #: unlabelled texts. Among unlabelled texts are toxic ones, so no ratio is much above one over the prior.
-LEAST_DOCS = 3
-LEAST_SHARE = 0.01
+LEAST_DOCS = 6
+LEAST_SHARE = 0.02
 LEAST_RATIO = 3.0
 FEATURES = 20_000
 ROUNDS = 300
@@ -51,6 +51,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[d
     loss. Where the second term falls below zero the step goes up its gradient instead, which keeps it from overfitting.
     A text's features are the distinct words and word beginnings in it.
     """
+    positive = list(dict.fromkeys(positive))  # copies would make all their words look toxic
     n = len(positive)
     if not n or not unlabelled:
         return {}, -10.0
