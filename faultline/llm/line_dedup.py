@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import Scratch
+from faultline.llm.shared import Scratch, fresh
 
 #: log2 of a sketch's registers; its relative error is 0.83 / sqrt(2**12) = 1.3 %. Decisions within five errors of the
 #: threshold, and one more, are made by exact counts. Small sketches are sparse lists of a few bytes.
@@ -53,30 +53,31 @@ def remove(docs: DataFrame, site: Column, min_sites: int, scratch: Scratch) -> D
     occurrence in the smallest doc_id stays, so nothing is lost from the corpus as a whole. A null site is a site of its
     own; a null text stays null, with no lines. Null doc_ids come last. Rows that share a doc_id lose the lines whose
     place in any of them is a repeat of the same line, so equal rows are cut alike; a column n_chars is set
-    to the new length where lines went. Other columns stay, but ``n_lines``, ``n_removed`` and names that begin with
-    ``line_`` are taken. Texts meet their removals by doc_id in one shuffle, at every size, as the removals grow with
+    to the new length where lines went. Other columns stay, whatever their names, but ``n_lines`` and
+    ``n_removed`` are replaced. Texts meet their removals by doc_id in one shuffle, at every size, as the removals grow with
     the corpus. A line on a third of all rows is pre-aggregated in each task; its removals are spread over its documents.
     """
+    line_doc, line_gone = fresh(docs, "line_doc"), fresh(docs, "line_gone")
     found = scratch.table("lines", lines(docs, site))
     wide = widespread(found, min_sites, scratch)
     hits = found.join(wide, "key").where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place")))
     )
     removals = scratch.table(
-        "removals", hits.groupBy(F.col("doc_id").alias("line_doc")).agg(F.collect_set(F.struct("place", "key")).alias("line_gone"))
+        "removals", hits.groupBy(F.col("doc_id").alias(line_doc)).agg(F.collect_set(F.struct("place", "key")).alias(line_gone))
     )
     own = F.split("text", "\n")
     listed = F.transform(own, lambda line, i: F.struct(i.alias("place"), F.xxhash64(stripped(line)).alias("key")))
-    gone = F.array_intersect(listed, "line_gone")
-    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("line_gone.place"))
-    out = docs.drop("n_lines", "n_removed").join(removals.hint("merge"), F.col("doc_id").eqNullSafe(F.col("line_doc")), "left")
+    gone = F.array_intersect(listed, line_gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(line_gone)["place"])
+    out = docs.drop("n_lines", "n_removed").join(removals.hint("merge"), F.col("doc_id").eqNullSafe(F.col(line_doc)), "left")
     # rows that share a doc_id may hold other lines at a place: only those that are the same line go
-    out = out.withColumn("line_gone", F.when(F.col("line_gone").isNotNull() & F.col("text").isNotNull(), gone))
+    out = out.withColumn(line_gone, F.when(F.col(line_gone).isNotNull() & F.col("text").isNotNull(), gone))
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(own)), F.lit(0)))
-    out = out.withColumn("n_removed", F.coalesce(F.size("line_gone"), F.lit(0)))
+    out = out.withColumn("n_removed", F.coalesce(F.size(line_gone), F.lit(0)))
     out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
     kept = F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("line_doc", "line_gone")
+    return out.drop(line_doc, line_gone)

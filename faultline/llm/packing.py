@@ -114,12 +114,10 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     more sequences are opened for the tokens that are left. Every round places at least one piece if sequences were just
     opened, so it ends. Only counts, sums and extremes reach the driver. Equal lengths are told apart by a row number;
     repeated rows are packed each. An empty table gives an empty result. The row number, not doc_id, is the key, so
-    null or repeated doc_ids do no harm.
+    null or repeated doc_ids do no harm. Columns named uid, bin_id, round, sequence_id or offset are not kept.
     """
     spark = scratch.spark
-    clash = {"uid", "bin_id", "round"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used by the packing itself")
+    pieces = pieces.drop("uid", "bin_id", "round", "sequence_id", "offset")
     numbered = scratch.table("pieces", pieces.withColumn("uid", F.monotonically_increasing_id()))
     items = numbered.where(F.col("length") < capacity).select("uid", F.col("length").cast("long").alias("length"))
 

@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, or a longer one if a column of ``frame`` is called that or begins like that."""
+    while any(c.lower().startswith(name.lower()) for c in frame.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.shared import Scratch, steps
+from faultline.llm.shared import Scratch, fresh, steps
 
 #: Differing bits that still link two fingerprints, and so the bytes at equal positions that such a pair must share.
 DISTANCE = 3
@@ -180,11 +180,12 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Rows that share a doc_id are one document, and one of them stays. Rows whose group has no doc_id at all stay, as
     nothing names one of them; rows without a doc_id in other groups go.
     """
+    near_id, near_rank = fresh(docs, "near_id"), fresh(docs, "near_rank")
     found = scratch.table("groups", groups(docs, scratch))
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = scratch.table("stays", stays).withColumnRenamed("doc_id", "near_id")
+    stays = scratch.table("stays", stays).withColumnRenamed("doc_id", near_id)
     # one plan at every size: the table of ids grows with the corpus
-    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("near_id")))
-    order = Window.partitionBy("near_id").orderBy(F.xxhash64("text"))
-    one = kept.withColumn("near_rank", F.when(F.col("near_id").isNotNull(), F.row_number().over(order)))
-    return one.where("near_rank IS NULL OR near_rank = 1").drop("near_id", "near_rank")
+    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col(near_id)))
+    order = Window.partitionBy(near_id).orderBy(F.xxhash64("text"))
+    one = kept.withColumn(near_rank, F.when(F.col(near_id).isNotNull(), F.row_number().over(order)))
+    return one.where(F.col(near_rank).isNull() | (F.col(near_rank) == 1)).drop(near_id, near_rank)
