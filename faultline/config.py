@@ -35,9 +35,9 @@ class Settings:
     timeline_cap: int = 100
     timeline_line_cap: int = 50
 
-    # ingest guards; None switches a guard off
-    max_bytes: int | None = 10 * 1024 * 1024
-    max_line_breaks: int | None = 50_000
+    # ingest guards, off unless asked for: a guard drops whole logs to quarantine
+    max_bytes: int | None = None
+    max_line_breaks: int | None = None
     # files above this size are read in splits and numbered by block offsets instead of as one string
     whole_file_bytes: int = 64 * 1024 * 1024
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,21 @@ from faultline.schema import ANOMALIES, ERROR_LEVELS
 
 COLUMNS = list(ANOMALIES)
 
+#: Writes a frame under a name and reads it back, as ``Staging.table`` does.
+Stage = Callable[[str, DataFrame], DataFrame]
+
 
 def is_error() -> Column:
     """F1."""
     return F.col("level").isin(*ERROR_LEVELS)
 
 
+def short_width(window: str) -> str:
+    """``1 minute`` as ``1m``, ``6 hours`` as ``6h``."""
+    number, unit = window.split()
+    return f"{number}{unit[0]}"
+
+
 def _start(width: str) -> Column:
     return F.window("ts", width).getField("start")
 
@@ -68,9 +78,8 @@ def _windowed(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def spike_windows(entries: DataFrame, cfg: Settings) -> DataFrame:
+def spike_windows(scored: DataFrame, cfg: Settings) -> DataFrame:
     """N1 without line lists."""
-    scored = rate_scores(entries, cfg)
     return scored.filter(
         (F.col("timed") >= 5)
         & (F.col("windows") >= 3)
@@ -80,9 +89,10 @@ def spike_windows(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def error_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """N1."""
-    flagged = spike_windows(entries, cfg)
+def error_spikes(entries: DataFrame, cfg: Settings, stage: Stage | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """N1. With ``stage`` the flagged windows are a written table, whose size Spark knows before it joins entries."""
+    flagged = spike_windows(rate_scores(entries, cfg) if scored is None else scored, cfg)
+    flagged = stage("flagged_windows", flagged) if stage else flagged
     keys = ["log_id", "window_start"]
     lines = _line_numbers(flagged, _windowed(entries, cfg), keys, cfg.spike_line_cap)
     return flagged.join(lines, keys).select(
@@ -91,7 +101,7 @@ def error_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
         F.lit("error_spike").alias("anomaly_type"),
         F.when(F.col("rate") > 0.5, "high").otherwise("medium").alias("severity"),
         F.format_string(
-            "Error rate spike in 1m window: %.1f%% (z=%.2f)", F.col("rate") * 100, F.col("z")
+            f"Error rate spike in {short_width(cfg.window)} window: %.1f%% (z=%.2f)", F.col("rate") * 100, F.col("z")
         ).alias("description"),
         "affected_lines",
         F.col("z").alias("z_score"),
@@ -100,8 +110,12 @@ def error_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def latency_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """One row per slow entry."""
+def latency_spikes(entries: DataFrame, cfg: Settings, stage: Stage | None = None) -> DataFrame:
+    """One row per slow entry.
+
+    With ``stage`` the figures of each log are a written table: a small one is broadcast by its measured size, and joined
+    to a large one the entries of a hot log can be split by the adaptive skew join.
+    """
     slow = entries.filter(F.col("response_time_ms") > 0).select("log_id", "line_number", "ts", "response_time_ms")
     value = F.col("response_time_ms")
     deviation = F.stddev_pop(value)
@@ -110,7 +124,8 @@ def latency_spikes(entries: DataFrame, cfg: Settings) -> DataFrame:
         F.when((F.min(value) == F.max(value)) | (deviation == 0), 1e-6).otherwise(deviation).alias("spread"),
         F.count(F.lit(1)).alias("samples"),
     )
-    scored = attach(slow, stats.filter(F.col("samples") >= 10), cfg)
+    stats = stats.filter(F.col("samples") >= 10)
+    scored = attach(slow, stage("latency_stats", stats) if stage else stats, cfg)
     scored = scored.withColumn("z", (value - F.col("mean")) / F.col("spread"))
     return scored.filter(F.col("z") > cfg.z_threshold).select(
         "log_id",
@@ -217,10 +232,10 @@ def silence(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def cascade_runs(entries: DataFrame, cfg: Settings) -> DataFrame:
+def cascade_runs(scored: DataFrame, cfg: Settings) -> DataFrame:
     """Flagged windows that stand in runs of three or more neighbouring observed windows."""
     base = F.when(F.col("mean") == 0, 1e-6).otherwise(F.col("mean"))
-    flagged = rate_scores(entries, cfg).withColumn("mean", base).filter(
+    flagged = scored.withColumn("mean", base).filter(
         (F.col("timed") >= 10)
         & (F.col("windows") >= 4)
         & (F.col("z") > cfg.z_threshold)
@@ -233,9 +248,10 @@ def cascade_runs(entries: DataFrame, cfg: Settings) -> DataFrame:
     return runs.withColumn("run_size", size).filter(F.col("run_size") >= 3)
 
 
-def cascades(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """N4."""
-    windows = cascade_runs(entries, cfg)
+def cascades(entries: DataFrame, cfg: Settings, stage: Stage | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """N4. ``stage`` as in ``error_spikes``."""
+    windows = cascade_runs(rate_scores(entries, cfg) if scored is None else scored, cfg)
+    windows = stage("cascade_windows", windows) if stage else windows
     runs = windows.groupBy("log_id", "run").agg(
         F.min("window_start").alias("ts"),
         F.count(F.lit(1)).alias("size"),
@@ -243,6 +259,7 @@ def cascades(entries: DataFrame, cfg: Settings) -> DataFrame:
         F.first("mean").alias("baseline_value"),
         F.avg("rate").alias("observed_value"),
     )
+    each = "minute" if short_width(cfg.window) == "1m" else short_width(cfg.window)
     errors = _windowed(entries.filter(is_error()), cfg)
     per_window = ordered.top(
         errors.join(windows.select("log_id", "window_start", "run"), ["log_id", "window_start"]),
@@ -263,7 +280,7 @@ def cascades(entries: DataFrame, cfg: Settings) -> DataFrame:
         "ts",
         F.lit("cascade_failure").alias("anomaly_type"),
         F.lit("critical").alias("severity"),
-        F.format_string("Sustained elevated errors for %d consecutive minute windows", "size").alias("description"),
+        F.format_string(f"Sustained elevated errors for %d consecutive {each} windows", "size").alias("description"),
         "affected_lines",
         "z_score",
         "baseline_value",
@@ -271,9 +288,15 @@ def cascades(entries: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def all_anomalies(entries: DataFrame, cfg: Settings) -> DataFrame:
-    """The rows of all four detectors."""
-    found = [detector(entries, cfg) for detector in (error_spikes, latency_spikes, silence, cascades)]
+def all_anomalies(entries: DataFrame, cfg: Settings, stage: Stage | None = None) -> DataFrame:
+    """The rows of all four detectors; windows are scored once where ``stage`` can keep them."""
+    scored = stage("window_scores", rate_scores(entries, cfg)) if stage else None
+    found = [
+        error_spikes(entries, cfg, stage, scored),
+        latency_spikes(entries, cfg, stage),
+        silence(entries, cfg),
+        cascades(entries, cfg, stage, scored),
+    ]
     return reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in found])
 
 

@@ -29,23 +29,28 @@ def outcomes(graded: DataFrame, anomalies: DataFrame, clusters: DataFrame, root_
 
 
 def rows(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """Expected against found, one row per case."""
+    """Expected against found, one row per case; a case without an outcome found nothing and counts as missed."""
     expected = F.array_distinct(F.coalesce("expected_anomaly_types", F.array().cast("array<string>")))
     clean = F.coalesce("expect_no_anomalies", F.lit(False))
-    return cases.join(found, "id").select(
+    none = F.array().cast("array<string>")
+    types, categories = F.coalesce("anomaly_types", none), F.coalesce("root_categories", none)
+    missed = F.col("cluster_count").isNull()
+    return cases.join(found, "id", "left").select(
         "id",
         "elapsed_ms",
         "log_source",
         "severity",
-        "anomaly_types",
-        "root_categories",
-        (F.col("log_source") == F.col("expected_log_source")).alias("source_ok"),
+        types.alias("anomaly_types"),
+        categories.alias("root_categories"),
+        F.when(missed, False).otherwise(F.col("log_source") == F.col("expected_log_source")).alias("source_ok"),
         F.size(expected).alias("types_expected"),
-        F.size(F.array_intersect(expected, "anomaly_types")).alias("types_found"),
-        F.array_contains("root_categories", F.col("expected_root_cause_category")).alias("cause_ok"),
-        (F.col("severity") == F.col("expected_severity")).alias("severity_ok"),
-        (F.col("cluster_count") >= F.coalesce("expected_min_clusters", F.lit(0))).alias("clusters_ok"),
-        (clean & (F.col("anomaly_count") > 0)).alias("false_positive"),
+        F.size(F.array_intersect(expected, types)).alias("types_found"),
+        F.array_contains(categories, F.col("expected_root_cause_category")).alias("cause_ok"),
+        F.when(missed, False).otherwise(F.col("severity") == F.col("expected_severity")).alias("severity_ok"),
+        F.when(missed, False)
+        .otherwise(F.col("cluster_count") >= F.coalesce("expected_min_clusters", F.lit(0)))
+        .alias("clusters_ok"),
+        F.coalesce(clean & (F.col("anomaly_count") > 0), F.lit(False)).alias("false_positive"),
     )
 
 

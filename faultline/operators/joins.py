@@ -11,8 +11,9 @@ from faultline.config import BROADCAST_LOGS, Settings
 def attach(rows: DataFrame, per_log: DataFrame, cfg: Settings, how: str = "inner") -> DataFrame:
     """Join a frame that holds at most one narrow row per log to many rows of those logs.
 
-    With a known fleet below the bound the per-log side is broadcast. Otherwise the join stays unhinted: Spark
-    compares measured sizes at run time and splits the partitions of hot logs (adaptive skew join).
+    With a known fleet below the bound the per-log side is broadcast. Otherwise the join stays unhinted. Spark then
+    compares measured sizes at run time; it can split the partitions of hot logs if ``per_log`` is a written table, not
+    an aggregate.
     """
     if cfg.fleet is not None and cfg.fleet <= BROADCAST_LOGS:
         per_log = F.broadcast(per_log)

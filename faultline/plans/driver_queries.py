@@ -32,9 +32,9 @@ from faultline.streaming import lines as stream_lines
 from faultline.streaming import rates as stream_rates
 
 # the lane with four logs
-FOUR = Settings(fleet=4, window="1 hour")
+FOUR = Settings(window="1 hour")
 # sustained runs need a low threshold on these tables
-RUNS = Settings(fleet=4, window="1 minute", z_threshold=1.5)
+RUNS = Settings(window="1 minute", z_threshold=1.5)
 # one log per user
 MANY = Settings(window="1 hour")
 PARSE = Settings(reference_time=dt.datetime(2024, 2, 1), default_year=2024)
@@ -256,6 +256,20 @@ def document_lines(spark, folder):
     )
 
 
+def text_file_lines(spark, folder):
+    """Every document written as a text file and read back, short ones whole and long ones by splits."""
+    path = f"{Staging(spark).folder}/texts"
+    lanes.documents(spark, folder).write.partitionBy("log_id").text(path)
+    lines = log_source.read(spark, path, Settings(whole_file_bytes=1_500)).lines
+    name = F.regexp_extract("log_id", "log_id=([^/]*)/", 1)
+    return lines.groupBy(name.alias("log_id")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.max("line_number").alias("last_line"),
+        F.sum(F.length("raw_line")).alias("characters"),
+        F.count_if(F.col("raw_line") == "").alias("empty_lines"),
+    )
+
+
 def quarantine(spark, folder):
     return log_source.from_texts(lanes.documents(spark, folder), GUARD).quarantine
 
@@ -603,7 +617,7 @@ def eval_summary(spark, folder):
 def analyse_access_logs(spark, folder):
     """V8 from raw access lines: detection, parsing, all result tables, severity."""
     lines = lanes.lines(_texts(spark, folder), "nginx_access")
-    results = pipeline.analyse(lines, Settings(fleet=3, window="1 hour"))
+    results = pipeline.analyse(lines, Settings(window="1 hour"))
     return results.summary.select(
         "log_id",
         "log_source",
@@ -683,7 +697,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
         all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
-        traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines,
+        traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines,
         quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
         cosine_edges, dbscan_components, cluster_representative, error_clusters, error_clusters_capped,
         singleton_clusters, default_embedding_clusters, cluster_search, cluster_export, first_errors, entry_events,

@@ -324,7 +324,13 @@ _LINES = r"""d AS (SELECT 'doc-' || doc_id AS log_id, text,
     string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents),
   l AS (SELECT log_id, text, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM d)"""
 
+# a text file ends its only row with a newline
+_WRITTEN = _LINES.replace("FROM documents", "FROM (SELECT doc_id, text || chr(10) AS text FROM documents)")
+
 INGEST = {
+    "text_file_lines": f"""WITH {_WRITTEN} SELECT log_id, len(parts) AS lines, len(parts) AS last_line,
+  CAST(list_sum([length(p) for p in parts]) AS BIGINT) AS characters,
+  len([p for p in parts if p = '']) AS empty_lines FROM l WHERE len(parts) > 0""",
     "document_lines": f"""WITH {_LINES} SELECT log_id, len(parts) AS lines, len(parts) AS last_line,
   CAST(list_sum([length(p) for p in parts]) AS BIGINT) AS characters,
   len([p for p in parts if p = '']) AS empty_lines FROM l WHERE len(parts) > 0""",

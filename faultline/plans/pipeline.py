@@ -43,7 +43,7 @@ def analyse_entries(
     def kept(name: str, frame: DataFrame) -> DataFrame:
         return frame if staging is None else staging.table(name, frame)
 
-    found = kept("anomalies", anomalies.all_anomalies(entries, cfg))
+    found = kept("anomalies", anomalies.all_anomalies(entries, cfg, staging and staging.table))
     causes = kept("root_causes", root_causes.analyse(entries, logs))
     totals = summary.log_summary(entries, cfg, lines, formats, skipped, logs)
     return Results(

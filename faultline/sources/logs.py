@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from faultline.config import Settings
 
-# The line ends of Python's str.splitlines(); the first two alternatives are also the reader's own.
+# The line ends of Python's str.splitlines(); the text reader is told to end lines at \n only.
 ANY_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-OTHER_LINE_ENDS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+OTHER_LINE_ENDS = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 @dataclass(frozen=True)
@@ -57,58 +57,75 @@ def from_texts(texts: DataFrame, cfg: Settings) -> Logs:
     return Logs(accepted.select("log_id"), split_lines(accepted), rejected)
 
 
+def _log_id():
+    """The file's path as both readers name it, with its escapes undone."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
 def _whole_files(spark: SparkSession, path: str, up_to: int) -> DataFrame:
     # the length filter is pushed to the listing, larger files are never opened
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.filter(F.col("length") <= up_to).select(
-        F.col("path").alias("log_id"), F.col("length").alias("size"), text.alias("text")
+    return _files(spark, path).filter(F.col("length") <= up_to).select(
+        _log_id().alias("log_id"), F.col("length").alias("size"), text.alias("text")
     )
 
 
 def _oversized(spark: SparkSession, path: str, above: int) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") > above).select(
-        F.col("path").alias("log_id"), F.lit("file_too_large").alias("reason")
+    return _files(spark, path).filter(F.col("length") > above).select(
+        _log_id().alias("log_id"), F.lit("file_too_large").alias("reason")
     )
 
 
-def large_file_lines(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
-    """Lines of splittable files, numbered without sorting or gathering a file.
-
-    Rows keep file order inside a split, so a line's number is its rank in the split plus the lines of all earlier
-    splits of the file. Only the table with one row per split is shuffled.
-
-    A file whose very end is one of the rarer line ends, with no newline after it, shows one more empty line here than
-    as a whole file: the reader does not tell whether its last row was closed.
-    """
-    scanned = (
+def _scan(spark: SparkSession, path: str, above: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of files above a size, and one row per split: what is needed to number lines and to count breaks."""
+    rows = (
         spark.read.option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("log_id"),
+            _log_id().alias("log_id"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_size").alias("size"),
             F.monotonically_increasing_id().alias("id"),
+            F.octet_length("value").alias("bytes"),
             F.make_valid_utf8("value").alias("value"),
         )
         .filter(F.col("size") > above)
     )
-    # the reader itself ends lines at \n, \r and \r\n only
-    rows = scanned.select("log_id", "block", "id", F.split("value", OTHER_LINE_ENDS, -1).alias("pieces"))
-
+    # \r\n is one end: what a row ends with besides its \n belongs to it
+    body = F.when(F.endswith("value", F.lit("\r")), F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    rows = rows.withColumn("pieces", F.split(body, OTHER_LINE_ENDS, -1))
     blocks = rows.groupBy("log_id", "block").agg(
-        F.sum(F.size("pieces")).alias("n"), F.count(F.lit(1)).alias("read"), F.min("id").alias("first")
-    )
-    earlier = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
+        F.sum(F.size("pieces")).alias("n"), F.count(F.lit(1)).alias("read"), F.min("id").alias("first"),
+        F.max("id").alias("last"), F.sum("bytes").alias("bytes"), F.first("size").alias("size"),
+    )
+    per_log = Window.partitionBy("log_id")
+    earlier = per_log.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # every row but an unclosed last one has lost one byte; the reader skips a byte order mark of three
+    missing = F.sum(F.col("bytes") + F.col("read")).over(per_log) - F.col("size")
+    splits = blocks.select(
         "log_id",
         "block",
         "first",
+        "read",
         (F.col("n") > F.col("read")).alias("uneven"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
+        F.when(missing.isin(1, -2) & (F.col("block") == F.max("block").over(per_log)), F.col("last")).alias("unclosed"),
     )
-    placed = rows.join(offsets, ["log_id", "block"])
+    return rows, splits
+
+
+def _placed(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    placed = rows.join(splits.drop("read"), ["log_id", "block"])
+    whole = F.split("value", OTHER_LINE_ENDS, -1)
+    closed = F.element_at(whole, -1) == ""
+    open_pieces = F.when(closed, F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
+    last = F.coalesce(F.col("id") == F.col("unclosed"), F.lit(False))
+    placed = placed.withColumn("pieces", F.when(last, open_pieces).otherwise(F.col("pieces")))
     even = placed.filter(~F.col("uneven")).withColumn("start", F.col("offset") + F.col("id") - F.col("first"))
     # splits with further line ends inside the reader's lines are counted through; a split has a bounded size
     inside = Window.partitionBy("log_id", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,11 +136,21 @@ def large_file_lines(spark: SparkSession, path: str, above: int = -1) -> DataFra
     )
 
 
+def large_file_lines(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
+    """Lines of splittable files, numbered without gathering a file; the same lines as those of whole files.
+
+    Rows keep file order inside a split, so a line's number is its rank in the split plus the lines of all earlier
+    splits of the file. Splits that hold rarer line ends are put in order one by one, which shuffles their rows. Whether
+    a file's last line is closed follows from its size and the bytes of its rows.
+    """
+    return _placed(*_scan(spark, path, above))
+
+
 def read(spark: SparkSession, path: str, cfg: Settings) -> Logs:
     """Every file below ``path`` as one log, bad bytes replaced, guards applied. Files of no bytes are not listed.
 
-    Files up to ``whole_file_bytes`` are read as one string each; larger ones, which exist only with the size guard
-    off or raised, go through ``large_file_lines``.
+    Files up to ``whole_file_bytes`` are read as one string each, larger ones by ``large_file_lines``. Both give the
+    same log ids, lines and verdicts of the guards.
     """
     limit = cfg.whole_file_bytes if cfg.max_bytes is None else min(cfg.whole_file_bytes, cfg.max_bytes)
     small = from_texts(_whole_files(spark, path, limit), cfg)
@@ -133,10 +160,16 @@ def read(spark: SparkSession, path: str, cfg: Settings) -> Logs:
     if cfg.max_bytes is not None and cfg.max_bytes <= cfg.whole_file_bytes:
         return Logs(small.logs, small.lines, rejected)
 
-    large = large_file_lines(spark, path, limit)
-    totals = large.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"))
+    rows, splits = _scan(spark, path, limit)
+    if cfg.max_bytes is not None:
+        rows, splits = rows.filter(F.col("size") <= cfg.max_bytes), splits.join(
+            _oversized(spark, path, cfg.max_bytes).select("log_id"), "log_id", "left_anti"
+        )
+    breaks = F.sum("read") - F.count("unclosed")
+    totals = splits.groupBy("log_id").agg(breaks.alias("breaks"))
+    large = _placed(rows, splits)
     if cfg.max_line_breaks is not None:
-        over = totals.filter(F.col("n") > cfg.max_line_breaks + 1).select("log_id")
+        over = totals.filter(F.col("breaks") > cfg.max_line_breaks).select("log_id")
         large = large.join(over, "log_id", "left_anti")
         totals = totals.join(over, "log_id", "left_anti")
         rejected = rejected.unionByName(over.withColumn("reason", F.lit("too_many_lines")))

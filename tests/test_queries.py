@@ -37,10 +37,14 @@ def test_import_needs_no_session():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
-def test_no_collecting_in_operators():
-    for path in (ROOT / "faultline" / "operators").rglob("*.py"):
+def test_no_collecting_in_the_package():
+    for path in (ROOT / "faultline").rglob("*.py"):
+        # llm collects bounded training samples; the pipeline the names of the formats that occur
+        if "llm" in path.parts or path.name == "pipeline.py":
+            continue
         text = path.read_text()
-        assert ".collect()" not in text and "toPandas" not in text and ".rdd" not in text, path
+        assert ".collect()" not in text and "toPandas" not in text, path
+        assert ".rdd" not in text or path.name == "lanes.py", path
 
 
 def _plan(frame):
