@@ -1,7 +1,8 @@
-"""The whole analysis of many logs (V8): lines in, one lazy frame per result table out."""
+"""The whole analysis of many logs (V8): lines in, one written table per result out."""
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -82,15 +83,19 @@ def analyse(
 ) -> Results:
     """V8: raw lines of any number of logs to all result tables.
 
-    Lines are parsed once and kept, like every result table, in the folder that ``spark.checkpoint.dir`` names.
+    Lines are parsed once and kept, like every result table, in the folder that ``spark.checkpoint.dir`` names. The
+    summary says how long the run took for all its logs (``processing_time_ms``).
     """
+    began = time.perf_counter()
     staging = staging or Staging(lines.sparkSession)
     formats, parsed = parse_once(lines, cfg, staging, formats, custom, logs)
     if "log_source" not in formats.columns:
         known = F.col("format").isin([f.name for f in detect.SNIFFED])
         formats = formats.withColumn("log_source", F.when(known, F.col("format")).otherwise("unknown"))
     entries, skipped = dispatch.entries(parsed), dispatch.skipped(parsed)
-    return analyse_entries(entries, cfg, lines, formats, skipped, logs, embed, staging)
+    results = analyse_entries(entries, cfg, lines, formats, skipped, logs, embed, staging)
+    elapsed = F.lit((time.perf_counter() - began) * 1000)
+    return results._replace(summary=results.summary.withColumn("processing_time_ms", elapsed))
 
 
 def findings(results: Results, cfg: Settings) -> DataFrame:

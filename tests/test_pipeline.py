@@ -32,6 +32,7 @@ def results(spark):
 
 def test_summary(results):
     got = {r.log_id: r for r in results.summary.collect()}
+    assert all(r.processing_time_ms > 0 for r in got.values())
     assert {k: r.log_source for k, r in got.items()} == {
         "web": "nginx", "app": "python", "host": "systemd", "junk": "unknown", "empty": "unknown",
     }
