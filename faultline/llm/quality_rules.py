@@ -75,7 +75,9 @@ def measured(docs: DataFrame) -> DataFrame:
         numbers: dict[bytes, int] = defaultdict(count().__next__)
         ids = np.concatenate([np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in split])
         owner = np.repeat(np.arange(len(split)), words)
-        mixed = owner[: total - WINDOW + 1].astype(np.uint64)
+        # owners are spread over all bits first, or one text's number and word could look like another's
+        mixed = (owner[: total - WINDOW + 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
         for k in range(WINDOW):
             mixed = (mixed ^ ids[k : total - WINDOW + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
