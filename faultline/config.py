@@ -25,14 +25,15 @@ class Settings:
     cascade_line_cap: int = 300
 
     # clustering
-    max_clusters: int = 8
+    # None keeps all clusters
+    max_clusters: int | None = 8
     min_cluster_size: int = 2
     encode_cap: int = 200
     eps: float = 0.3
     vector_dims: int = 256
 
-    # timeline
-    timeline_cap: int = 100
+    # timeline; no cap keeps every event
+    timeline_cap: int | None = 100
     timeline_line_cap: int = 50
 
     # ingest guards, off unless asked for: a guard drops whole logs to quarantine
@@ -41,8 +42,8 @@ class Settings:
     # files above this size are read in splits and numbered by block offsets instead of as one string
     whole_file_bytes: int = 64 * 1024 * 1024
 
-    # detection
-    sample_lines: int = 20
+    # detection; None looks at every line
+    sample_lines: int | None = 20
     accept_score: float = 0.3
 
     # clock-dependent parsing; None means the clock at execution
@@ -51,9 +52,9 @@ class Settings:
     # zone of web-server error logs, whose times carry none; None keeps them as they are
     error_log_tz: str | None = None
 
-    # evaluation and listings
-    eval_rows: int = 15
-    listing_rows: int = 50
+    # evaluation and listings; None takes all rows
+    eval_rows: int | None = 15
+    listing_rows: int | None = 50
 
     # rows of a child table that go inline into one report document; the rest goes into continuation documents
     report_inline_rows: int = 10_000
@@ -71,7 +72,8 @@ class Settings:
     def __post_init__(self) -> None:
         if not 1 <= self.encode_cap <= LARGEST_ENCODE_CAP:
             raise ValueError(f"encode_cap must lie in 1..{LARGEST_ENCODE_CAP}")
-        if self.timeline_cap < 1 or self.max_clusters < 1 or self.chunk_lines < 1:
+        limits = (self.timeline_cap, self.max_clusters, self.chunk_lines, self.sample_lines, self.eval_rows, self.listing_rows)
+        if any(limit is not None and limit < 1 for limit in limits):
             raise ValueError("caps and chunk sizes must be positive")
 
     def but(self, **changes) -> "Settings":

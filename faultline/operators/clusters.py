@@ -108,11 +108,12 @@ def error_clusters(
     """The ``max_clusters`` largest clusters of every log, in order (``pos`` from 1).
 
     ``embed`` adds an ``embedding`` column to templates (``log_id, ordinal, template, message, ...``). ``stage`` writes
-    a named frame and reads it back; with it templates and cluster members, each read several times, are made once.
+    a named frame and reads it back; with it errors with their templates, templates and cluster members, each read
+    several times, are made once.
     """
     embed = embed or hashed_embedder(cfg.vector_dims)
     stage = stage or (lambda name, frame: frame)
-    keyed = templates.keyed_errors(entries)
+    keyed = stage("keyed_errors", templates.keyed_errors(entries))
     found = stage("templates", templates.dedup(keyed, cfg, stage))
     enough = found.groupBy("log_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= cfg.min_cluster_size)
     found = found.join(enough.select("log_id"), "log_id", "left_semi")
@@ -137,7 +138,9 @@ def error_clusters(
     members = stage("cluster_members", assigned.select(*columns).unionByName(dropped.select(*columns)))
     order = [F.col("count").desc(), F.col("stage"), F.col("emitted"), F.col("emitted_row")]
     position = F.row_number().over(Window.partitionBy("log_id").orderBy(*order))
-    largest = rollup(members).withColumn("pos", position).filter(F.col("pos") <= cfg.max_clusters)
+    largest = rollup(members).withColumn("pos", position)
+    if cfg.max_clusters is not None:
+        largest = largest.filter(F.col("pos") <= cfg.max_clusters)
 
     chosen = members.join(largest.select("log_id", "cluster_id"), ["log_id", "cluster_id"], "left_semi")
     belongs = keyed.join(chosen.select("log_id", "template", "cluster_id"), ["log_id", "template"])

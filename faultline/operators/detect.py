@@ -17,24 +17,36 @@ KNOWN = {f.name: f for f in (*SNIFFED, generic.FORMAT)}
 
 
 def scores(lines: DataFrame, cfg: Settings) -> DataFrame:
-    """One row per log, one score column per format. Blank lines count in the denominator."""
-    head = lines.filter(F.col("line_number") <= cfg.sample_lines)
-    sample = head.select("log_id", strip(F.col("raw_line")).alias("line"))
+    """One row per log, one score column per format. Blank lines count in the denominator.
+
+    The same pass counts all lines of a log (``total_lines``), so that the text is not read again for that.
+    """
+    # lines past the sample have no text, so no test runs on them
+    text = strip(F.col("raw_line"))
+    if cfg.sample_lines is not None:
+        text = F.when(F.col("line_number") <= cfg.sample_lines, text)
     names = [name for f in SNIFFED for name in f.hits]
-    counted = sample.select(
+    counted = lines.select("log_id", text.alias("line")).select(
         "log_id",
-        *[f.hits[name](F.col("line")).cast("int").alias(f"_{name}") for f in SNIFFED for name in f.hits],
+        F.col("line").isNotNull().alias("_sampled"),
+        *[
+            F.when(F.col("line").isNotNull(), f.hits[name](F.col("line")).cast("int")).alias(f"_{name}")
+            for f in SNIFFED
+            for name in f.hits
+        ],
     )
     sums = counted.groupBy("log_id").agg(
-        F.count(F.lit(1)).alias("sample_size"), *[F.sum(f"_{name}").alias(f"_{name}") for name in names]
+        F.count(F.lit(1)).alias("total_lines"),
+        F.count_if("_sampled").alias("sample_size"),
+        *[F.sum(f"_{name}").alias(f"_{name}") for name in names],
     )
-    hit = {name: F.col(f"_{name}").cast("double") for name in names}
-    size = F.col("sample_size").cast("double")
-    return sums.select("log_id", "sample_size", *[f.score(hit, size).alias(f.name) for f in SNIFFED])
+    hit = {name: F.coalesce(F.col(f"_{name}"), F.lit(0)).cast("double") for name in names}
+    size = F.greatest(F.col("sample_size"), F.lit(1)).cast("double")
+    return sums.select("log_id", "total_lines", "sample_size", *[f.score(hit, size).alias(f.name) for f in SNIFFED])
 
 
 def formats(lines: DataFrame, cfg: Settings, logs: DataFrame | None = None) -> DataFrame:
-    """``log_id, format, log_source, score``. ``logs`` adds logs that have no line at all."""
+    """``log_id, format, log_source, score, total_lines``. ``logs`` adds logs that have no line at all."""
     scored = scores(lines, cfg)
     if logs is not None:
         scored = logs.select("log_id").join(scored, "log_id", "left")
@@ -47,4 +59,5 @@ def formats(lines: DataFrame, cfg: Settings, logs: DataFrame | None = None) -> D
     )
     chosen = scored.withColumn("score", best).withColumn("format", winner)
     source = F.when(F.col("format") == "generic", "unknown").otherwise(F.col("format"))
-    return chosen.select("log_id", "format", source.alias("log_source"), "score")
+    total = F.coalesce("total_lines", F.lit(0)).alias("total_lines")
+    return chosen.select("log_id", "format", source.alias("log_source"), "score", total)

@@ -39,7 +39,8 @@ def append(history: DataFrame, new: DataFrame, cfg: Settings) -> DataFrame:
     """The newest rows of both, newest first."""
     columns = list(HISTORY)
     both = history.select(*columns).unionByName(new.select(*columns))
-    return both.orderBy(F.col("ts").desc(), "id").limit(cfg.listing_rows)
+    both = both.orderBy(F.col("ts").desc(), "id")
+    return both if cfg.listing_rows is None else both.limit(cfg.listing_rows)
 
 
 def search(history: DataFrame, text: str = "", severity: str | None = None, bookmarked: bool = False) -> DataFrame:

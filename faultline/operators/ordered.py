@@ -24,7 +24,10 @@ def positions(df: DataFrame, keys: list[str], bucket: str, order: list, name: st
     )
 
 
-def top(df: DataFrame, keys: list[str], order: list[Column], count: int) -> DataFrame:
-    """The first ``count`` rows per key. Spark prunes to ``count`` rows per key in every task before it shuffles."""
+def top(df: DataFrame, keys: list[str], order: list[Column], count: int | None) -> DataFrame:
+    """The first ``count`` rows per key, all for None. Spark prunes to ``count`` rows per key in every task before it
+    shuffles."""
+    if count is None:
+        return df
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rank") <= count).drop("_rank")

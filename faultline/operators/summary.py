@@ -50,11 +50,15 @@ def log_summary(
     skipped: DataFrame | None = None,
     logs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per log. Without ``lines`` every entry counts as one line; ``logs`` adds logs without lines."""
+    """One row per log. Without ``lines`` every entry counts as one line; ``logs`` adds logs without lines.
+
+    Line counts come from ``formats`` where detection has left them there, else from ``lines``.
+    """
     stats = entry_stats(entries)
     out = stats if logs is None else logs.select("log_id").join(stats, "log_id", "left")
     if lines is not None:
-        totals = line_totals(lines)
+        counted = formats is not None and "total_lines" in formats.columns
+        totals = formats.select("log_id", "total_lines") if counted else line_totals(lines)
         # logs whose lines were all skipped have totals but no entries
         out = out.join(totals, "log_id", "left" if logs is not None else "full")
     else:

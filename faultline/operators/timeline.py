@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,9 +167,25 @@ def events(entries: DataFrame, anomalies: DataFrame, cfg: Settings) -> DataFrame
     return reduce(DataFrame.unionByName, [p.select(*EVENT, *TIES) for p in parts])
 
 
-def build(entries: DataFrame, anomalies: DataFrame, cfg: Settings) -> DataFrame:
-    """Events by time, unknown times first; longer timelines keep their two ends. ``pos`` counts from 1."""
+def build(
+    entries: DataFrame,
+    anomalies: DataFrame,
+    cfg: Settings,
+    stage: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Events by time, unknown times first; longer timelines keep their two ends. ``pos`` counts from 1.
+
+    ``timeline_cap`` None keeps every event. The two ends are taken from the same events; ``stage`` writes those once,
+    so that the emitters run once.
+    """
     every = events(entries, anomalies, cfg)
+    if stage is not None:
+        every = stage("timeline_events", every)
+    if cfg.timeline_cap is None:
+        known = F.coalesce("ts", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+        every = every.withColumn("chunk", F.window(known, cfg.time_chunk).getField("start"))
+        order = [F.col("ts").asc_nulls_first(), *TIES]
+        return ordered.positions(every, ["log_id"], "chunk", order).select("log_id", "pos", *EVENT[1:])
     cap, head_size = cfg.timeline_cap, cfg.timeline_cap // 2
     forward = [F.col("ts").asc_nulls_first(), *[F.col(t).asc() for t in TIES]]
     backward = [F.col("ts").desc_nulls_last(), *[F.col(t).desc() for t in TIES]]

@@ -419,7 +419,7 @@ def recovery_points(spark, folder):
 def timeline_build(spark, folder):
     entries = _entries(spark, folder)
     found = anomalies.latency_spikes(entries, FOUR)
-    built = timeline.build(entries, found, FOUR)
+    built = timeline.build(entries, found, FOUR, Staging(spark).table)
     # anomaly texts carry rounded figures whose ties print differently elsewhere
     built = built.withColumn("description", F.when(F.col("event_type") != "anomaly", F.col("description")))
     return built.select("log_id", "pos", _stamp("ts"), "event_type", "description", "severity", _joined("related_entries"))

@@ -52,7 +52,7 @@ def analyse_entries(
         summary=kept("summary", summary.grade(totals, found, causes)),
         anomalies=found,
         error_clusters=kept("error_clusters", clusters.error_clusters(entries, cfg, embed, staging and staging.table)),
-        timeline=kept("timeline", timeline.build(entries, found, cfg)),
+        timeline=kept("timeline", timeline.build(entries, found, cfg, staging and staging.table)),
         root_causes=causes,
     )
 

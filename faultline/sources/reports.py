@@ -30,8 +30,9 @@ def latest(spark: SparkSession, path: str, cfg: Settings) -> DataFrame:
     newest = (
         stored.select("*", F.col("_metadata.file_modification_time").alias("stored_at"))
         .orderBy(F.col("stored_at").desc(), F.col("metadata.generated_at").desc(), "report_id")
-        .limit(cfg.listing_rows)
     )
+    if cfg.listing_rows is not None:
+        newest = newest.limit(cfg.listing_rows)
     return newest.filter(F.col("_broken").isNull()).select(
         F.col("report_id").alias("id"),
         "severity",
@@ -63,6 +64,8 @@ def export_clusters(clusters: DataFrame, path: str) -> None:
 def eval_cases(spark: SparkSession, path: str, cfg: Settings) -> DataFrame:
     """The first cases of a JSON array file, in file order."""
     cases = spark.read.schema(ddl(EVAL_CASES)).json(path, multiLine=True)
+    if cfg.eval_rows is None:
+        return cases
     return cases.withColumn("_n", F.monotonically_increasing_id()).orderBy("_n").limit(cfg.eval_rows).drop("_n")
 
 
