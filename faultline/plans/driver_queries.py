@@ -179,7 +179,21 @@ def _status() -> Column:
     return F.col("status_code").cast("bigint").alias("status_code")
 
 
+def _every_line(kind: str, log_format: str) -> Query:
+    """Entries, headers and skipped lines of one format alike."""
+
+    def query(spark, folder):
+        parsed = dispatch.parse_as(lanes.lines(_texts(spark, folder), kind), log_format, PARSE, Staging(spark).table)
+        shown = [F.when(F.col("is_entry"), F.col(c)).alias(c) for c in ("level", "message")]
+        return parsed.select("log_id", "line_number", "is_entry", "is_skipped", *shown)
+
+    return query
+
+
 PARSERS = {
+    "parse_k8s_table": _every_line("k8s_table", "kubernetes"),
+    "parse_syslog_loose": _every_line("syslog_loose", "systemd"),
+    "parse_python_prefixed": _every_line("python_prefixed", "python"),
     "parse_nginx_access": _parsed(
         "nginx_access", "nginx", lambda: [_stamp("ts"), _status(), _six("response_time_ms"), _meta("path")]
     ),
@@ -224,6 +238,16 @@ def detect_format(spark, folder):
     return detect.formats(_all_kinds(spark, folder), Settings()).select("log_id", "format", "log_source")
 
 
+def detect_empty_logs(spark, folder):
+    """Access logs, and one log without lines per user."""
+    events = _texts(spark, folder)
+    lines = lanes.lines(events, "nginx_access")
+    empty = events.select(F.concat(F.lit("empty-"), F.col("user_id").cast("string")).alias("log_id"))
+    logs = lines.select("log_id").unionByName(empty).distinct()
+    found = detect.formats(lines, Settings(), logs)
+    return found.select("log_id", "format", "log_source", _six("score"), "total_lines")
+
+
 def detected_counts(spark, folder):
     """Lines of all kinds parsed by their detected format; entries, skipped lines and errors per log."""
     _, parsed = pipeline.parse_once(_all_kinds(spark, folder), PARSE, Staging(spark))
@@ -270,6 +294,16 @@ def text_file_lines(spark, folder):
     )
 
 
+def text_file_guards(spark, folder):
+    """S4, S5 on files: every document as a text file, short ones read whole and long ones by splits."""
+    path = f"{Staging(spark).folder}/texts"
+    lanes.documents(spark, folder).write.partitionBy("log_id").text(path)
+    read = log_source.read(spark, path, GUARD.but(whole_file_bytes=1_500))
+    name = F.regexp_extract("log_id", "log_id=([^/]*)/", 1)
+    accepted = read.logs.select("log_id", F.lit("accepted").alias("reason"))
+    return read.quarantine.select("log_id", "reason").unionByName(accepted).select(name.alias("log_id"), "reason")
+
+
 def quarantine(spark, folder):
     return log_source.from_texts(lanes.documents(spark, folder), GUARD).quarantine
 
@@ -397,6 +431,18 @@ def cluster_export(spark, folder):
     return rows.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in rows.columns])
 
 
+def cluster_csv(spark, folder):
+    """The export written as CSV and read back."""
+    found = _clusters(spark, _entries(spark, folder), FOUR)
+    path = f"{Staging(spark).folder}/clusters"
+    reports.export_clusters(found, path)
+    names = [c for c in reports.cluster_rows(found).columns if c != "log_id"]
+    kinds = {"Cluster ID": "bigint", "Count": "bigint"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in names) + ", log_id string"
+    rows = spark.read.schema(schema).option("escape", '"').csv(path, header=True)
+    return rows.select("log_id", *[F.col(c).alias(c.lower().replace(" ", "_")) for c in names])
+
+
 # --- timeline ------------------------------------------------------------------------------------------------------
 
 
@@ -448,6 +494,15 @@ def root_cause_ranking(spark, folder):
     )
 
 
+def root_cause_rules(spark, folder):
+    """Logs that show exhaustion, misconfiguration, or nothing a rule knows."""
+    found = root_causes.analyse(lanes.quiet_entries(_events(spark, folder)))
+    return found.select(
+        "log_id", "pos", "hypothesis", "confidence", _joined("evidence", "|"), "category",
+        _stamp("first_signal_at"), _joined("recommended_actions", "|"),
+    )
+
+
 def root_cause_evidence(spark, folder):
     found = root_causes.quoted_evidence(_entries(spark, folder, 100_000))
     return found.select("log_id", "rule", _joined("evidence", "|"))
@@ -479,6 +534,70 @@ def report_prompt(spark, folder):
     return report.prompts(found, cfg)
 
 
+def _after(text: str, title: str, upto: str) -> Column:
+    """What stands between two fixed pieces of a text."""
+    return F.substring_index(F.substring_index(text, title, -1), upto, 1)
+
+
+def report_sections(spark, folder):
+    """V2, V3: the sections of the Markdown report, but for the timeline."""
+    found, cfg = _findings(spark, folder)
+    return report.markdown(found, cfg).select(
+        "log_id",
+        F.substring_index("report", "\n\n## ", 1).alias("header"),
+        *[
+            _after("report", f"## {title}\n", "\n\n").alias(title.split()[0].lower())
+            for title in ("Incident Summary", "Root Cause Analysis", "Impact Assessment", "Recommended Actions", "Prevention")
+        ],
+        F.element_at(F.split("report", "\n\n---\n"), -1).alias("footer"),
+    )
+
+
+def report_fields(spark, folder):
+    """V4: the fields of the JSON text that hold no list of anomalies or events."""
+    found, cfg = _findings(spark, folder)
+
+    def field(path: str, kind: str, alias: str) -> Column:
+        return F.get_json_object("report_json", f"$.{path}").cast(kind).alias(alias)
+
+    return report.json(report.document(found, cfg)).select(
+        "log_id",
+        field("ok", "boolean", "ok"),
+        field("metadata.generated_at", "string", "generated_at"),
+        field("metadata.log_source", "string", "log_source"),
+        field("metadata.total_lines", "bigint", "total_lines"),
+        field("metadata.prompt_version", "string", "prompt_version"),
+        field("severity", "string", "severity"),
+        field("summary.critical_count", "bigint", "critical_count"),
+        F.round(field("summary.error_rate", "double", "x"), 6).alias("error_rate"),
+        field("summary.time_range[0]", "string", "first_ts"),
+        field("root_causes[0].hypothesis", "string", "hypothesis"),
+        field("root_causes[0].recommended_actions[1]", "string", "second_action"),
+    )
+
+
+def report_store(spark, folder):
+    """Reports appended to a store and the newest listed."""
+    found, cfg = _findings(spark, folder)
+    path = f"{Staging(spark).folder}/reports"
+    reports.save(report.document(found, cfg), path)
+    return reports.latest(spark, path, cfg).select(
+        F.length("id").cast("bigint").alias("id_length"), "severity", "log_source", "total_lines", "generated_at"
+    )
+
+
+def prompt_sections(spark, folder):
+    """V5: the prompt up to the root causes, and its request."""
+    found, cfg = _findings(spark, folder)
+    return report.prompts(found, cfg).select(
+        "log_id",
+        F.substring_index("prompt", "\n\nKEY ANOMALIES DETECTED:\n", 1).alias("opening"),
+        _after("prompt", "\n\nERROR CLUSTERS (grouped similar errors):\n", "\n\nTIMELINE").alias("clusters"),
+        F.element_at(F.split("prompt", "\n\nWrite the incident report"), -1).alias("request"),
+        F.md5("system_prompt").alias("system_md5"),
+    )
+
+
 def report_shape(spark, folder):
     """V4: the list sizes and figures inside the report documents."""
     found, cfg = _findings(spark, folder)
@@ -611,6 +730,32 @@ def eval_summary(spark, folder):
     return out.select("cases", *[_six(c) for c in out.columns if c != "cases"])
 
 
+def eval_from_file(spark, folder):
+    """Cases written as one JSON array, their logs analysed and graded, the stored figures read back."""
+    staging = Staging(spark)
+    lines = lanes.lines(_texts(spark, folder), "nginx_access")
+    case = F.struct(
+        F.col("log_id").alias("id"),
+        F.lit("nginx").alias("expected_log_source"),
+        F.array(F.lit("latency_spike"), F.lit("silence")).alias("expected_anomaly_types"),
+        F.lit("dependency").alias("expected_root_cause_category"),
+        F.lit("P2").alias("expected_severity"),
+        F.lit(1).alias("expected_min_clusters"),
+        (F.col("log_id") == "nginx_access-0").alias("expect_no_anomalies"),
+    )
+    # three logs
+    array = lines.select("log_id").distinct().agg(F.to_json(F.collect_list(case)).alias("value"))
+    array.write.text(f"{staging.folder}/cases")
+    cases = reports.eval_cases(spark, f"{staging.folder}/cases", Settings())
+    got = pipeline.analyse(lines, FOUR)
+    rows = evaluate.rows(cases, evaluate.outcomes(got.summary, got.anomalies, got.error_clusters, got.root_causes))
+    reports.save_evaluation(evaluate.summary(rows), rows, f"{staging.folder}/stored", PARSE)
+    stored = spark.read.json(f"{staging.folder}/stored/summary")
+    kept = ("cases", "run", "avg_processing_time_ms")
+    measured = (F.col("avg_processing_time_ms") > 0).alias("measured")
+    return stored.select("run", "cases", measured, *[_six(c) for c in stored.columns if c not in kept])
+
+
 # --- whole analysis ------------------------------------------------------------------------------------------------
 
 
@@ -698,7 +843,8 @@ QUERIES: dict[str, Query] = {
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
         all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
         traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines,
-        quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
+        detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
+        prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
         cosine_edges, dbscan_components, cluster_representative, error_clusters, error_clusters_capped,
         singleton_clusters, default_embedding_clusters, cluster_search, cluster_export, first_errors, entry_events,
         recovery_points, timeline_build, timeline_volume, root_cause_ranking, root_cause_evidence, report_markdown,

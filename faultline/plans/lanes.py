@@ -82,6 +82,16 @@ def entries(events: DataFrame, logs: int = 4) -> DataFrame:
     )
 
 
+def quiet_entries(events: DataFrame) -> DataFrame:
+    """Lane A with one log per user and errors that show exhaustion, misconfiguration or, for every third user, nothing."""
+    third = _user() % 3
+    full = F.when(_id() % 2 == 0, "No space left on device").otherwise("Too many open files")
+    trouble = F.when(third == 0, full).when(third == 1, "invalid configuration in app.yaml").otherwise("quiet trouble")
+    text = F.when(F.col("event_type") == "error", trouble).otherwise("quiet step")
+    made = entries(events.withColumn("props", text), 100_000)
+    return made.withColumn("message", F.col("raw_line")).withColumn("stack_trace", F.lit(None).cast("string"))
+
+
 def _ts(layout: str) -> Column:
     return F.date_format("ts", layout)
 
@@ -167,6 +177,24 @@ def _custom() -> Column:
     return F.when(_id() % 9 == 4, F.format_string("unreadable %d", _id())).otherwise(good)
 
 
+def _k8s_table() -> Column:
+    """Events with repeated table headers and lines of no form between them."""
+    header = F.when(_id() % 50 == 0, "LAST SEEN   TYPE   REASON   OBJECT   MESSAGE")
+    return F.coalesce(header, F.when(_id() % 11 == 5, F.format_string("unreadable %d", _id())), _k8s_event())
+
+
+def _syslog_loose() -> Column:
+    return F.when(_id() % 11 == 5, F.format_string("loose text %d", _id())).otherwise(_syslog())
+
+
+def _python_prefixed() -> Column:
+    prefix = _by_type(error="ERROR:    ", signup="INFO:     ", other=F.lit("    at "))
+    return F.concat(prefix, F.format_string("handled %s %d", F.col("event_type"), _id()))
+
+
+# rendered on their own, not part of the detection lanes
+LOOSE_LINES = {"k8s_table": _k8s_table, "syslog_loose": _syslog_loose, "python_prefixed": _python_prefixed}
+
 LINES = {
     "nginx_access": _nginx_access,
     "nginx_error": _nginx_error,
@@ -189,7 +217,7 @@ def lines(events: DataFrame, kind: str, logs: int = 3) -> DataFrame:
     return events.select(
         F.concat(F.lit(f"{kind}-"), (_id() % logs).cast("string")).alias("log_id"),
         (F.floor(_id() / logs) + 1).cast("bigint").alias("line_number"),
-        LINES[kind]().alias("raw_line"),
+        (LINES | LOOSE_LINES)[kind]().alias("raw_line"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from faultline import fixed_values as fixed
+
 STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
 _MESSAGE = """CASE WHEN event_type = 'error' THEN CASE event_id % 6
@@ -165,6 +167,12 @@ def _parse(kind: str, level: str, message: str, *columns: str) -> str:
     return f"SELECT {_dealt(kind)}, {level} AS level, {message} AS message{rest} FROM events"
 
 
+def _every_line(kind: str, header: str, skipped: str, level: str, message: str) -> str:
+    return f"""SELECT log_id, line_number, NOT header AND NOT skipped AS is_entry, skipped AND NOT header AS is_skipped,
+    CASE WHEN NOT header AND NOT skipped THEN level END AS level, CASE WHEN NOT header AND NOT skipped THEN message END AS message
+  FROM (SELECT {_dealt(kind)}, {header} AS header, {skipped} AS skipped, {level} AS level, {message} AS message FROM events)"""
+
+
 PARSERS = {
     "parse_nginx_access": _parse(
         "nginx_access", _STATUS_LEVEL, f"printf('GET /api/v%d/%s?id=%d %d', event_id % 7, event_type, event_id, {_STATUS})",
@@ -218,6 +226,15 @@ PARSERS = {
         "CASE WHEN event_id % 9 = 4 THEN 'unreadable ' || event_id ELSE 'handled ' || event_id END",
         _stamp("CASE WHEN event_id % 9 <> 4 THEN ts END", "ts"),
         "CASE WHEN event_id % 9 <> 4 THEN 'svc-' || (user_id % 7) END AS service"),
+    "parse_k8s_table": _every_line(
+        "k8s_table", "event_id % 50 = 0", "event_id % 11 = 5", _type("'INFO'", error="'WARNING'"), "'BackOff: handled ' || event_id"),
+    "parse_syslog_loose": _every_line(
+        "syslog_loose", "FALSE", "event_id % 11 = 5",
+        _type("'INFO'", error="'ERROR'", signup="'WARNING'", purchase="'CRITICAL'"),
+        f"{_type(chr(39) + 'Started' + chr(39), error=repr('Unit FAILED'), signup=repr('warning shown'), purchase=repr('Out of memory'))} || ' ' || event_id"),
+    "parse_python_prefixed": _every_line(
+        "python_prefixed", "FALSE", "FALSE", _type("'INFO'", error="'ERROR'"),
+        f"{_type(repr('    at '), error=repr('ERROR:    '), signup=repr('INFO:     '))} || {_HANDLED}"),
     "custom_confidence": f"""SELECT 'custom-' || (event_id % 3) AS log_id,
   round(avg((event_id % 9 <> 4)::INT), 6) AS confidence FROM events GROUP BY 1""",
     "traceback_merge": """WITH t AS (SELECT 'py-' || (event_id % 2) AS log_id, event_id * 4 + 1 AS first, event_type, event_id,
@@ -285,6 +302,10 @@ DETECTION = {
   SELECT log_id, format, CASE WHEN format = 'generic' THEN 'unknown' ELSE format END AS log_source FROM f""",
 }
 
+DETECTION["detect_empty_logs"] = """SELECT 'nginx_access-' || (event_id % 3) AS log_id, 'nginx' AS format, 'nginx' AS log_source,
+    1.0::DOUBLE AS score, count(*) AS total_lines FROM events GROUP BY 1
+  UNION ALL SELECT DISTINCT 'empty-' || user_id, 'generic', 'unknown', 0.0, 0 FROM events"""
+
 # kind -> when an entry is an error, when it has a time; the last three are read by the generic format
 _ENTRY = {
     "nginx_access": ("event_type = 'error'", "TRUE"),
@@ -334,6 +355,9 @@ INGEST = {
     "document_lines": f"""WITH {_LINES} SELECT log_id, len(parts) AS lines, len(parts) AS last_line,
   CAST(list_sum([length(p) for p in parts]) AS BIGINT) AS characters,
   len([p for p in parts if p = '']) AS empty_lines FROM l WHERE len(parts) > 0""",
+    "text_file_guards": """SELECT 'doc-' || doc_id AS log_id, CASE WHEN strlen(text) > 11999 THEN 'file_too_large'
+  WHEN length(text) - length(replace(text, chr(10), '')) > 39 THEN 'too_many_lines' ELSE 'accepted' END AS reason
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
     "quarantine": """SELECT 'doc-' || doc_id AS log_id, CASE WHEN strlen(text) > 12000 THEN 'file_too_large'
   ELSE 'too_many_lines' END AS reason FROM documents
   WHERE strlen(text) > 12000 OR length(text) - length(replace(text, chr(10), '')) > 40""",
@@ -457,6 +481,8 @@ CLUSTERS = {
     array_to_string(services, '; ') AS services FROM c""",
 }
 
+CLUSTERS["cluster_csv"] = CLUSTERS["cluster_export"]
+
 # --- timeline ------------------------------------------------------------------------------------------------------
 
 _FIRST = """fe AS (SELECT log_id, min(line_number) AS line_number, min_by(ts, line_number) AS ts, 'first_error' AS event_type,
@@ -534,7 +560,27 @@ _RULE_ROWS = """r AS (
     'Correlate with deployments and infra changes.|Narrow time window around first customer impact.|Collect metrics alongside logs for context.'
     FROM f WHERE NOT (refused OR oom OR gateway OR upstream OR traced OR ssl))"""
 
+_RULE_ORDER = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, first NULLS LAST, rule"
+
+
+def _rule_text(name: str) -> str:
+    category, text, actions = fixed.RULES[name]
+    return f"'{text}' AS hypothesis, '{category}' AS category, '{'|'.join(actions)}' AS recommended_actions"
+
+
+_QUIET = f"""WITH w AS (SELECT user_id, user_id % 3 AS third, count(*) FILTER (event_type = 'error') AS errors,
+    min(ts) FILTER (event_type = 'error') AS first, array_to_string(list(CASE WHEN event_id % 2 = 0 THEN 'no space left on device'
+      ELSE 'too many open files' END ORDER BY event_id) FILTER (event_type = 'error')[1:3], '|') AS quoted FROM events GROUP BY 1),
+  r AS (SELECT user_id, 'high' AS confidence, quoted AS evidence, first, {_rule_text('resource_exhaustion')}
+      FROM w WHERE third = 0 AND errors > 0
+    UNION ALL SELECT user_id, 'medium', '{fixed.CONFIGURATION_EVIDENCE}', first, {_rule_text('configuration')}
+      FROM w WHERE third = 1 AND errors > 0
+    UNION ALL SELECT user_id, 'low', '{fixed.NO_RULE_EVIDENCE}', NULL, {_rule_text('none')} FROM w WHERE third = 2 OR errors = 0)
+  SELECT 'log-' || user_id AS log_id, 1::BIGINT AS pos, confidence, evidence, hypothesis, category, recommended_actions,
+    {_stamp('first', 'first_signal_at')} FROM r"""
+
 ROOT_CAUSES = {
+    "root_cause_rules": _QUIET,
     "root_cause_ranking": f"""WITH {_BY_USER}, {_CAUSES}, {_RULE_ROWS}
   SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END,
     first NULLS LAST, rule) AS pos, hypothesis, confidence, evidence, category, {_stamp('first', 'first_signal_at')},
@@ -576,8 +622,65 @@ REPORTS = {
     CASE WHEN avg((event_type = 'error')::INT) > 0.1 THEN 'P2' ELSE 'P3' END AS severity FROM events GROUP BY 1""",
 }
 
+
+
+def _spaced(column: str) -> str:
+    whole = f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    return f"{whole} || CASE WHEN strftime({column}, '%f') = '000000' THEN '' ELSE strftime({column}, '.%f') END"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NL = "chr(10)"
+_RANGE = f"{_spaced('first_ts')} || ' → ' || {_spaced('last_ts')}"
+_AT = "2024-02-01T00:00:00.000000Z"
+_REQUEST = " with these sections:\n" + "\n".join(f"## {title}" for title in fixed.SECTIONS)
+_TWO_ACTIONS = "unnest(string_split(actions, '|')[1:2]) AS action, generate_subscripts(string_split(actions, '|')[1:2], 1) AS i"
+
+REPORTS |= {
+    "report_sections": f"""WITH {_entries()}, {_TOP}, {_STATS}, {_CAUSES}, {_RULE_ROWS},
+  o AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY {_RULE_ORDER}) AS pos FROM r),
+  rt AS (SELECT log_id, string_agg('- **' || category || '** (' || confidence || '): ' || hypothesis || {_NL} || '  - Evidence: '
+    || replace(evidence, '|', ', '), {_NL} ORDER BY pos) AS root FROM o GROUP BY 1),
+  ac AS (SELECT log_id, pos, {_TWO_ACTIONS} FROM o),
+  re AS (SELECT log_id, string_agg('- ' || action, {_NL} ORDER BY pos, i) AS recommended FROM
+    (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY pos, i) AS n FROM ac) WHERE n <= 6 GROUP BY 1),
+  tm AS (SELECT log_id, string_agg(message[:80], ', ' ORDER BY count DESC, first_line) AS top FROM t GROUP BY 1)
+  SELECT s.log_id, '# Incident Report' || {_NL} || {_NL} || '- **generated_at:** {_AT}' || {_NL} || '- **log_source:** unknown' || {_NL}
+      || '- **lines_analysed:** ' || n || {_NL} || '- **prompt_version:** v1.0' AS header,
+    'Automated analysis of **' || n || '** log lines (unknown), **' || n || '** structured entries. Error rate **'
+      || printf('%.1f%%', error_rate * 100) || '**, warnings **' || printf('%.1f%%', warning_rate * 100) || '**, critical events **'
+      || critical_count || '**. Time range: **' || {_RANGE} || '**.' AS incident,
+    root, 'Top error signatures: ' || coalesce(top, 'none') || '.' || {_NL}
+      || 'Pipeline processing took **0 ms** (parser version v1.0).' AS impact, recommended,
+    {_quoted(fixed.PREVENTION)} AS prevention, 'Incident Report v1.0' AS footer
+  FROM s JOIN rt USING (log_id) JOIN re USING (log_id) LEFT JOIN tm USING (log_id)""",
+    "report_fields": f"""SELECT q.log_id, TRUE AS ok, '{_AT}' AS generated_at, 'unknown' AS log_source, q.total_lines,
+    'v1.0' AS prompt_version, severity, critical_count, q.error_rate, q.first_ts, hypothesis, string_split(actions, '|')[2] AS second_action
+  FROM ({REPORTS['report_shape']}) q JOIN ({SUMMARY['log_summary']}) l USING (log_id)
+  JOIN (WITH {_entries()}, {_CAUSES}, {_RULE_ROWS} SELECT * FROM r
+    QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY {_RULE_ORDER}) = 1) c USING (log_id)""",
+    "report_store": f"""SELECT 12::BIGINT AS id_length, severity, 'unknown' AS log_source, total_lines, '{_AT}' AS generated_at
+  FROM ({REPORTS['report_shape']})""",
+    "prompt_sections": f"""WITH {_entries()}, {_STATS}, {_CAUSES}, {_RULE_ROWS}, {_KEYED}, {_DEDUP}, {_clustered(200, 8, 2)},
+  h AS (SELECT log_id, string_agg('[' || category || '|' || confidence || '] ' || hypothesis || ' (evidence: '
+    || replace(evidence, '|', '; ') || ')', {_NL} ORDER BY {_RULE_ORDER}) AS causes FROM r GROUP BY 1),
+  j AS (SELECT log_id, string_agg(count || 'x ' || representative_message[:300] || ' services=['
+    || array_to_string([chr(39) || x || chr(39) for x in services], ', ') || ']', {_NL} ORDER BY pos) AS clusters FROM c GROUP BY 1)
+  SELECT s.log_id, 'Write an incident report based on this analysis:' || {_NL} || {_NL} || 'LOG SOURCE: unknown' || {_NL} || 'TIME RANGE: '
+      || {_RANGE} || {_NL} || 'TOTAL LINES ANALYSED: ' || n || {_NL} || 'ERROR RATE: ' || printf('%.1f%%', error_rate * 100)
+      || {_NL} || {_NL} || 'ROOT CAUSE HYPOTHESES:' || {_NL} || causes AS opening,
+    clusters, {_quoted(_REQUEST)} AS request, md5({_quoted(fixed.SYSTEM_PROMPT)}) AS system_md5
+  FROM s JOIN h USING (log_id) LEFT JOIN j USING (log_id)""",
+}
+
 # --- history and evaluation ----------------------------------------------------------------------------------------
 
+_ACCESS = f"""e AS (SELECT 'nginx_access-' || (event_id % 3) AS log_id, event_id // 3 + 1 AS line_number,
+    {_SECOND} - INTERVAL 2 HOUR AS ts, value * 1000 AS response_time_ms, (event_type = 'error')::INT AS is_error FROM events)"""
+
 _HISTORY = """h AS (SELECT o_orderkey::VARCHAR AS id, o_orderdate AS ts, CASE o_orderpriority[1] WHEN '1' THEN 'P1' WHEN '2' THEN 'P2'
       WHEN '3' THEN 'P3' ELSE 'P4' END AS severity, CASE o_orderstatus WHEN 'O' THEN 'nginx' WHEN 'F' THEN 'python' ELSE 'docker' END AS log_source,
     CAST(floor(o_totalprice) AS BIGINT) AS total_lines, o_orderkey % 8 AS cluster_count, o_orderkey % 5 AS anomaly_count,
@@ -608,6 +711,17 @@ HISTORY = {
     "service_metrics": """WITH s AS (SELECT event_type, count(*) AS n, sum(value) AS ms FROM events GROUP BY 1)
   SELECT CAST(sum(n) AS BIGINT) AS total_requests, round(sum(ms) / sum(n), 6) AS avg_processing_time_ms,
     string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS format_distribution, 'v1.0' AS prompt_version FROM s""",
+    # of the rules only those with the expected category can match access lines
+    "eval_from_file": f"""WITH {_ACCESS}, {_rates('1 hour')}, {_spikes('1 hour', 2.5)}, {_latency(2.5)}, {_SILENCE}, {_cascades('1 hour', 2.5)}, {_UNION},
+  a AS (SELECT log_id, count(DISTINCT anomaly_type) FILTER (anomaly_type IN ('latency_spike', 'silence')) AS found,
+    bool_or(anomaly_type = 'cascade_failure') AS cascade FROM u GROUP BY 1),
+  l AS (SELECT log_id, avg(is_error) AS rate, sum(is_error) AS errors FROM e GROUP BY 1),
+  v AS (SELECT l.*, coalesce(found, 0) AS found, rate > 0.1 OR coalesce(cascade, FALSE) AS severe,
+    log_id = 'nginx_access-0' AND a.log_id IS NOT NULL AS wrong FROM l LEFT JOIN a USING (log_id))
+  SELECT '20240201_000000' AS run, count(*) AS cases, TRUE AS measured, 1.0::DOUBLE AS log_source_accuracy,
+    round(sum(found) / (2 * count(*))::DOUBLE, 6) AS anomaly_type_recall, 1.0::DOUBLE AS root_cause_category_accuracy,
+    round(avg(severe::INT), 6) AS severity_accuracy, round(avg((errors > 0)::INT), 6) AS cluster_detection_rate,
+    round(avg(wrong::INT), 6) AS false_positive_rate FROM v""",
     "eval_rows": f"""WITH {_EVAL} SELECT id, source_ok, types_expected, types_found, cause_ok, severity_ok, clusters_ok, false_positive FROM v""",
     "eval_summary": f"""WITH {_EVAL} SELECT count(*) AS cases, round(avg(source_ok::INT), 6) AS log_source_accuracy,
   round(sum(types_found) / sum(types_expected)::DOUBLE, 6) AS anomaly_type_recall, round(avg(cause_ok::INT), 6) AS root_cause_category_accuracy,
