@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.config import Settings
-from faultline.functions import times
+from faultline.functions import times, vectors
 from faultline.operators import (
     anomalies,
     clusters,
@@ -414,10 +414,19 @@ def singleton_clusters(spark, folder):
 
 
 def default_embedding_clusters(spark, folder):
-    """The built-in embedder, whose hashing has no SQL equivalent."""
+    """Clusters by the built-in embedder."""
     return _flat_clusters(_clusters(spark, _entries(spark, folder), FOUR, None))
 
 
+def template_embeddings(spark, folder):
+    """The weights of the built-in embedder for the templates of each user's log."""
+    embedded = vectors.hashed_embedder(64)(_by_user(spark, folder))
+    weights = embedded.select("log_id", "ordinal", F.posexplode("embedding").alias("slot", "weight"))
+    return weights.filter(F.col("weight") > 0).select(
+        "log_id", "ordinal", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight")
+    )
+
+
 def cluster_search(spark, folder):
     found = _clusters(spark, _entries(spark, folder), FOUR)
     return clusters.search(found, "svc-3", ("P1", "P2")).select(
@@ -812,14 +821,18 @@ def stream_error_rates(spark, folder):
 
 
 def stream_spike_flags(spark, folder):
-    """The same rates in two batches, the second flagged against the trailing three days of the first."""
-    rates = anomalies.error_rates(_entries(spark, folder), FOUR).select(
-        "log_id", "window_start", "total", "errors", "rate"
-    )
-    flags = stream_rates.SpikeFlags(spark, Staging(spark).folder, FOUR.but(z_threshold=1.5), "3 days")
-    split = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    flags(rates.filter(F.col("window_start") < split), 0)
-    flags(rates.filter(F.col("window_start") >= split), 1)
+    """X3 on X2: the events before the middle day, then all others, arrive in a folder; the stream runs after each, and
+    the hours that the second run closes are flagged against the trailing three days of the first."""
+    events, place = _events(spark, folder), Staging(spark).folder
+    first, last = events.agg(F.min("ts"), F.max("ts")).head()
+    middle = F.lit((first + (last - first) / 2).date().isoformat()).cast("timestamp_ntz")
+    flags = stream_rates.SpikeFlags(spark, place, FOUR.but(z_threshold=1.5), "3 days")
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        events.filter(part).write.mode("append").parquet(f"{place}/arrived")
+        stream = spark.readStream.schema(events.schema).parquet(f"{place}/arrived")
+        rates = stream_rates.error_rates(lanes.entries(stream), FOUR, "2 hours")
+        query = rates.writeStream.foreachBatch(flags).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+        query.start().awaitTermination()
     return flags.found(spark).select(
         "log_id", _stamp("window_start"), _six("rate"), _six("mean"), "windows", _six("z_score")
     )
@@ -843,7 +856,7 @@ QUERIES: dict[str, Query] = {
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
         all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
         traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines,
-        detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
+        template_embeddings, detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
         prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
         cosine_edges, dbscan_components, cluster_representative, error_clusters, error_clusters_capped,
         singleton_clusters, default_embedding_clusters, cluster_search, cluster_export, first_errors, entry_events,

@@ -481,6 +481,13 @@ CLUSTERS = {
     array_to_string(services, '; ') AS services FROM c""",
 }
 
+CLUSTERS["template_embeddings"] = f"""WITH {_BY_USER}, {_KEYED}, {_DEDUP},
+  w AS (SELECT log_id, ordinal, unnest(regexp_split_to_array(lower(template), '<[a-z]+>|[^\\p{{L}}\\p{{N}}]+')) AS word FROM t),
+  s AS (SELECT log_id, ordinal, ('0x' || md5(word)[:8])::BIGINT % 64 AS slot, sqrt(count(*)) AS tf FROM w WHERE word <> '' GROUP BY 1, 2, 3),
+  d AS (SELECT log_id, slot, count(*) AS d FROM s GROUP BY 1, 2), n AS (SELECT log_id, count(*) AS n FROM t GROUP BY 1),
+  x AS (SELECT s.log_id, ordinal, s.slot, tf * (ln((1 + n) / (1 + d)::DOUBLE) + 1) AS x FROM s JOIN d ON d.log_id = s.log_id AND d.slot = s.slot
+    JOIN n ON n.log_id = s.log_id)
+  SELECT log_id, ordinal, slot, round((x / sqrt(sum(x * x) OVER (PARTITION BY log_id, ordinal)))::FLOAT::DOUBLE, 4) AS weight FROM x"""
 CLUSTERS["cluster_csv"] = CLUSTERS["cluster_export"]
 
 # --- timeline ------------------------------------------------------------------------------------------------------
@@ -736,12 +743,14 @@ STREAMS = {
     "stream_error_rates": f"""{DETECTORS['error_rate_by_window']}
   WHERE w + INTERVAL 1 HOUR <= {_LAST} - INTERVAL 2 HOUR""",
     "stream_spike_flags": f"""WITH {_entries()}, {_rates('1 hour')},
-  o AS (SELECT log_id, min(w) AS oldest FROM r WHERE w >= TIMESTAMP '2024-01-20' GROUP BY 1),
-  b AS (SELECT log_id, avg(rate) AS mean, stddev_pop(rate) AS spread, count(*) AS windows FROM r JOIN o USING (log_id)
-    WHERE w < TIMESTAMP '2024-01-20' AND w >= oldest - INTERVAL 3 DAY GROUP BY 1 HAVING count(*) >= 3)
+  m AS (SELECT date_trunc('day', min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 2)) AS middle FROM events),
+  k AS (SELECT max(ts) FILTER (ts < middle) - INTERVAL 3 HOUR AS closed, max(ts) - INTERVAL 3 HOUR AS ended FROM events, m),
+  o AS (SELECT log_id, min(w) AS oldest FROM r, k WHERE w > closed AND w <= ended GROUP BY 1),
+  b AS (SELECT log_id, avg(rate) AS mean, stddev_pop(rate) AS spread, count(*) AS windows FROM r JOIN o USING (log_id), k
+    WHERE w <= closed AND w >= oldest - INTERVAL 3 DAY GROUP BY 1 HAVING count(*) >= 3)
   SELECT log_id, {_stamp('w', 'window_start')}, round(rate, 6) AS rate, round(mean, 6) AS mean, windows,
-    round((rate - mean) / spread, 6) AS z_score FROM r JOIN b USING (log_id)
-  WHERE w >= TIMESTAMP '2024-01-20' AND spread > 0 AND (rate - mean) / spread > 1.5 AND rate > 0""",
+    round((rate - mean) / spread, 6) AS z_score FROM r JOIN b USING (log_id), k
+  WHERE w > closed AND w <= ended AND spread > 0 AND (rate - mean) / spread > 1.5 AND rate > 0""",
     "stream_silence_alarms": f"""WITH {_entries(100_000)},
   g AS (SELECT log_id, ts, CASE WHEN ts - lag(ts) OVER o >= INTERVAL 6 HOUR OR lag(ts) OVER o IS NULL THEN 1 ELSE 0 END AS fresh
     FROM e WINDOW o AS (PARTITION BY log_id ORDER BY ts)),

@@ -61,27 +61,35 @@ class SpikeFlags:
     """X3 as a ``foreachBatch`` function: flags each batch of finished windows against the trailing ones on disk.
 
     Each batch writes to folders named after its id and reads only batches before it, so a batch that is run again
-    gives the same rows in the same places. The trailing baseline stands in for the whole log, which a stream never
-    sees; this is an approximation of N1.
+    gives the same rows in the same places. Windows are stored by day, and a batch reads the days that its baseline
+    reaches, not all history. The trailing baseline stands in for the whole log, which a stream never sees; this is an
+    approximation of N1.
     """
 
-    SCHEMA = "log_id string, window_start timestamp_ntz, total bigint, errors bigint, rate double, batch bigint"
+    COLUMNS = ["log_id", "window_start", "total", "errors", "rate"]
+    SCHEMA = "log_id string, window_start timestamp_ntz, total bigint, errors bigint, rate double, batch bigint, day date"
 
     def __init__(self, spark: SparkSession, folder: str, cfg: Settings, trailing: str = "1 day"):
         self.windows = f"{folder.rstrip('/')}/windows"
         self.flags = f"{folder.rstrip('/')}/flags"
         self.cfg, self.trailing = cfg, trailing
         # an empty first batch gives the table a folder to be read from
-        nothing = spark.createDataFrame([], self.SCHEMA).drop("batch")
-        nothing.write.mode("overwrite").parquet(f"{self.windows}/batch=-1")
+        nothing = spark.createDataFrame([], self.SCHEMA).drop("batch", "day")
+        nothing.write.mode("overwrite").parquet(f"{self.windows}/batch=-1/day=1970-01-01")
 
     def __call__(self, rates: DataFrame, batch: int) -> None:
         spark = rates.sparkSession
+        # written first, so that the stream's plan runs once
+        dated = rates.select(*self.COLUMNS, F.lit(batch).cast("bigint").alias("batch"), F.to_date("window_start").alias("day"))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(self.windows)
         known = spark.read.schema(self.SCHEMA).option("basePath", self.windows).parquet(self.windows)
+        own = known.filter(F.col("batch") == batch).select(*self.COLUMNS)
+        since = own.agg(F.to_date(F.min("window_start") - F.expr(f"interval {self.trailing}"))).head()[0]
         earlier = known.filter(F.col("batch") < batch)
-        flagged = flag_against(rates, baseline(earlier, rates, self.trailing), self.cfg)
+        if since is not None:
+            earlier = earlier.filter(F.col("day") >= F.lit(since))
+        flagged = flag_against(own, baseline(earlier, own, self.trailing), self.cfg)
         flagged.write.mode("overwrite").parquet(f"{self.flags}/batch={batch}")
-        rates.write.mode("overwrite").parquet(f"{self.windows}/batch={batch}")
 
     def found(self, spark: SparkSession) -> DataFrame:
         """All windows flagged so far."""

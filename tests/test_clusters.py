@@ -108,8 +108,8 @@ def test_oversized_group_is_reported(spark):
 
 def test_default_embedding(spark):
     texts = ["worker <NUM> timed out", "worker <NUM> timed out again", "disk full on <PATH>", "<NUM>"]
-    frame = spark.createDataFrame([(t,) for t in texts], "t string")
-    found = [np.array(r[0]) for r in frame.select(vectors.hashed_words(F.col("t"), 64)).collect()]
+    frame = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "log_id string, ordinal long, template string")
+    found = [np.array(r.embedding) for r in vectors.hashed_embedder(64)(frame).orderBy("ordinal").collect()]
     assert [round(float(np.linalg.norm(v)), 5) for v in found] == [1.0, 1.0, 1.0, 0.0]
     assert found[0] @ found[1] > 0.8 and found[0] @ found[2] < 0.5
 
