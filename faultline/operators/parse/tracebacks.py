@@ -103,7 +103,10 @@ def merged(assigned: DataFrame) -> DataFrame:
     header = F.col("line_number") == F.col("block")
     body = F.when(header, rstrip(F.col("raw_line"))).otherwise(F.col("raw_line"))
     rows = assigned.filter(F.col("block").isNotNull()).select(
-        "log_id", "block", F.struct("line_number", body.alias("body"), "raw_line").alias("row")
+        "log_id",
+        "block",
+        # the raw line is wanted of the header alone
+        F.struct("line_number", body.alias("body"), F.when(header, F.col("raw_line")).alias("raw_line")).alias("row"),
     )
     blocks = rows.groupBy("log_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     last = F.element_at("rows", -1)

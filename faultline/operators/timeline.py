@@ -105,24 +105,27 @@ def anomaly_events(anomalies: DataFrame, cfg: Settings) -> DataFrame:
 def recoveries(entries: DataFrame, cfg: Settings) -> DataFrame:
     """The first INFO entry of each log that has an error among the five timed entries before it.
 
-    Each (log, time chunk) is put in order on its own and reduced to one row: its size, its last error, its first hit
-    and its first five entries. Errors of earlier chunks can only matter to those five.
+    Each (log, tick) is put in order on its own and reduced to one row: its size, its last error, its first hit and its
+    first five entries. Errors of earlier ticks can only matter to those five. Ticks are added up inside their time
+    chunk, and only chunks are windowed by log, so a hot ten minutes is the work of many tasks.
     """
+    start = F.window("ts", cfg.time_chunk).getField("start")
     timed = entries.filter(F.col("ts").isNotNull()).select(
         "log_id",
-        F.window("ts", cfg.time_chunk).getField("start").alias("chunk"),
+        start.alias("chunk"),
+        F.date_trunc("second", "ts").alias("tick"),
         "ts",
         "line_number",
         is_error().alias("error"),
         (F.col("level") == "INFO").alias("info"),
     )
-    inside = Window.partitionBy("log_id", "chunk").orderBy("ts", "line_number")
+    inside = Window.partitionBy("log_id", "chunk", "tick").orderBy("ts", "line_number")
     numbered = timed.withColumn("place", F.row_number().over(inside))
     numbered = numbered.withColumn("error_at", F.when(F.col("error"), F.col("place")))
     last_error = F.max("error_at").over(inside.rowsBetween(-RECOVERY_REACH, -1))
     numbered = numbered.withColumn("hit", F.col("info") & last_error.isNotNull())
     entry = F.struct("ts", "line_number")
-    chunks = numbered.groupBy("log_id", "chunk").agg(
+    ticks = numbered.groupBy("log_id", "chunk", "tick").agg(
         F.count(F.lit(1)).alias("size"),
         F.max("error_at").alias("error_at"),
         F.min(F.when(F.col("hit"), entry)).alias("own"),
@@ -130,12 +133,24 @@ def recoveries(entries: DataFrame, cfg: Settings) -> DataFrame:
             F.when(F.col("info") & (F.col("place") <= RECOVERY_REACH), F.struct("place", "ts", "line_number"))
         ).alias("head"),
     )
-    earlier = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    chunks = chunks.withColumn("carried", F.max(F.col("before") + F.col("error_at")).over(earlier))
-    near = F.filter("head", lambda h: F.col("before") + h["place"] - F.col("carried") <= RECOVERY_REACH)
+
+    def before(*keys: str, order: str):
+        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    earlier_ticks = before("log_id", "chunk", order="tick")
+    ticks = ticks.withColumn("offset", F.coalesce(F.sum("size").over(earlier_ticks), F.lit(0)))
+    ticks = ticks.withColumn("error_at", F.col("offset") + F.col("error_at"))
+    ticks = ticks.withColumn("in_chunk", F.max("error_at").over(earlier_ticks))
+    chunks = ticks.groupBy("log_id", "chunk").agg(F.sum("size").alias("size"), F.max("error_at").alias("error_at"))
+    earlier = before("log_id", order="chunk")
+    chunks = chunks.withColumn("rows_before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    chunks = chunks.withColumn("carried", F.max(F.col("rows_before") + F.col("error_at")).over(earlier))
+    joined = ticks.join(chunks.select("log_id", "chunk", "rows_before", "carried"), ["log_id", "chunk"])
+    # places of the tick's first entries and of the last error before it, both counted in the whole log
+    last = F.greatest("carried", F.col("rows_before") + F.col("in_chunk"))
+    near = F.filter("head", lambda h: F.col("rows_before") + F.col("offset") + h["place"] - last <= RECOVERY_REACH)
     over_edge = F.array_min(F.transform(near, lambda h: F.struct(h["ts"].alias("ts"), h["line_number"].alias("line_number"))))
-    first = chunks.groupBy("log_id").agg(F.min(F.least("own", over_edge)).alias("first"))
+    first = joined.groupBy("log_id").agg(F.min(F.least("own", over_edge)).alias("first"))
     return first.filter(F.col("first").isNotNull()).select("log_id", "first.ts", "first.line_number")
 
 

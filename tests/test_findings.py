@@ -67,7 +67,8 @@ def test_recovery_against_a_walk(entries):
     rows, want = [], {}
     for log in range(60):
         seq = [rng.choice(["INFO", "ERROR", "WARNING", "WARNING", "WARNING"]) for _ in range(25)]
-        times = sorted(rng.randint(0, 9000) for _ in seq)
+        span = 9000 if log % 2 else 6
+        times = sorted(rng.randint(0, span) for _ in seq)
         rows += [entry(i, level=lv, ts=t, log_id=f"l{log}") for i, (lv, t) in enumerate(zip(seq, times))]
         for i, level in enumerate(seq):
             if level == "INFO" and "ERROR" in seq[max(0, i - 5) : i]:
