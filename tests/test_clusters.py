@@ -72,6 +72,12 @@ def test_left_out_templates_keep_their_counts(entries):
     assert [c.cluster_id for c in found] == [0, -3002, -3003, -3004]
 
 
+def test_all_clusters_without_a_cap(entries):
+    rows = [entry(i, f"word{'x' * i} happened", "ERROR") for i in range(1, 21)]
+    found = clusters.error_clusters(entries(rows), CFG.but(encode_cap=2, max_clusters=None), same_vector)
+    assert sorted(c["count"] for c in found.collect()) == [1] * 18 + [2]
+
+
 def brute(points, eps, min_samples):
     """Textbook density clustering, one point at a time."""
     near = [[j for j, q in enumerate(points) if 1 - p @ q <= eps] for p in points]

@@ -37,6 +37,12 @@ def test_format(found, name):
     assert found[name].format == CASES[name][1]
 
 
+def test_lines_are_counted_and_the_sample_may_be_everything(found, spark, lines):
+    assert (found["late"].total_lines, found["two_thirds"].total_lines, found["empty"].total_lines) == (70, 3, 0)
+    row = detect.formats(lines(CASES["late"][0]), Settings(sample_lines=None)).collect()[0]
+    assert row.format == "nginx" and row.score == pytest.approx(50 / 70 * 1.2)
+
+
 def test_scores(found):
     assert found["two_thirds"].score == pytest.approx(2 / 3 * 1.1)
     assert found["events"].score == pytest.approx(0.5 + 0.25 * 0.5)

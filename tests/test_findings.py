@@ -24,6 +24,17 @@ def test_timeline_is_sorted_with_unknown_times_first(entries, no_anomalies):
     assert [e.description for e in found] == ["c", "b", "a"] and [e.pos for e in found] == [1, 2, 3]
 
 
+def test_no_cap_keeps_every_event_in_order(entries, no_anomalies, spark):
+    rows = [entry(i, f"{i} broke", "ERROR", ts=None if i % 50 == 0 else 300 * (i % 7)) for i in range(1, 151)]
+    want = sorted(rows, key=lambda r: (r["ts"] is not None, r["ts"] or 0, r["line_number"]))
+    for stage in (None, Staging(spark).table):
+        found = timeline.build(entries(rows), no_anomalies, CFG.but(timeline_cap=None), stage).orderBy("pos").collect()
+        assert [e.related_entries for e in found] == [[r["line_number"]] for r in want]
+        assert [e.pos for e in found] == list(range(1, 151))
+    staged = timeline.build(entries(rows), no_anomalies, CFG, Staging(spark).table)
+    assert staged.collect() == timeline.build(entries(rows), no_anomalies, CFG).collect() and staged.count() == 100
+
+
 def test_one_entry_may_emit_several_events(entries, no_anomalies):
     rows = [entry(1, "container OOMKilled, starting again", "CRITICAL", ts=1)]
     found = build(entries, rows, no_anomalies)
