@@ -26,10 +26,12 @@ LOG_BASE = math.log((1 + ERROR) / (1 - ERROR))
 TINY = 1e-4
 #: Sketches of fewer documents are merged with those of the language's other sources.
 LEAST_DOCS = 100
-#: What is measured: (name, slack). A document passes up to three times the 90th percentile plus the slack.
+#: What is measured: (name, slack). A document passes up to three times what is usual (see quantiles) plus the slack.
 HIGH = (("symbols_a_word", 0.1), ("shouts_a_word", 0.1), ("capitals_a_char", 0.1), ("dup_lines_a_line", 0.2), ("chars_a_word", 2.0))
 TIMES = 3.0
 AT = 0.9
+LOW = 0.1
+SPREAD = 2.0
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -114,25 +116,37 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "source", each).groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def quantiles(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, docs, low (10th percentile), high (90th percentile) and usual of each sketch.
+
+    usual is the 90th percentile, but no further above the median than SPREAD times the median is above the 10th: what
+    less than half of the documents have cannot raise that.
+    """
+    docs = Window.partitionBy(*keys)
+    upto, total = F.sum("n").over(docs.orderBy(F.asc_nulls_first("bucket"))), F.sum("n").over(docs)
+    value = F.coalesce(F.exp(F.col("bucket") * LOG_BASE), F.lit(0.0))
+    at = found.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")).withColumn("upto", upto).withColumn("docs", total)
+    reached = lambda share: F.min(F.when(F.col("upto") >= share * F.col("docs"), value))
+    each = at.groupBy(*keys).agg(F.first("docs").alias("docs"), reached(LOW).alias("low"), reached(0.5).alias("middle"), reached(AT).alias("high"))
+    usual = F.least("high", F.col("middle") + SPREAD * (F.col("middle") - F.col("low")))
+    return each.select(*keys, "docs", "low", "high", usual.alias("usual"))
+
+
 def limits(found: DataFrame) -> DataFrame:
     """lang, source and the highest passing value of each measure.
 
-    Sketches merge by adding counts: a source with few documents takes the sketch of its whole language.
+    Sketches merge by adding counts: a source with few documents takes the sketch of its whole language. For any other its
+    own 90th percentile counts, but no more of it than is usual in the language or than nine tenths of its own documents
+    reach, which is a way of writing. So junk raises no limit while it is under half of the language and under nine tenths
+    of the source.
     """
-    docs = Window.partitionBy("lang", "source", "measure")
-    own = found.withColumn("docs", F.sum("n").over(docs))
-    merged = found.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    few = own.where(F.col("docs") < LEAST_DOCS).select(F.col("lang").alias("l"), "source", F.col("measure").alias("m")).distinct()
-    wide = merged.join(few, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).drop("l", "m")
-    every = own.where(F.col("docs") >= LEAST_DOCS).drop("docs").unionByName(wide)
-    upto = F.sum("n").over(docs.orderBy(F.asc_nulls_first("bucket")))
-    total = F.sum("n").over(docs)
-    value = F.coalesce(F.exp(F.col("bucket") * LOG_BASE), F.lit(0.0))
-    at = every.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= AT * F.col("total"))
+    own = quantiles(found, "lang", "source", "measure")
+    wide = quantiles(found, "lang", "measure").select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("usual").alias("wide"))
+    both = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
+    held = F.least("high", F.greatest("wide", "low"))
     slack = F.create_map(*[F.lit(x) for pair in HIGH for x in pair])
-    quantile = at.groupBy("lang", "source", "measure").agg(F.min(value).alias("q"))
-    quantile = quantile.withColumn("most", TIMES * F.col("q") + F.element_at(slack, F.col("measure")))
-    return quantile.groupBy("lang", "source").pivot("measure", [n for n, _ in HIGH]).agg(F.first("most"))
+    most = TIMES * F.when(F.col("docs") < LEAST_DOCS, F.col("wide")).otherwise(held) + F.element_at(slack, F.col("measure"))
+    return both.withColumn("most", most).groupBy("lang", "source").pivot("measure", [n for n, _ in HIGH]).agg(F.first("most"))
 
 
 def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:

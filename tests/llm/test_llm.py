@@ -323,6 +323,26 @@ def test_quantiles_are_right_to_the_stated_error(spark):
     assert most.symbols_a_word == pytest.approx(0.1) and most.chars_a_word == pytest.approx(3 * exact + 2, rel=0.021)
 
 
+@pytest.mark.parametrize("size", [60, 300])
+def test_quality_drops_junk_that_is_a_tenth_and_more_of_a_source(spark, size):
+    clean = lambda i: " ".join(f"word{i}x{j}" + ("!" if j % 9 == 0 else "") for j in range(30))
+    junk = [
+        lambda i: " ".join(f"bad{i}x{j}" + ("#" if j % 10 < 5 + i % 5 else "") for j in range(30)),
+        lambda i: " ".join(f"BAD{i}X{j}" for j in range(30)),
+        lambda i: "\n".join([f"menu home {i}"] * 2 + [f"own{i}x{j} text" for j in range(2)] + [f"foot{i} end"] * 2),
+    ]
+    rows = []
+    for kind, make in enumerate(junk):
+        for share in (10, 20, 40, 70):  # the language alone tells that 70 % of a source are junk
+            rows += [(f"{kind}-{share}", "hot", make(i) if 100 * i < share * size else clean(i), 100 * i >= share * size) for i in range(size)]
+            rows += [(f"{kind}-{share}", "calm", clean(-i), True) for i in range(size if share > 40 else 0)]
+    code = " ".join(f"a{j} #b" for j in range(15))
+    rows += [("en", "prose", clean(i), True) for i in range(400)] + [("en", "code", f"{code} {i}", True) for i in range(120)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string, good boolean")
+    found = quality_rules.judge(docs, Scratch(spark)).join(docs.select("doc_id", "good"), "doc_id").collect()
+    assert len(found) == len(rows) and not [(r.lang, r.source) for r in found if r.kept != r.good]
+
+
 def call(id_, name="f", arguments=None, after=None):
     return {"id": id_, "name": name, "arguments": {"n": 1} if arguments is None else arguments, **({"after": after} if after else {})}
 
