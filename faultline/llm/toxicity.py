@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import steps
+from faultline.llm.shared import Scratch, steps
 
-#: Training: rows taken on each side (those with the smallest hash of doc_id), and the longest text.
+#: Training: distinct texts taken on each side (those with the smallest hash), and the longest text.
 POSITIVES = 1_500
 UNLABELLED = 4_500
 TRAIN_CHARS = 50_000
 #: Bytes of a word's beginning that are features besides the word.
 STEMS = (4, 5, 6)
 #: A feature counts if it is in this many and this share of the distinct positives, and this many times as frequent there as in
-#: unlabelled texts. Among unlabelled texts are toxic ones, so no ratio is much above one over the prior.
+#: clean texts, whose rate is what the prior's share of toxic ones leaves of the unlabelled texts' rate.
 LEAST_DOCS = 6
 LEAST_SHARE = 0.02
 LEAST_RATIO = 3.0
@@ -44,6 +44,15 @@ def features_of(text: bytes, known: dict[bytes, float]) -> set[bytes]:
     return {f for word in words_of(text) for f in of_word(word) if f in known}
 
 
+def above_clean(p: float, n_p: int, u: float, n_u: int, prior: float) -> float:
+    """How many times as frequent a feature is in positives (p of n_p) as in clean texts; u of n_u unlabelled ones have it.
+
+    The clean rate is estimated from both and taken one standard error higher, as a high prior magnifies what chance does.
+    """
+    error = np.sqrt(u * (1 - u) / n_u + prior**2 * p * (1 - p) / n_p)
+    return p / ((max(0.0, u - prior * p) + error) / (1 - prior) + 1 / n_u)
+
+
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[dict[bytes, float], float]:
     """Weights by feature and a bias, with the least class-prior-corrected risk.
 
@@ -62,7 +71,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[d
     del with_p  # nearly all features are rare: only frequent ones are counted in the other texts
     held = [features_of(t, frequent) for t in (*positive, *unlabelled)]
     with_u = Counter(f for s in held[n:] for f in s)
-    ratio = {f: (c / n) / ((with_u[f] + 1) / len(unlabelled)) for f, c in frequent.items()}
+    ratio = {f: above_clean(c / n, n, with_u[f] / len(unlabelled), len(unlabelled), prior) for f, c in frequent.items()}
     chosen = sorted((f for f, r in ratio.items() if r >= LEAST_RATIO), key=lambda f: (-frequent[f] * np.log(ratio[f]), f))[:FEATURES]
     at = {f: i for i, f in enumerate(chosen)}
     own = [sorted(at[f] for f in s if f in at) for s in held]
@@ -91,21 +100,24 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[d
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[bytes, float], float]:
     """Fits on at most POSITIVES texts confirmed toxic and UNLABELLED others of ``allowed`` rows, whose labels are not used.
 
-    The class prior is the share of toxic rows among the allowed labels. Texts over TRAIN_CHARS are not drawn.
+    Copies of a text are one, toxic if any of them is called so, however many rows they are: both sides are drawn from
+    distinct texts, and the class prior is the share of toxic ones among those with a label. Texts over TRAIN_CHARS are
+    not drawn.
     """
     known = labels.where(allowed & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    prior = min(0.9, max(0.001, prior or 0.0))
     usable = docs.where(allowed & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
+    usable = usable.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("copy", F.xxhash64("text"))
+    each = usable.select("doc_id", "copy").join(known, "doc_id", "left").groupBy("copy")
+    distinct = Scratch(docs.sparkSession).table("distinct", each.agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
+    prior = distinct.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    prior = min(0.9, max(0.001, prior or 0.0))
 
-    def drawn(ids: DataFrame, most: int) -> list[bytes]:
-        top = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = usable.join(F.broadcast(top), "doc_id").dropDuplicates(["doc_id"])  # at most ``most`` rows
-        found = rows.select("doc_id", F.col("text").cast("binary").alias("text")).collect()
-        return [bytes(r.text) for r in sorted(found, key=lambda r: r.doc_id)]
+    def drawn(texts: DataFrame, most: int) -> list[bytes]:
+        top = texts.select("doc_id", "copy").orderBy("copy").limit(most)
+        rows = usable.join(F.broadcast(top), ["doc_id", "copy"]).dropDuplicates(["copy"])  # at most ``most`` rows
+        return [bytes(r.text) for r in sorted(rows.collect(), key=lambda r: r.copy)]
 
-    positive = known.where("toxic = 1").join(usable.select("doc_id"), "doc_id")
-    return fit(drawn(positive, POSITIVES), drawn(usable, UNLABELLED), prior)
+    return fit(drawn(distinct.where("toxic = 1"), POSITIVES), drawn(distinct, UNLABELLED), prior)
 
 
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float) -> DataFrame:

@@ -283,6 +283,21 @@ def test_toxicity_edges(docs, none):
     assert toxicity.score(none, weights, bias).count() == 0
 
 
+@pytest.mark.parametrize(("toxic_share", "hot_rows"), [(0.4, 0), (0.6, 0), (0.1, 500)])
+def test_toxicity_learns_from_many_toxic_rows_and_from_copies(spark, toxic_share, hot_rows):
+    def text(i, toxic):
+        own = [f"vile{chr(97 + (i * k) % 13)}" for k in (3, 5, 7)] if toxic else []
+        return " ".join([f"plain{chr(97 + (i * k) % 23)}" for k in range(2, 12)] + own + [f"row{i}"])
+
+    rows = [(i, text(i, i % 10 < 10 * toxic_share), int(i % 10 < 10 * toxic_share)) for i in range(1_000)]
+    rows += [(1_000 + i, text(-10, True), 1) for i in range(hot_rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = docs.where("doc_id % 7 < 3").select("doc_id", "toxic")
+    weights, bias = toxicity.train(docs.select("doc_id", "text"), known, F.lit(True))
+    found = toxicity.score(docs, weights, bias).join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    assert weights and len(found) == len(rows) and sum(r.predicted != r.toxic for r in found) <= 0.02 * len(rows)
+
+
 def base_counts(text):
     text, own = text or "", words(text)
     lines = [x for x in text.split("\n") if words(x)]
