@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import Scratch, steps
 
 #: Training: distinct texts taken on each side (those with the smallest hash), and the longest text.
-POSITIVES = 1_500
-UNLABELLED = 4_500
+POSITIVES = 2_000
+UNLABELLED = 6_000
 TRAIN_CHARS = 50_000
 #: Bytes of a word's beginning that are features besides the word.
 STEMS = (4, 5, 6)

@@ -298,6 +298,14 @@ def test_toxicity_learns_from_many_toxic_rows_and_from_copies(spark, toxic_share
     assert weights and len(found) == len(rows) and sum(r.predicted != r.toxic for r in found) <= 0.02 * len(rows)
 
 
+def test_toxicity_samples_are_whole(spark, monkeypatch):
+    sides = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: sides.append((len(positive), len(unlabelled))))
+    docs = spark.range(7_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id < 2500 AS int) AS toxic")
+    toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    assert sides == [(2_000, 6_000)]
+
+
 def base_counts(text):
     text, own = text or "", words(text)
     lines = [x for x in text.split("\n") if words(x)]
