@@ -39,9 +39,11 @@ BLOCKS = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 REFINED = [tuple(sorted(b + more)) for b in BLOCKS for more in combinations([p for p in range(POSITIONS) if p not in b], 2)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, copies: bool = False) -> DataFrame:
     """doc_id and fingerprint (long; the 64 bits of the majority of the shingles' XXH64) of every row's whole text.
 
+    With ``copies``, also copy, a hash of the text as it stands.
+
     A null text, or one without words, has fingerprint 0. Texts of any length are summed in pieces of bounded size.
     """
 
@@ -80,11 +82,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         add()
             add()
             prints = np.packbits(2 * counts > totals[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fingerprint"])
+            more = batch.columns[2:]
+            names = ["doc_id", "fingerprint", "copy"][: 2 + len(more)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *more], names=names)
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(summed, f"doc_id {key}, fingerprint bigint")
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[copy_of().alias("copy")] * copies)
+    return slim.mapInArrow(summed, f"doc_id {key}, fingerprint bigint" + ", copy bigint" * copies)
+
+
+def copy_of() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def tally(a: str, b: str) -> Column:
@@ -154,6 +162,15 @@ def links(prints: DataFrame, scratch: Scratch, crowded: int = CROWDED, dense: in
     return found
 
 
+def linked(prints: DataFrame, first: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """fp and root of every distinct fingerprint, and root and least: the least ``first`` of the rows that links reach."""
+    classes = scratch.table("classes", prints.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first")))
+    roots = components(links(classes.select("fp"), scratch), scratch)
+    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = scratch.table("roots", joined)
+    return joined, scratch.table("least", joined.groupBy("root").agg(F.min("first").alias("least")))
+
+
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id of every row.
 
@@ -163,29 +180,27 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     columns are ignored; no rows give no rows.
     """
     prints = scratch.table("fingerprints", fingerprints(docs))
-    classes = scratch.table("classes", prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp"), scratch), scratch)
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = scratch.table("roots", joined)
-    least = scratch.table("least", joined.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = scratch.table("named", joined.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id"))
+    joined, least = linked(prints, F.min("doc_id"), scratch)
+    named = scratch.table("named", joined.join(least, "root").select(F.col("fp").alias("fingerprint"), F.col("least").alias("component_id")))
     return prints.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id; columns unchanged.
+    """``docs`` with one row of each group, one with the smallest doc_id; columns unchanged.
 
-    Rows that share a doc_id are one document, and one of them stays. Rows whose group has no doc_id at all stay, as
-    nothing names one of them; rows without a doc_id in other groups go.
+    Of several texts with that doc_id in a group the one with the smallest hash stays, and of equal rows one. Rows that
+    share a doc_id but stand in different groups are judged each. A group without any doc_id keeps one row too.
     """
-    near_id, near_rank = fresh(docs, "near_id"), fresh(docs, "near_rank")
-    found = scratch.table("groups", groups(docs, scratch))
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = scratch.table("stays", stays).withColumnRenamed("doc_id", near_id)
+    near_id, near_copy, near_rank = (fresh(docs, name) for name in ("near_id", "near_copy", "near_rank"))
+    prints = scratch.table("fingerprints", fingerprints(docs, copies=True))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")
+    _, least = linked(prints, F.min(row), scratch)
+    # an id and a text name a row: equal texts have equal fingerprints, so no two groups keep the same
+    stays = scratch.table("stays", least.select(F.col("least.doc_id").alias(near_id), F.col("least.copy").alias(near_copy)))
     # one plan at every size: the table of ids grows with the corpus
-    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col(near_id)))
-    order = Window.partitionBy(near_id).orderBy(F.xxhash64("text"))
-    one = kept.withColumn(near_rank, F.when(F.col(near_id).isNotNull(), F.row_number().over(order)))
-    return one.where(F.col(near_rank).isNull() | (F.col(near_rank) == 1)).drop(near_id, near_rank)
+    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col(near_id)) & (copy_of() == F.col(near_copy)))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = kept.withColumn(near_rank, F.row_number().over(Window.partitionBy(near_id, near_copy).orderBy(whole)))
+    return one.where(F.col(near_rank) == 1).drop(near_id, near_copy, near_rank)

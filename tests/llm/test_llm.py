@@ -199,6 +199,14 @@ def test_near_dedup_keeps_one_of_each_group(docs, scratch):
     assert Counter(r.doc_id for r in kept.collect()) == {1: 1, 4: 1, 7: 1, 8: 1}
 
 
+def test_near_dedup_goes_back_to_rows_by_id_and_text(spark, scratch):
+    other, third, lone = (" ".join(f"{name}{i}" for i in range(30)) for name in ("other", "third", "lone"))
+    rows = [(None, lone), (None, lone.upper()), (None, LONG), (1, LONG), (2, other), (2, third), (2, third), (5, third), (0, other + " "), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.strip().lower()) for r in simhash_dedup.dedup(docs, scratch).collect()]
+    assert sorted(kept, key=str) == sorted([(None, lone), (1, LONG), (0, other), (2, third)], key=str)
+
+
 def test_exact_dedup_edges(docs, none, scratch):
     rows = exact_dedup.groups(docs, scratch).collect()
     long_ = [r for r in rows if r.group_size == 5]
