@@ -98,4 +98,52 @@ FROM m LEFT JOIN m u ON u.conv_id = m.conv_id AND u.turn = m.turn - 1 AND u.role
 WHERE m.role = 'assistant'
 """
 
-ORACLES = {"op1_line_dedup": LINES, "op4_source_mixing": MIXING, "op5_exact_dedup": EXACT, "op8_chat_format": CHAT}
+SEARCH = """
+WITH fine AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS uid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score,
+           row_number() OVER (PARTITION BY q.uid ORDER BY list_inner_product(q.x, v.x) DESC, v.vec_id, v.uid) AS rank
+    FROM fine q JOIN fine v ON q.uid <> v.uid WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (
+    SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+    FROM (SELECT lang, w, unnest(generate_series(1, least(5, len(w)))) AS m FROM words)),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS a FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 100),
+cuts AS (
+    SELECT c.lang, c.phrase, c.m, c.a, t.n, k, l.a AS l, r.a AS r, 1000 * c.a * t.n // (l.a * r.a) AS score
+    FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidates) c
+    JOIN totals t ON t.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(generate_series(1, m - s + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS s FROM candidates))
+    GROUP BY ALL),
+ranked AS (
+    SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, encode(l.phrase)) AS rank
+    FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * l.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op1_line_dedup": LINES,
+    "op4_source_mixing": MIXING,
+    "op5_exact_dedup": EXACT,
+    "op8_chat_format": CHAT,
+    "op11_impact_search": SEARCH,
+    "op13_collocations": PHRASES,
+}

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from faultline.llm import (
     chat_format,
+    collocations,
     exact_dedup,
+    impact_search,
     language_id,
     line_dedup,
     mixing,
     packing,
     quality_rules,
     simhash_dedup,
+    spelling,
     token_orc,
     toxicity,
 )
@@ -134,6 +137,19 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", impact_search.whole_numbers().alias("x"))
+    return impact_search.search(vectors, F.col("vec_id") % 20 == 0, 20, Scratch(spark))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -147,5 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_quality_rules,
         op10_simhash_dedup,
+        op11_impact_search,
+        op12_spelling_variants,
+        op13_collocations,
     )
 }
