@@ -17,9 +17,10 @@ from faultline.llm.tokens import encoder
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, stripe_bytes: int = 64 << 20, index_rows: int = 1_000) -> None:
     """Writes doc_id, ids, n_tokens, shard, place and shard_start to ``path``, in ascending doc_id order over shards and within.
 
-    Texts are range-partitioned by doc_id (null first, ties by text), so one shard is one file. ``shard_start`` counts
-    the ids before a document in its shard. A null text counts as empty and is one end id. Repeated rows are written
-    each. Other columns of ``docs`` are dropped. An empty table writes files without rows.
+    Texts are range-partitioned by doc_id (null first) and a row number, so one shard is one file, and rows that share a
+    doc_id are spread over several. ``shard_start`` counts the ids before a document in its shard. A null text counts as
+    empty and is one end id. Repeated rows are written each. Other columns of ``docs`` are dropped. An empty table writes
+    files without rows.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +47,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, stripe_bytes
             place, start = place + n, start + int(ends[-1])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ordered = slim.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = slim.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     rows = ordered.mapInArrow(encoded, f"doc_id {key}, ids array<int>, n_tokens int, shard int, place bigint, shard_start bigint")
     (
         rows.write.option("orc.create.index", "true")

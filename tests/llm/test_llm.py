@@ -2,6 +2,7 @@
 
 import json
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faultline.llm import chat_format, components, exact_dedup, language_id, line_dedup, mixing, packing
-from faultline.llm import quality_rules, queries, simhash_dedup, token_orc, toxicity
+from faultline.llm import quality_rules, queries, simhash_dedup, token_orc, tokens, toxicity
 from faultline.llm.oracles import ORACLES
 from faultline.llm.shared import Scratch
 from faultline.llm.tokens import WordEncoder
@@ -80,6 +81,21 @@ def test_encoder_equals_the_library_on_whole_texts(texts):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("room", "step"), [(50, 4 << 20), (1_000_000, 4 << 20), (1_000_000, 40)])
+def test_encoder_on_odd_texts(monkeypatch, room, step):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", room)
+    monkeypatch.setattr(tokens, "STEP_BYTES", step)
+    tokenizer, own, rng = Tokenizer.from_file(VOCABULARY), WordEncoder(VOCABULARY), np.random.default_rng(4)
+    letters = list("aabcdeE'.,!  \n\t\x00\x0b\x1c0é ß İ Σς ́中😀-'sS")
+    for _ in range(30):
+        given = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(30)] + ["", "\n", " a", "a\x00 a a\x00\x00", "x" * 25 + " " + "x" * 24]
+        for text, ids in zip(given, own.encode([t.encode() for t in given]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    long_ = "hello wörld, it's " * 40 + "y" * 300 + " end"
+    assert np.frombuffer(own.encode([long_.encode()])[0], "<u4").tolist() == tokenizer.encode(long_, add_special_tokens=False).ids
+    assert own.encode([]) == [] and own.encode([b""]) == [b""] and own.encode([b"", b" "]) == [b"", b""]
+
+
 def test_packing_is_gapless_whole_and_tight(spark, texts):
     rows = queries.op2_best_fit_packing(spark, FOLDER).collect()
     tokenizer, by_doc, by_sequence = Tokenizer.from_file(VOCABULARY), defaultdict(list), defaultdict(list)
@@ -135,6 +151,42 @@ def test_orc_edges_and_lookup(spark, docs, none, scratch):
     assert token_orc.index(spark, f"{scratch.folder}/b").count() == 0
 
 
+def test_orc_stripes_filters_and_skipping(spark, scratch):
+    from pyarrow import orc
+
+    path, texts = f"{scratch.folder}/striped", [(2 * i, "word " * 300 + str(i)) for i in range(12_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    token_orc.write(docs.coalesce(1), path, VOCABULARY, 2, stripe_bytes=1 << 16)
+    files = sorted(pathlib.Path(path).glob("part-*.orc"))
+    opened = [orc.ORCFile(f) for f in files]
+    assert max(f.nstripes for f in opened) > 1 and all(f.row_index_stride == 1_000 for f in opened)
+
+    def rows_read(doc_id):
+        found = token_orc.lookup(spark, path, [doc_id])
+        assert [r.doc_id for r in found.collect()] == [doc_id] * (doc_id % 2 == 0)
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return sum(m._2().value() for m in iterated(scan.metrics()) if m._1() == "numOutputRows")
+
+    assert 0 < rows_read(4_002) <= 1_000  # the row index leaves one group
+    assert rows_read(24_001) == 0
+    assert sum(rows_read(i) for i in (4_003, 9_001, 15_555)) <= 1_000  # ids between others: only Bloom filters tell
+
+
+def iterated(found):
+    steps = found.iterator()
+    while steps.hasNext():
+        yield steps.next()
+
+
+def test_orc_spreads_rows_of_one_id(spark, scratch):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "same text") for i in range(9_000)]
+    token_orc.write(spark.createDataFrame(rows, "doc_id long, text string"), f"{scratch.folder}/hot", VOCABULARY, 2)
+    shards = token_orc.read(spark, f"{scratch.folder}/hot").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) == 9_000 and max(r["count"] for r in shards) < 4_500
+    starts = sorted((r.start, r.doc_id is not None, r.doc_id or 0) for r in token_orc.index(spark, f"{scratch.folder}/hot").collect())
+    assert [s[1:] for s in starts] == sorted(s[1:] for s in starts) and len({s[0] for s in starts}) == 9_000
+
+
 def simhash(text):
     own = (text or "").encode().lower().split()
     shingles = [b" ".join(own[i : i + 3]) for i in range(len(own) - 2)] if len(own) >= 3 else [b" ".join(own)] * bool(own)
