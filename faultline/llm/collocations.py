@@ -15,6 +15,8 @@ BLANKS = r"[\x20\x09]+"
 #: Words of a window, and so of the longest phrase.
 LONGEST = 5
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
+#: Bits of the hash that tells pairs of words apart while windows are cut short.
+PAIR_BITS = 40
 #: Most hashed pairs (8 bytes each) that are broadcast to cut windows short; with more, windows stay whole, which gives
 #: the same phrases from a larger shuffle.
 MOST_PAIRS = 1_000_000
@@ -35,7 +37,7 @@ def leads(found: DataFrame, longest: int) -> DataFrame:
 
 
 def pair_key(first: str, second: str) -> Column:
-    return F.xxhash64("lang", first, second)
+    return F.xxhash64("lang", first, second).bitwiseAND(F.lit((1 << PAIR_BITS) - 1))
 
 
 def frequent_pairs(found: DataFrame, least: int) -> DataFrame:
@@ -48,7 +50,7 @@ def windows(found: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """lang, w1 to w5 and n: how often each longest window occurs, padded with empty words where the piece ends.
 
     A phrase is rare if two neighbours in it are, so a window is cut (and padded) before the first rare pair: no phrase
-    that occurs ``least`` times is lost, and hardly any rare window is shuffled. Pairs are told apart by a 64-bit hash,
+    that occurs ``least`` times is lost, and hardly any rare window is shuffled. Pairs are told apart by a hash,
     whose collisions only leave a rare window uncut.
     """
     rows = leads(found, LONGEST)
