@@ -8,9 +8,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# An encoded-template group is turned into one similarity matrix inside a task, so its size needs a ceiling.
-LARGEST_ENCODE_CAP = 2_000
-
 # A frame with one narrow row per log may be broadcast only while the number of logs is known to stay below this.
 BROADCAST_LOGS = 20_000
 
@@ -28,7 +25,8 @@ class Settings:
     # None keeps all clusters
     max_clusters: int | None = 8
     min_cluster_size: int = 2
-    encode_cap: int = 200
+    # templates of a log that are compared; None compares all
+    encode_cap: int | None = 200
     eps: float = 0.3
     vector_dims: int = 256
 
@@ -70,9 +68,7 @@ class Settings:
     version: str = "v1.0"
 
     def __post_init__(self) -> None:
-        if not 1 <= self.encode_cap <= LARGEST_ENCODE_CAP:
-            raise ValueError(f"encode_cap must lie in 1..{LARGEST_ENCODE_CAP}")
-        limits = (self.timeline_cap, self.max_clusters, self.chunk_lines, self.sample_lines, self.eval_rows, self.listing_rows)
+        limits = (self.encode_cap, self.timeline_cap, self.max_clusters, self.chunk_lines, self.sample_lines, self.eval_rows, self.listing_rows)
         if any(limit is not None and limit < 1 for limit in limits):
             raise ValueError("caps and chunk sizes must be positive")
 

@@ -1,7 +1,6 @@
 """Density clustering of one log's template vectors: the NumPy part that runs inside tasks.
 
-A group holds at most ``cap`` vectors, so the neighbour matrix has a fixed upper size. Only labels and matching pairs
-leave a task.
+The caller bounds the vectors of a group, so the neighbour matrix has a fixed upper size. Only labels leave a task.
 """
 
 from __future__ import annotations
@@ -10,12 +9,6 @@ import numpy as np
 import pandas as pd
 
 
-def checked(group: pd.DataFrame, cap: int) -> pd.DataFrame:
-    if len(group) > cap:
-        raise ValueError(f"log {group['log_id'].iloc[0]!r} has more than {cap} vectors; choose templates first")
-    return group.sort_values("ordinal", kind="stable").reset_index(drop=True)
-
-
 def matrix_of(group: pd.DataFrame) -> np.ndarray:
     return np.vstack(group["embedding"].to_numpy()).astype(np.float64)
 
@@ -51,18 +44,8 @@ def density_labels(near: np.ndarray, min_samples: int) -> np.ndarray:
     return labels
 
 
-def near_pairs(group: pd.DataFrame, cap: int, eps: float) -> pd.DataFrame:
-    group = checked(group, cap)
-    distance = distances(matrix_of(group))
-    a, b = np.nonzero(np.triu(distance <= eps, k=1))
-    ordinals = group["ordinal"].to_numpy()
-    return pd.DataFrame(
-        {"log_id": group["log_id"].iloc[0], "a": ordinals[a], "b": ordinals[b], "distance": distance[a, b]}
-    )
-
-
-def labelled(group: pd.DataFrame, cap: int, eps: float, min_samples: int) -> pd.DataFrame:
-    group = checked(group, cap)
+def labelled(group: pd.DataFrame, eps: float, min_samples: int) -> pd.DataFrame:
+    group = group.sort_values("ordinal", kind="stable").reset_index(drop=True)
     matrix = matrix_of(group)
     if len(group) == 1:
         labels = np.zeros(1, dtype=int)

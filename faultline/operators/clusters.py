@@ -1,7 +1,7 @@
 """Similarity clusters over the templates of each log.
 
-Groups handed to a task hold the templates of one log, at most ``encode_cap`` of them, so their similarity matrix has a
-fixed upper size. Only labels and matching pairs leave the task.
+Logs of up to ``IN_TASK_ROWS`` vectors are labelled by one task each, from one similarity matrix of bounded size. Larger
+ones go through a table of pairs, made block by block, and joins over it. Both give the same labels.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from faultline.config import Settings
 from faultline.functions import density
 from faultline.functions.text import first_chars
-from faultline.functions.vectors import hashed_embedder
-from faultline.operators import ordered, templates
+from faultline.functions.vectors import dot, hashed_embedder, norm
+from faultline.operators import components, ordered, similarity, templates
 from faultline.operators.anomalies import is_error
 
 # the task code travels with the job, so executors need NumPy and pandas but not this package
@@ -25,38 +25,78 @@ cloudpickle.register_pickle_by_value(density)
 Embedder = Callable[[DataFrame], DataFrame]
 
 
-def _bounded(vectors: DataFrame, cfg: Settings) -> DataFrame:
-    """At most one row per log more than allowed reaches a task, so an oversized log is reported and not loaded."""
-    needed = vectors.select("log_id", F.col("ordinal").cast("bigint").alias("ordinal"), "embedding")
-    return ordered.top(needed, ["log_id"], [F.col("ordinal")], cfg.encode_cap + 1)
+#: Vectors of a log that one task may compare with each other.
+IN_TASK_ROWS = 2_000
 
+Stage = Callable[[str, DataFrame], DataFrame]
 
-def edges(vectors: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs of one log within cosine distance ``eps``, as ``log_id, a, b, distance`` with a < b."""
-    cap, eps = cfg.encode_cap, cfg.eps
-    return _bounded(vectors, cfg).groupBy("log_id").applyInPandas(
-        lambda group: density.near_pairs(group, cap, eps), "log_id string, a bigint, b bigint, distance double"
-    )
+
+def edges(vectors: DataFrame, cfg: Settings, stage: Stage, block_rows: int = similarity.BLOCK_ROWS) -> DataFrame:
+    """Pairs of one log within cosine distance ``eps``, as ``log_id, a, b, distance`` with a < b; logs of any size."""
+    return similarity.all_pairs(vectors, cfg.eps, stage, block_rows)
 
 
-def label(vectors: DataFrame, cfg: Settings) -> DataFrame:
-    """``log_id, ordinal, row, label, centrality``; a log with a single vector gets label 0."""
-    cap, eps, min_samples = cfg.encode_cap, cfg.eps, cfg.min_cluster_size
-    return _bounded(vectors, cfg).groupBy("log_id").applyInPandas(
-        lambda group: density.labelled(group, cap, eps, min_samples),
+def _label_in_tasks(vectors: DataFrame, cfg: Settings) -> DataFrame:
+    eps, min_samples = cfg.eps, cfg.min_cluster_size
+    return vectors.groupBy("log_id").applyInPandas(
+        lambda group: density.labelled(group, eps, min_samples),
         "log_id string, ordinal bigint, row bigint, label bigint, centrality double",
     )
 
 
-def assign(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    """The cluster id of every kept template, and the order in which clusters are emitted."""
+def label_by_pairs(vectors: DataFrame, pairs: DataFrame, cfg: Settings, stage: Stage) -> DataFrame:
+    """C6, C7 from a table of pairs (``log_id, a, b``): for logs of any size, and any ``min_cluster_size``."""
+    length = norm(F.col("embedding"))
+    itself = (length > 0) | F.lit(cfg.eps >= 1)
+    points = stage("points", vectors.select("log_id", "ordinal", "embedding", itself.alias("counts_itself"), F.floor(F.col("ordinal") / cfg.chunk_lines).alias("_chunk")))
+    labels = components.density_labels(points, pairs, cfg.min_cluster_size, stage, cfg.chunk_lines)
+    alone = points.groupBy("log_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("log_id", F.lit(0).cast("bigint").alias("_only"))
+    rows = ordered.positions(points, ["log_id"], "_chunk", ["ordinal"], "row").withColumn("row", F.col("row") - 1)
+    rows = rows.join(labels, ["log_id", "ordinal"]).join(alone, "log_id", "left").withColumn("label", F.coalesce("_only", "label"))
+    members = stage("labelled", rows.select("log_id", "ordinal", "row", "label", "embedding"))
+    # every cluster's mean, slot by slot, pre-aggregated in each task however large the cluster
+    slots = members.filter("label >= 0").select("log_id", "label", F.posexplode("embedding").alias("slot", "x"))
+    means = slots.groupBy("log_id", "label", "slot").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centre = means.groupBy("log_id", "label").agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("s"))
+    centre = stage("centres", centre.select("log_id", "label", F.col("s.x").alias("centre"), norm(F.col("s.x")).alias("far")))
+    along = dot(F.col("embedding"), F.col("centre")) / F.when(F.col("far") > 0, F.col("far")).otherwise(1.0)
+    return members.join(centre, ["log_id", "label"], "left").select(
+        "log_id", "ordinal", "row", "label", F.when(F.col("centre").isNull(), 1.0).otherwise(along).alias("centrality")
+    )
+
+
+def label(vectors: DataFrame, cfg: Settings, stage: Stage | None = None, in_task: int = IN_TASK_ROWS) -> DataFrame:
+    """``log_id, ordinal, row, label, centrality``; a log with a single vector gets label 0.
+
+    ``stage`` writes a named frame and reads it back. Without it every log must have at most ``in_task`` vectors, as those
+    of ``templates.prioritise`` under a cap of that size have; with it logs are counted, and larger ones go by pairs.
+    """
+    needed = vectors.select("log_id", F.col("ordinal").cast("bigint").alias("ordinal"), "embedding")
+    if stage is None:
+        return _label_in_tasks(needed, cfg)
+    sizes = stage("vector_counts", needed.groupBy("log_id").agg(F.count(F.lit(1)).alias("n")))
+    larger = sizes.filter(F.col("n") > in_task).select("log_id")
+    if larger.isEmpty():
+        return _label_in_tasks(needed, cfg)
+    small = _label_in_tasks(needed.join(sizes.filter(F.col("n") <= in_task).select("log_id"), "log_id", "left_semi"), cfg)
+    many = stage("many_vectors", needed.join(larger, "log_id", "left_semi"))
+    pairs = stage("near_pairs", edges(many, cfg, stage).select("log_id", "a", "b"))
+    return small.unionByName(label_by_pairs(many, pairs, cfg, stage))
+
+
+def assign(kept: DataFrame, labels: DataFrame, large: bool = False) -> DataFrame:
+    """The cluster id of every kept template, and the order in which clusters are emitted.
+
+    ``large`` clusters get their first row by a join with their written labels, others within one window.
+    """
     rows = kept.join(labels, ["log_id", "ordinal"])
-    # at most encode_cap rows per log
-    together = Window.partitionBy("log_id", "label")
+    if large:
+        rows = rows.join(labels.groupBy("log_id", "label").agg(F.min("row").alias("emitted")), ["log_id", "label"])
+    else:
+        rows = rows.withColumn("emitted", F.min("row").over(Window.partitionBy("log_id", "label")))
     noise = F.col("label") == -1
     return (
         rows.withColumn("cluster_id", F.when(noise, -1000 - F.col("row")).otherwise(F.col("label")))
-        .withColumn("emitted", F.min("row").over(together))
         .withColumn("emitted_row", F.when(noise, F.col("row")).otherwise(F.lit(0)))
         .withColumn("stage", F.lit(1))
     )
@@ -112,13 +152,18 @@ def error_clusters(
     several times, are made once.
     """
     embed = embed or hashed_embedder(cfg.vector_dims)
+    capped = cfg.encode_cap is not None and cfg.encode_cap <= IN_TASK_ROWS
+    if stage is None and not capped:
+        raise ValueError(f"more than {IN_TASK_ROWS} templates of a log are compared by written tables: pass stage")
+    by_size = None if capped else stage
     stage = stage or (lambda name, frame: frame)
     keyed = stage("keyed_errors", templates.keyed_errors(entries))
     found = stage("templates", templates.dedup(keyed, cfg, stage))
     enough = found.groupBy("log_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= cfg.min_cluster_size)
     found = found.join(enough.select("log_id"), "log_id", "left_semi")
     kept = templates.prioritise(found, cfg)
-    assigned = assign(kept, label(embed(kept), cfg))
+    labels = label(embed(kept), cfg, by_size)
+    assigned = assign(kept, labels if capped else stage("labels", labels), not capped)
 
     # only the largest of the left-out templates can become one of the largest clusters
     dropped = ordered.top(

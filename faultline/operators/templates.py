@@ -96,7 +96,7 @@ def tier(message: Column) -> Column:
 
 
 def prioritise(templates: DataFrame, cfg: Settings) -> DataFrame:
-    """C4: the templates of each log that get compared, at most ``encode_cap`` of them."""
+    """C4: the templates of each log that get compared, at most ``encode_cap`` of them (None: all)."""
     tiered = templates.withColumn("tier", tier(F.col("message")))
     return ordered.top(
         tiered, ["log_id"], [F.col("tier"), F.col("count").desc(), F.col("ordinal")], cfg.encode_cap

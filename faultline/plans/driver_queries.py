@@ -19,6 +19,7 @@ from faultline.operators import (
     ordered,
     report,
     root_causes,
+    similarity,
     summary,
     templates,
     timeline,
@@ -346,7 +347,38 @@ def left_out_templates(spark, folder):
 
 
 def cosine_edges(spark, folder):
-    return clusters.edges(lanes.vectors(spark, folder), VECTORS).select("log_id", "a", "b", F.round("distance", 4).alias("distance"))
+    found = clusters.edges(lanes.vectors(spark, folder), VECTORS, Staging(spark).table)
+    return found.select("log_id", "a", "b", F.round("distance", 4).alias("distance"))
+
+
+def cosine_edges_corpus(spark, folder):
+    """J4 over all vectors as one log, in blocks."""
+    found = clusters.edges(lanes.vectors(spark, folder, None), VECTORS.but(eps=0.65), Staging(spark).table, 128)
+    return found.select("log_id", "a", "b", F.round("distance", 4).alias("distance"))
+
+
+def cosine_edges_hyperplanes(spark, folder):
+    """J4 by random hyperplanes: the number of pairs, and whether nine tenths of them were brought together."""
+    vectors, staging = lanes.vectors(spark, folder, None), Staging(spark)
+    likely = similarity.likely_pairs(vectors, 0.65, staging.table, 5, 0.95, 128)
+    every = similarity.all_pairs(vectors, 0.65, staging.table, 128)
+    pair = ["log_id", "a", "b"]
+    both = every.select(*pair).join(likely.select(*pair, F.lit(1).alias("met")), pair, "full")
+    return both.groupBy("log_id").agg(F.count(F.lit(1)).alias("pairs"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+def dbscan_corpus(spark, folder):
+    """C6 over all vectors as one log, from a table of pairs, with two and four neighbours asked for."""
+    vectors, staging = lanes.vectors(spark, folder, None), Staging(spark)
+    cfg = VECTORS.but(eps=0.65)
+    pairs = staging.table("pairs", clusters.edges(vectors, cfg, staging.table).select("log_id", "a", "b"))
+    found = [
+        clusters.label_by_pairs(vectors, pairs, cfg.but(min_cluster_size=least), Staging(spark).table).select(
+            F.lit(least).alias("min_samples"), "log_id", "ordinal", "row", "label"
+        )
+        for least in (2, 4)
+    ]
+    return found[0].unionByName(found[1])
 
 
 def dbscan_components(spark, folder):
@@ -858,7 +890,7 @@ QUERIES: dict[str, Query] = {
         traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines,
         template_embeddings, detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
         prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
-        cosine_edges, dbscan_components, cluster_representative, error_clusters, error_clusters_capped,
+        cosine_edges, cosine_edges_corpus, cosine_edges_hyperplanes, dbscan_components, dbscan_corpus, cluster_representative, error_clusters, error_clusters_capped,
         singleton_clusters, default_embedding_clusters, cluster_search, cluster_export, first_errors, entry_events,
         recovery_points, timeline_build, timeline_volume, root_cause_ranking, root_cause_evidence, report_markdown,
         report_json, report_prompt, report_shape, report_continuations, severity_distribution, source_distribution,

@@ -263,10 +263,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, folder: str, per_log: int = 200) -> DataFrame:
-    """Lane D: stored vectors, dealt out over logs of at most ``per_log`` templates each."""
+def vectors(spark: SparkSession, folder: str, per_log: int | None = 200) -> DataFrame:
+    """Lane D: stored vectors, dealt out over logs of at most ``per_log`` templates each; one log for None."""
+    dealt = F.concat(F.lit("log-"), F.floor(F.col("vec_id") / (per_log or 1)).cast("string"))
     return table(spark, folder, "embeddings").select(
-        F.concat(F.lit("log-"), F.floor(F.col("vec_id") / per_log).cast("string")).alias("log_id"),
+        (F.lit("corpus") if per_log is None else dealt).alias("log_id"),
         F.col("vec_id").alias("ordinal"),
         "embedding",
         F.col("label").alias("kind"),

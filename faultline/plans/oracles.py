@@ -481,6 +481,26 @@ CLUSTERS = {
     array_to_string(services, '; ') AS services FROM c""",
 }
 
+_CORPUS = """v AS (SELECT 'corpus' AS log_id, vec_id AS ordinal, embedding::DOUBLE[] AS x FROM embeddings),
+  e AS (SELECT a.log_id, a.ordinal AS a, b.ordinal AS b, list_cosine_distance(a.x, b.x) AS distance
+    FROM v a JOIN v b ON a.ordinal < b.ordinal WHERE list_cosine_distance(a.x, b.x) <= 0.65)"""
+
+CLUSTERS["cosine_edges_corpus"] = f"WITH {_CORPUS} SELECT log_id, a, b, round(distance, 4) AS distance FROM e"
+CLUSTERS["cosine_edges_hyperplanes"] = f"WITH {_CORPUS} SELECT log_id, count(*) AS pairs, TRUE AS enough FROM e GROUP BY log_id"
+CLUSTERS["dbscan_corpus"] = f"""WITH RECURSIVE {_CORPUS},
+  s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  m AS (SELECT unnest([2, 4]) AS least),
+  core AS (SELECT least, ordinal FROM m, (SELECT ordinal, (SELECT count(*) FROM s WHERE s.a = v.ordinal) + 1 AS near FROM v) WHERE near >= least),
+  reach AS (SELECT least, ordinal AS a, ordinal AS b FROM core UNION
+    SELECT r.least, r.a, s.b FROM reach r JOIN s ON s.a = r.b JOIN core c ON c.least = r.least AND c.ordinal = s.b),
+  roots AS (SELECT least, a AS ordinal, min(b) AS root FROM reach GROUP BY 1, 2),
+  numbered AS (SELECT least, ordinal, dense_rank() OVER (PARTITION BY least ORDER BY root) - 1 AS label FROM roots),
+  border AS (SELECT n.least, s.b AS ordinal, min(n.label) AS label FROM numbered n JOIN s ON s.a = n.ordinal
+    WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.least = n.least AND c.ordinal = s.b) GROUP BY 1, 2),
+  l AS (SELECT * FROM numbered UNION ALL SELECT * FROM border)
+  SELECT m.least AS min_samples, v.log_id, v.ordinal, row_number() OVER (PARTITION BY m.least ORDER BY v.ordinal) - 1 AS row,
+    coalesce(l.label, -1) AS label FROM v CROSS JOIN m LEFT JOIN l ON l.least = m.least AND l.ordinal = v.ordinal"""
+
 CLUSTERS["template_embeddings"] = f"""WITH {_BY_USER}, {_KEYED}, {_DEDUP},
   w AS (SELECT log_id, ordinal, unnest(regexp_split_to_array(lower(template), '<[a-z]+>|[^\\p{{L}}\\p{{N}}]+')) AS word FROM t),
   s AS (SELECT log_id, ordinal, ('0x' || md5(word)[:8])::BIGINT % 64 AS slot, sqrt(count(*)) AS tf FROM w WHERE word <> '' GROUP BY 1, 2, 3),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from faultline import Settings
 from faultline.functions import density, vectors
-from faultline.operators import clusters, templates
+from faultline.operators import clusters, components, similarity, templates
+from faultline.plans.staging import Staging
 
 CFG = Settings()
 
@@ -106,10 +107,79 @@ def test_density_labels_against_a_walk(min_samples):
         assert density.density_labels(density.distances(points) <= eps, min_samples).tolist() == brute(points, eps, min_samples)
 
 
-def test_oversized_group_is_reported(spark):
-    frame = spark.range(50).selectExpr("'a' AS log_id", "id AS ordinal", "array(float(1.0)) AS embedding")
-    with pytest.raises(Exception, match="more than 10 vectors"):
-        clusters.label(frame, CFG.but(encode_cap=10)).collect()
+def points_frame(spark, logs):
+    rows = [(name, i, [float(x) for x in p]) for name, points in logs.items() for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "log_id string, ordinal long, embedding array<double>")
+
+
+@pytest.mark.parametrize("min_samples", [1, 2, 4])
+def test_labels_by_pairs_equal_those_in_tasks(spark, min_samples):
+    rng, logs = np.random.default_rng(min_samples), {}
+    for name, size, dims in (("a", 300, 4), ("b", 1, 4), ("c", 40, 3), ("d", 2, 4), ("hot", 200, 4)):
+        points = rng.normal(size=(size, dims))
+        if name == "hot":
+            points[:120] = points[0]
+        points[:: 50 if size > 50 else 1_000] *= size <= 50
+        logs[name] = points
+    frame, cfg = points_frame(spark, logs), CFG.but(eps=0.06, min_cluster_size=min_samples)
+    want = clusters.label(frame, cfg).collect()
+    got = clusters.label(frame, cfg, Staging(spark).table, 30).collect()
+    plain = lambda rows: sorted((r.log_id, r.ordinal, r.row, r.label, round(r.centrality, 6)) for r in rows)
+    assert plain(got) == plain(want) and len({r.label for r in want}) > 3
+
+
+def test_labels_of_a_log_above_any_task(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(2_600, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    for min_samples in (2, 4):
+        found = clusters.label(points_frame(spark, {"a": points}), CFG.but(eps=8e-4, min_cluster_size=min_samples), Staging(spark).table)
+        want = density.density_labels(density.distances(points) <= 8e-4, min_samples).tolist()
+        assert [r.label for r in found.orderBy("ordinal").collect()] == want and max(want) > 20
+
+
+@pytest.mark.parametrize("block_rows", [7, 1_000])
+def test_pairs_in_blocks_are_all_pairs(spark, block_rows):
+    rng = np.random.default_rng(2)
+    logs = {"a": rng.normal(size=(90, 5)), "b": rng.normal(size=(1, 5)), "c": np.zeros((3, 5))}
+    frame = points_frame(spark, logs).unionByName(spark.createDataFrame([("a", 500, None)], "log_id string, ordinal long, embedding array<double>"))
+    want = set()
+    for name, points in logs.items():
+        near = density.distances(points) <= 0.3
+        want |= {(name, i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if near[i, j]}
+    found = similarity.all_pairs(frame, 0.3, Staging(spark).table, block_rows).collect()
+    assert {(r.log_id, r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def test_hyperplanes_find_nearly_all_pairs_once(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    points = np.vstack([c + rng.normal(scale=0.45, size=(12, 24)) for c in centres] + [centres[:1]] * 150)
+    near = np.triu(density.distances(points) <= 0.3, k=1)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True)}
+    found = [(r.a, r.b) for r in similarity.likely_pairs(points_frame(spark, {"a": points}), 0.3, Staging(spark).table, 5, 0.95, 60).collect()]
+    assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.95 * len(want)
+
+
+def test_components_of_chains_per_log(spark):
+    pairs = [("a", i, i + 1) for i in range(50)] + [("b", 7, 3), ("b", 3, 9), ("b", 100, 101)]
+    found = components.roots(spark.createDataFrame(pairs, "log_id string, a long, b long"), Staging(spark).table).collect()
+    assert {(r.log_id, r.node): r.root for r in found} == {("a", i): 0 for i in range(51)} | {("b", n): 3 for n in (3, 7, 9)} | {("b", 100): 100, ("b", 101): 100}
+
+
+def test_clusters_of_all_templates(spark, entries):
+    rows = [entry(i, f"word{'x' * (i % 30)} happened", "ERROR") for i in range(1, 91)] + [entry(100, "oom now", "ERROR")]
+    cfg = CFG.but(encode_cap=None)
+    with pytest.raises(ValueError, match="stage"):
+        clusters.error_clusters(entries(rows), cfg, by_word)
+    want = [tuple(r) for r in clusters.error_clusters(entries(rows), CFG, by_word).orderBy("pos").collect()]
+    small = clusters.IN_TASK_ROWS
+    try:
+        for clusters.label.__defaults__ in ((None, small), (None, 5)):
+            got = clusters.error_clusters(entries(rows), cfg, by_word, Staging(spark).table).orderBy("pos").collect()
+            assert [tuple(r) for r in got] == want and [r["count"] for r in got] == [90, 1]
+    finally:
+        clusters.label.__defaults__ = (None, small)
 
 
 def test_default_embedding(spark):

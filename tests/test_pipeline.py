@@ -77,7 +77,7 @@ def test_staging_uses_the_named_folder(spark):
     assert Staging(spark).folder.startswith(shared_folder(spark))
 
 
-@pytest.mark.parametrize("bad", [{"encode_cap": 0}, {"encode_cap": 100_000}, {"chunk_lines": 0}])
+@pytest.mark.parametrize("bad", [{"encode_cap": 0}, {"timeline_cap": 0}, {"chunk_lines": 0}])
 def test_settings_are_checked(bad):
     with pytest.raises(ValueError):
         Settings(**bad)
