@@ -281,11 +281,17 @@ def document_lines(spark, folder):
     )
 
 
-def text_file_lines(spark, folder):
-    """Every document written as a text file and read back, short ones whole and long ones by splits."""
-    path = f"{Staging(spark).folder}/texts"
-    lanes.documents(spark, folder).write.partitionBy("log_id").text(path)
-    lines = log_source.read(spark, path, Settings(whole_file_bytes=1_500)).lines
+def _written_texts(spark, folder) -> str:
+    """Every document as a text file, each tenth one compressed."""
+    path, texts = f"{Staging(spark).folder}/texts", lanes.documents(spark, folder)
+    packed = F.col("log_id").endswith("7")
+    texts.filter(~packed).write.partitionBy("log_id").text(f"{path}/plain")
+    texts.filter(packed).write.partitionBy("log_id").option("compression", "gzip").text(f"{path}/packed")
+    return path
+
+
+def _read_back(spark, path: str, whole_file_bytes: int) -> DataFrame:
+    lines = log_source.read(spark, path, Settings(whole_file_bytes=whole_file_bytes)).lines
     name = F.regexp_extract("log_id", "log_id=([^/]*)/", 1)
     return lines.groupBy(name.alias("log_id")).agg(
         F.count(F.lit(1)).alias("lines"),
@@ -295,6 +301,18 @@ def text_file_lines(spark, folder):
     )
 
 
+def text_file_lines(spark, folder):
+    """Every document written as a text file and read back, short ones whole and long or compressed ones by splits."""
+    return _read_back(spark, _written_texts(spark, folder), 1_500)
+
+
+def text_file_lines_by_size(spark, folder):
+    """The same files with all read by splits, and with all read whole that can be."""
+    path = _written_texts(spark, folder)
+    found = [_read_back(spark, path, size).withColumn("whole_file_bytes", F.lit(size)) for size in (1, 64 << 20)]
+    return found[0].unionByName(found[1])
+
+
 def text_file_guards(spark, folder):
     """S4, S5 on files: every document as a text file, short ones read whole and long ones by splits."""
     path = f"{Staging(spark).folder}/texts"
@@ -887,7 +905,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
         all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
-        traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines,
+        traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines, text_file_lines_by_size,
         template_embeddings, detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
         prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
         cosine_edges, cosine_edges_corpus, cosine_edges_hyperplanes, dbscan_components, dbscan_corpus, cluster_representative, error_clusters, error_clusters_capped,

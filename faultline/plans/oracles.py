@@ -349,6 +349,10 @@ _LINES = r"""d AS (SELECT 'doc-' || doc_id AS log_id, text,
 _WRITTEN = _LINES.replace("FROM documents", "FROM (SELECT doc_id, text || chr(10) AS text FROM documents)")
 
 INGEST = {
+    "text_file_lines_by_size": f"""WITH {_WRITTEN} SELECT log_id, len(parts) AS lines, len(parts) AS last_line,
+  CAST(list_sum([length(p) for p in parts]) AS BIGINT) AS characters,
+  len([p for p in parts if p = '']) AS empty_lines, size AS whole_file_bytes
+  FROM l, (SELECT unnest([1, 67108864]) AS size) WHERE len(parts) > 0""",
     "text_file_lines": f"""WITH {_WRITTEN} SELECT log_id, len(parts) AS lines, len(parts) AS last_line,
   CAST(list_sum([length(p) for p in parts]) AS BIGINT) AS characters,
   len([p for p in parts if p = '']) AS empty_lines FROM l WHERE len(parts) > 0""",

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.config import Settings
+from faultline.plans.staging import Staging
 
 # The line ends of Python's str.splitlines(); the text reader is told to end lines at \n only.
 ANY_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 OTHER_LINE_ENDS = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Names by which the text reader knows that it must decompress.
+COMPRESSED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+
+Stage = Callable[[str, DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -66,10 +72,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _is_compressed(name: str = "path") -> Column:
+    return F.col(name).rlike(COMPRESSED)
+
+
 def _whole_files(spark: SparkSession, path: str, up_to: int) -> DataFrame:
     # the length filter is pushed to the listing, larger files are never opened
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return _files(spark, path).filter(F.col("length") <= up_to).select(
+    return _files(spark, path).filter((F.col("length") <= up_to) & ~_is_compressed()).select(
         _log_id().alias("log_id"), F.col("length").alias("size"), text.alias("text")
     )
 
@@ -80,34 +90,44 @@ def _oversized(spark: SparkSession, path: str, above: int) -> DataFrame:
     )
 
 
-def _scan(spark: SparkSession, path: str, above: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of files above a size, and one row per split: what is needed to number lines and to count breaks."""
-    rows = (
+def _rows(spark: SparkSession, path: str, above: int, up_to: int | None) -> DataFrame:
+    """The reader's rows of compressed files and of those above a size, with what numbers them."""
+    name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+    wanted = (size > above) | name.rlike(COMPRESSED)
+    return (
         spark.read.option("recursiveFileLookup", "true")
         .option("lineSep", "\n")
         .text(path)
+        .filter(wanted if up_to is None else wanted & (size <= up_to))
         .select(
             _log_id().alias("log_id"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("size"),
+            # the size of a compressed file says nothing about its last line
+            F.when(~name.rlike(COMPRESSED), size).alias("size"),
             F.monotonically_increasing_id().alias("id"),
             F.octet_length("value").alias("bytes"),
             F.make_valid_utf8("value").alias("value"),
         )
-        .filter(F.col("size") > above)
     )
+
+
+def _pieces() -> Column:
     # \r\n is one end: what a row ends with besides its \n belongs to it
     body = F.when(F.endswith("value", F.lit("\r")), F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    rows = rows.withColumn("pieces", F.split(body, OTHER_LINE_ENDS, -1))
+    return F.split(body, OTHER_LINE_ENDS, -1)
+
+
+def _splits(rows: DataFrame) -> DataFrame:
+    """One row per split: where its first row stands, how many lines come before it, whether its file's last line is open."""
     blocks = rows.groupBy("log_id", "block").agg(
-        F.sum(F.size("pieces")).alias("n"), F.count(F.lit(1)).alias("read"), F.min("id").alias("first"),
+        F.sum(F.size(_pieces())).alias("n"), F.count(F.lit(1)).alias("read"), F.min("id").alias("first"),
         F.max("id").alias("last"), F.sum("bytes").alias("bytes"), F.first("size").alias("size"),
     )
     per_log = Window.partitionBy("log_id")
     earlier = per_log.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # every row but an unclosed last one has lost one byte; the reader skips a byte order mark of three
     missing = F.sum(F.col("bytes") + F.col("read")).over(per_log) - F.col("size")
-    splits = blocks.select(
+    return blocks.select(
         "log_id",
         "block",
         "first",
@@ -116,55 +136,53 @@ def _scan(spark: SparkSession, path: str, above: int) -> tuple[DataFrame, DataFr
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
         F.when(missing.isin(1, -2) & (F.col("block") == F.max("block").over(per_log)), F.col("last")).alias("unclosed"),
     )
-    return rows, splits
 
 
 def _placed(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Numbered lines. ``splits`` is a written table, so its size is known and it meets the rows where they are."""
     placed = rows.join(splits.drop("read"), ["log_id", "block"])
     whole = F.split("value", OTHER_LINE_ENDS, -1)
     closed = F.element_at(whole, -1) == ""
     open_pieces = F.when(closed, F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
     last = F.coalesce(F.col("id") == F.col("unclosed"), F.lit(False))
-    placed = placed.withColumn("pieces", F.when(last, open_pieces).otherwise(F.col("pieces")))
-    even = placed.filter(~F.col("uneven")).withColumn("start", F.col("offset") + F.col("id") - F.col("first"))
-    # splits with further line ends inside the reader's lines are counted through; a split has a bounded size
-    inside = Window.partitionBy("log_id", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.size("pieces")).over(inside), F.lit(0))
-    uneven = placed.filter("uneven").withColumn("start", F.col("offset") + before)
-    return even.unionByName(uneven).select("log_id", "start", F.posexplode("pieces").alias("i", "raw_line")).select(
+    placed = placed.withColumn("pieces", F.when(last, open_pieces).otherwise(_pieces()))
+    found = placed.filter(~F.col("uneven")).withColumn("start", F.col("offset") + F.col("id") - F.col("first"))
+    if not splits.filter("uneven").isEmpty():
+        # splits with further line ends inside the reader's lines are counted through; a split has a bounded size
+        inside = Window.partitionBy("log_id", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("pieces")).over(inside), F.lit(0))
+        found = found.unionByName(placed.filter("uneven").withColumn("start", F.col("offset") + before))
+    return found.select("log_id", "start", F.posexplode("pieces").alias("i", "raw_line")).select(
         "log_id", (F.col("start") + F.col("i") + 1).cast("bigint").alias("line_number"), "raw_line"
     )
 
 
-def large_file_lines(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
-    """Lines of splittable files, numbered without gathering a file; the same lines as those of whole files.
+def large_file_lines(spark: SparkSession, path: str, above: int = -1, stage: Stage | None = None) -> DataFrame:
+    """Lines of files read in splits, numbered without gathering a file; the same lines as those of whole files.
 
     Rows keep file order inside a split, so a line's number is its rank in the split plus the lines of all earlier
-    splits of the file. Splits that hold rarer line ends are put in order one by one, which shuffles their rows. Whether
-    a file's last line is closed follows from its size and the bytes of its rows.
+    splits of the file. One pass makes the table of splits, which ``stage`` writes; a second one numbers rows in place.
+    Only splits that hold rarer line ends are put in order one by one, which reads them once more and shuffles their rows.
+    Whether a file's last line is closed follows from its size and the bytes of its rows.
     """
-    return _placed(*_scan(spark, path, above))
+    rows = _rows(spark, path, above, None)
+    return _placed(rows, (stage or Staging(spark).table)("splits", _splits(rows)))
 
 
-def read(spark: SparkSession, path: str, cfg: Settings) -> Logs:
+def read(spark: SparkSession, path: str, cfg: Settings, stage: Stage | None = None) -> Logs:
     """Every file below ``path`` as one log, bad bytes replaced, guards applied. Files of no bytes are not listed.
 
-    Files up to ``whole_file_bytes`` are read as one string each, larger ones by ``large_file_lines``. Both give the
-    same log ids, lines and verdicts of the guards.
+    Files up to ``whole_file_bytes`` are read as one string each, larger ones as in ``large_file_lines``. Both give the
+    same log ids, lines and verdicts of the guards. Compressed files (known by their names) are decompressed in splits at
+    every size; their last line counts as closed, and the size guard looks at the bytes stored.
     """
     limit = cfg.whole_file_bytes if cfg.max_bytes is None else min(cfg.whole_file_bytes, cfg.max_bytes)
     small = from_texts(_whole_files(spark, path, limit), cfg)
     rejected = small.quarantine
     if cfg.max_bytes is not None:
         rejected = rejected.unionByName(_oversized(spark, path, cfg.max_bytes))
-    if cfg.max_bytes is not None and cfg.max_bytes <= cfg.whole_file_bytes:
-        return Logs(small.logs, small.lines, rejected)
-
-    rows, splits = _scan(spark, path, limit)
-    if cfg.max_bytes is not None:
-        rows, splits = rows.filter(F.col("size") <= cfg.max_bytes), splits.join(
-            _oversized(spark, path, cfg.max_bytes).select("log_id"), "log_id", "left_anti"
-        )
+    rows = _rows(spark, path, limit, cfg.max_bytes)
+    splits = (stage or Staging(spark).table)("splits", _splits(rows))
     breaks = F.sum("read") - F.count("unclosed")
     totals = splits.groupBy("log_id").agg(breaks.alias("breaks"))
     large = _placed(rows, splits)

@@ -1,6 +1,8 @@
 """Sources, stored results, history, evaluation."""
 
+import bz2
 import datetime as dt
+import gzip
 import json
 
 import pytest
@@ -101,6 +103,30 @@ def test_routes_agree_on_ids_lines_and_guards(spark, tmp_path):
         assert [x[2] for x in lines if x[0].endswith(name)] == text.splitlines()
 
 
+def test_compressed_files_are_read_alike_at_every_size(spark, tmp_path):
+    text = "".join(f"line {i}\n" for i in range(1_000)) + "odd\x0bends\r\nno end"
+    for name, pack in (("a.log.gz", gzip.compress), ("b.log.bz2", bz2.compress), ("c.log", lambda b: b)):
+        (tmp_path / name).write_bytes(pack(text.encode()))
+    (tmp_path / "two.gz").write_bytes(gzip.compress(b"first\n") + gzip.compress(b"second\n"))
+    for size in (1, 10_000, 64 << 20):
+        found = by_file(logs.read(spark, str(tmp_path), CFG.but(whole_file_bytes=size)).lines)
+        for name in ("a.log.gz", "b.log.bz2", "c.log"):
+            assert found[name] == list(enumerate(text.splitlines(), 1)), (name, size)
+        assert found["two.gz"] == [(1, "first"), (2, "second")]
+    guarded = logs.read(spark, str(tmp_path), CFG.but(max_line_breaks=900))
+    assert {r.log_id.rsplit("/", 1)[-1] for r in guarded.quarantine.collect()} >= {"a.log.gz", "b.log.bz2", "c.log"}
+    assert {r.log_id.rsplit("/", 1)[-1] for r in guarded.lines.select("log_id").distinct().collect()} == {"two.gz"}
+
+
+def test_lines_of_large_files_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(50_000)))
+    frame = logs.large_file_lines(spark, str(tmp_path))
+    assert frame.count() == 50_000
+    frame.write.format("noop").mode("overwrite").save()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan and plan.count("FileScan text") == 1
+
+
 def test_guards_are_off_by_default():
     assert CFG.max_bytes is None and CFG.max_line_breaks is None
 
