@@ -33,8 +33,9 @@ def _per_format(formats: list[LogFormat], expression) -> Column:
     return chain.otherwise(expression(formats[-1]))
 
 
-def parse_lines(lines: DataFrame, formats: list[LogFormat], cfg: Settings) -> DataFrame:
-    """Every non-blank line with its form and entry columns; skipped lines have NULL entry columns."""
+def parse_lines(lines: DataFrame, formats: list[LogFormat], cfg: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every non-blank line with its form and entry columns; skipped lines have NULL entry columns. ``keep`` names columns
+    that pass through."""
     forms = [form for f in formats for form in f.forms]
     with_form = (
         lines.filter(strip(F.col("raw_line")) != "")
@@ -60,6 +61,7 @@ def parse_lines(lines: DataFrame, formats: list[LogFormat], cfg: Settings) -> Da
         *[columns[name].alias(name) for name in ENTRY_FIELDS],
         (~F.col("_form").isin(SKIPPED, HEADER)).alias("is_entry"),
         F.col("_form").isin(*skipped).alias("is_skipped"),
+        *keep,
     )
 
 

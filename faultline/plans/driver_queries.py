@@ -31,6 +31,7 @@ from faultline.sources import logs as log_source
 from faultline.sources import reports
 from faultline.streaming import lines as stream_lines
 from faultline.streaming import rates as stream_rates
+from faultline.streaming import stateful
 
 # the lane with four logs
 FOUR = Settings(window="1 hour")
@@ -894,6 +895,32 @@ def stream_silence_alarms(spark, folder):
     return _drained(spark, bursts).select("log_id", _stamp("active_from"), _stamp("silent_since"), "entries")
 
 
+def stream_silence_gaps(spark, folder):
+    """X4 by the gaps of each log so far, one log per user."""
+    found = _drained(spark, stateful.silence_gaps(lanes.entries(_events_stream(spark, folder), 100_000), timers=False))
+    figures = [F.round(name, 2).alias(name) for name in ("gap", "mean", "spread")]
+    return found.select("log_id", _stamp("silent_since"), _stamp("until"), *figures, "kind")
+
+
+def stream_tracebacks(spark, folder):
+    """X1 with P12: the first half of all lines arrives, then the other; a last line ends each log."""
+    place = Staging(spark).folder
+    lines = lanes.traceback_lines(_texts(spark, folder))
+    last = lines.groupBy("log_id").agg((F.max("line_number") + 1).alias("line_number"))
+    lines = lines.unionByName(last.withColumn("raw_line", F.lit("end of log")))
+    half = lines.agg(F.floor(F.max("line_number") / 2)).head()[0] or 0
+    # a line inside a block divides the halves as well as any other
+    for name, part in (("a", F.col("line_number") <= half), ("b", F.col("line_number") > half)):
+        lines.filter(part).write.parquet(f"{place}/arrived-{name}")
+    for name in ("a", "b"):
+        spark.read.parquet(f"{place}/arrived-{name}").coalesce(1).write.mode("append").parquet(f"{place}/lines")
+        stream = stateful.python_entries(spark.readStream.schema(lines.schema).parquet(f"{place}/lines"), PARSE, timers=False)
+        query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    return found.filter("raw_line <> 'end of log'").select("log_id", "line_number", "raw_line", "level", "message", "stack_trace")
+
+
 def stream_first_seen_errors(spark, folder):
     """The templates met, each once per log."""
     seen = stream_lines.first_seen_errors(lanes.entries(_events_stream(spark, folder)), "100 days")
@@ -914,6 +941,6 @@ QUERIES: dict[str, Query] = {
         report_json, report_prompt, report_shape, report_continuations, severity_distribution, source_distribution,
         history_totals, daily_trend, average_severity, history_latest, history_search, service_metrics, eval_rows,
         eval_summary, analyse_access_logs, stream_parse, stream_error_rates, stream_spike_flags, stream_silence_alarms,
-        stream_first_seen_errors,
+        stream_silence_gaps, stream_tracebacks, stream_first_seen_errors,
     )
 } | PARSERS

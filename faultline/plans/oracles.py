@@ -782,6 +782,14 @@ STREAMS = {
   b AS (SELECT log_id, min(ts) AS active_from, max(ts) AS silent_since, count(*) AS entries FROM s GROUP BY log_id, burst)
   SELECT log_id, {_stamp('active_from')}, {_stamp('silent_since')}, entries FROM b
   WHERE b.silent_since + INTERVAL 6 HOUR <= {_LAST} - INTERVAL 1 HOUR""",
+    "stream_silence_gaps": f"""WITH {_entries(100_000)}, d AS (SELECT DISTINCT log_id, ts FROM e),
+  g AS (SELECT log_id, ts, lag(ts) OVER o AS since, (epoch_us(ts) - epoch_us(lag(ts) OVER o)) / 1e6 AS gap FROM d
+    WINDOW o AS (PARTITION BY log_id ORDER BY ts)),
+  s AS (SELECT *, avg(gap) OVER o AS mean, stddev_pop(gap) OVER o AS spread, count(gap) OVER o AS n FROM g WHERE gap IS NOT NULL
+    WINDOW o AS (PARTITION BY log_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT log_id, {_stamp('since', 'silent_since')}, {_stamp('ts', 'until')}, round(gap, 2) AS gap, round(mean, 2) AS mean,
+    round(spread, 2) AS spread, 'ended' AS kind FROM s WHERE n >= 3 AND gap > 60 AND gap > mean + 3 * greatest(spread, 1e-6)""",
+    "stream_tracebacks": PARSERS["traceback_merge"],
     "stream_first_seen_errors": f"WITH {_entries()}, {_KEYED} SELECT DISTINCT log_id, template FROM k",
 }
 

@@ -26,7 +26,7 @@ def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -
 def parse(lines: DataFrame, log_format: str | LogFormat, cfg: Settings) -> DataFrame:
     """Entries of a declared format, by the same expressions as in batch.
 
-    Python logs are read line by line: merging tracebacks needs the order of lines, which a stream does not give.
+    Python logs are read line by line; ``stateful.python_entries`` merges their tracebacks where lines are numbered.
     """
     if "line_number" not in lines.columns:
         lines = lines.withColumn("line_number", F.lit(None).cast("bigint"))

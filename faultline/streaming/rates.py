@@ -30,21 +30,33 @@ def error_rates(entries: DataFrame, cfg: Settings, lateness: str) -> DataFrame:
     )
 
 
-def baseline(earlier: DataFrame, rates: DataFrame, trailing: str) -> DataFrame:
-    """Per log of ``rates``: mean and spread of the earlier windows within ``trailing`` before its oldest window."""
-    oldest = rates.groupBy("log_id").agg(F.min("window_start").alias("oldest"))
+def daily_moments(rates: DataFrame) -> DataFrame:
+    """One row per log and day: number, mean and squares around the mean of the windows' rates. Such rows merge by sums."""
+    days = rates.groupBy("log_id", F.to_date("window_start").alias("day"))
+    return days.agg(F.count("rate").alias("n"), F.avg("rate").alias("mean"), (F.var_pop("rate") * F.count("rate")).alias("squares"))
+
+
+def baseline(moments: DataFrame, earlier: DataFrame, rates: DataFrame, trailing: str) -> DataFrame:
+    """Per log of ``rates``: mean and spread of the earlier windows within ``trailing`` before its oldest window.
+
+    Whole days come from ``moments``; only the day in which the baseline begins is read window by window.
+    """
+    since = F.col("oldest") - F.expr(f"interval {trailing}")
+    oldest = rates.groupBy("log_id").agg(F.min("window_start").alias("oldest")).withColumn("since", since)
+    whole = moments.join(oldest, "log_id").filter(F.col("day") > F.to_date("since")).select("log_id", "n", "mean", "squares")
     past = earlier.select("log_id", F.col("window_start").alias("past"), F.col("rate").alias("past_rate"))
-    near = (F.col("past") < F.col("oldest")) & (F.col("past") >= F.col("oldest") - F.expr(f"interval {trailing}"))
-    return (
-        past.join(oldest, "log_id")
-        .filter(near)
-        .groupBy("log_id")
-        .agg(
-            F.avg("past_rate").alias("mean"),
-            F.stddev_pop("past_rate").alias("spread"),
-            F.count(F.lit(1)).alias("windows"),
-        )
+    near = (F.col("past") >= F.col("since")) & (F.to_date("past") == F.to_date("since")) & (F.col("past") < F.col("oldest"))
+    begun = past.join(oldest, "log_id").filter(near).groupBy("log_id")
+    begun = begun.agg(F.count("past_rate").alias("n"), F.avg("past_rate").alias("mean"), (F.var_pop("past_rate") * F.count("past_rate")).alias("squares"))
+    both = whole.unionByName(begun).groupBy("log_id").agg(
+        F.sum("n").alias("windows"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        F.sum(F.col("squares") + F.col("n") * F.col("mean") * F.col("mean")).alias("power"),
     )
+    left = F.col("power") / F.col("windows") - F.col("mean") * F.col("mean")
+    # rates lie in 0..1: what rounding leaves of equal ones is no spread
+    spread = F.sqrt(F.when(left > 1e-12, left).otherwise(0.0))
+    return both.select("log_id", "mean", spread.alias("spread"), "windows")
 
 
 def flag_against(rates: DataFrame, stats: DataFrame, cfg: Settings) -> DataFrame:
@@ -61,21 +73,24 @@ class SpikeFlags:
     """X3 as a ``foreachBatch`` function: flags each batch of finished windows against the trailing ones on disk.
 
     Each batch writes to folders named after its id and reads only batches before it, so a batch that is run again
-    gives the same rows in the same places. Windows are stored by day, and a batch reads the days that its baseline
-    reaches, not all history. The trailing baseline stands in for the whole log, which a stream never sees; this is an
-    approximation of N1.
+    gives the same rows in the same places. Windows are stored by day, and also as one row of moments per log and day; a
+    batch reads moments of the days that its baseline covers, and windows only of the days in which it begins. The
+    trailing baseline stands in for the whole log, which a stream never sees; this is an approximation of N1.
     """
 
     COLUMNS = ["log_id", "window_start", "total", "errors", "rate"]
     SCHEMA = "log_id string, window_start timestamp_ntz, total bigint, errors bigint, rate double, batch bigint, day date"
+    MOMENTS = "log_id string, day date, n bigint, mean double, squares double, batch bigint"
 
     def __init__(self, spark: SparkSession, folder: str, cfg: Settings, trailing: str = "1 day"):
         self.windows = f"{folder.rstrip('/')}/windows"
+        self.moments = f"{folder.rstrip('/')}/moments"
         self.flags = f"{folder.rstrip('/')}/flags"
         self.cfg, self.trailing = cfg, trailing
         # an empty first batch gives the table a folder to be read from
         nothing = spark.createDataFrame([], self.SCHEMA).drop("batch", "day")
         nothing.write.mode("overwrite").parquet(f"{self.windows}/batch=-1/day=1970-01-01")
+        spark.createDataFrame([], self.MOMENTS).drop("batch").write.mode("overwrite").parquet(f"{self.moments}/batch=-1")
 
     def __call__(self, rates: DataFrame, batch: int) -> None:
         spark = rates.sparkSession
@@ -84,11 +99,15 @@ class SpikeFlags:
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(self.windows)
         known = spark.read.schema(self.SCHEMA).option("basePath", self.windows).parquet(self.windows)
         own = known.filter(F.col("batch") == batch).select(*self.COLUMNS)
-        since = own.agg(F.to_date(F.min("window_start") - F.expr(f"interval {self.trailing}"))).head()[0]
+        daily_moments(own).write.mode("overwrite").parquet(f"{self.moments}/batch={batch}")
+        start = F.expr(f"interval {self.trailing}")
+        first, last = own.agg(F.to_date(F.min("window_start") - start), F.to_date(F.max("window_start") - start)).head()
         earlier = known.filter(F.col("batch") < batch)
-        if since is not None:
-            earlier = earlier.filter(F.col("day") >= F.lit(since))
-        flagged = flag_against(own, baseline(earlier, own, self.trailing), self.cfg)
+        moments = spark.read.schema(self.MOMENTS).option("basePath", self.moments).parquet(self.moments).filter(F.col("batch") < batch)
+        if first is not None:
+            earlier = earlier.filter(F.col("day").between(F.lit(first), F.lit(last)))
+            moments = moments.filter(F.col("day") > F.lit(first))
+        flagged = flag_against(own, baseline(moments, earlier, own, self.trailing), self.cfg)
         flagged.write.mode("overwrite").parquet(f"{self.flags}/batch={batch}")
 
     def found(self, spark: SparkSession) -> DataFrame:
