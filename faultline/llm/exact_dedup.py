@@ -20,7 +20,7 @@ def normalised(text: Column) -> Column:
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Each row goes to a leaf run by the hash of its doc_id and becomes a digest; a leaf keeps one row per digest with the
+    Each row goes to a leaf run by the hash of its row number and becomes a digest; a leaf keeps one row per digest with the
     smallest doc_id and a count. In each round sixteen runs meet, are sorted by digest and merged, keeping again the
     smallest doc_id, until one run is left. The answers then go back down the same tree, so that no step ever joins
     more than sixteen rows of a merge or one leaf's share of a digest: a text that a third of all rows repeat is spread
@@ -38,9 +38,8 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
             F.unhex(F.sha2("body", 256)).alias("digest"),
             F.octet_length("body").alias("bytes"),
             F.xxhash64("body").alias("check"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
         ),
-    )
+    ).withColumn("run", F.pmod(F.xxhash64("uid"), F.lit(RUNS)).cast("int"))
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")
     levels = [
         scratch.table("run0", rows.groupBy("run", *KEY).agg(F.min(first).alias("first"), F.count("*").alias("n")))

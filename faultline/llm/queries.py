@@ -67,7 +67,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cutoffs = mixing.plan(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST, Scratch(spark))
-    return mixing.times(cutoffs, rows, F.col("place")).select(
+    return mixing.times(cutoffs, rows, F.col("place"), F.col("tie")).select(
         "doc_id",
         "size",
         F.col("mix_source_size").alias("source_size"),

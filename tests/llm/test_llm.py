@@ -279,7 +279,7 @@ def test_repeated_rows_keep_one(spark, scratch):
 
 def test_mixing_edges(docs, none, spark):
     rows, cutoffs = mixing.plan(docs, (5, 2, 1), 1.5, 2.0, Scratch(spark))
-    found = mixing.times(cutoffs, rows, F.col("place")).collect()
+    found = mixing.times(cutoffs, rows, F.col("place"), F.col("tie")).collect()
     sizes = Counter()
     for r, own in zip(sorted(found, key=str), sorted(ROWS, key=str), strict=False):
         sizes[r.source] += r.size
@@ -301,6 +301,43 @@ def test_line_dedup_keeps_the_first_and_counts_sites(spark, none, scratch):
     assert line_dedup.remove(none, F.col("source"), 4, Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 0, 4_000])
+def test_line_dedup_of_rows_that_share_an_id(spark, scratch, hot):
+    pool = [f"shared line {i}" for i in range(300)]
+    rows = [(hot if i % 3 == 0 else i, "\n".join([pool[(7 * i + k) % 300] for k in range(20)] + ["menu", f"own {i}"]), f"s{i % 40}") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_dedup.remove(docs, F.col("source"), 5, scratch).collect()
+    left = Counter(line for r in out for line in r.text.split("\n"))
+    assert len(out) == len(rows) and all(left[line] == 1 for line in pool) and left["menu"] == 1
+    assert sum(1 for line in left if line.startswith("own ")) == 3_000
+    least = 0 if hot == 0 else 1
+    assert [r.doc_id for r in out if "menu" in r.text.split("\n")] == [least]
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_mixing_meets_targets_with_shared_ids(spark, scratch, hot):
+    rows = [(hot if i % 10 < 7 else i + 100, " ".join(["w"] * (1 + i % 9)), f"s{i % 4}") for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, cutoffs = mixing.plan(docs, (5, 2, 1), 1.5, 2.0, scratch)
+    found = mixing.times(cutoffs, sizes, F.col("place"), F.col("tie")).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source] += r.size * r.mix_times
+        target[r.source] = r.mix_target
+    assert len(found) == 1_000 and all(abs(taken[s] - t) <= 9 for s, t in target.items())
+    mixed = mixing.mix(docs, (5, 2, 1), 1.5, 2.0, Scratch(spark))
+    assert {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()} == dict(taken)
+    assert mixed.columns == docs.columns
+
+
+def test_exact_dedup_spreads_rows_without_ids(spark, scratch):
+    docs = spark.createDataFrame([(None, f"text {i % 900}") for i in range(3_000)] + [(5, "text 1")] * 1_000, "doc_id long, text string")
+    rows = exact_dedup.groups(docs, scratch).collect()
+    assert sum(r.kept for r in rows) == 900 and len(rows) == 4_000
+    runs = scratch.spark.read.parquet(f"{scratch.folder}/digests").withColumn("run", F.pmod(F.xxhash64("uid"), F.lit(64))).groupBy("run").count()
+    assert runs.agg(F.max("count")).first()[0] < 200
+
+
 def test_sketches_agree_with_exact_counts_beyond_the_margin(spark, scratch):
     rows = [(i, f"wide\n{'narrow' if i < 80 else i}\n{'edge' if i < 100 else -i}", f"s{i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
