@@ -54,8 +54,8 @@ class Settings:
     eval_rows: int | None = 15
     listing_rows: int | None = 50
 
-    # rows of a child table that go inline into one report document; the rest goes into continuation documents
-    report_inline_rows: int = 10_000
+    # rows of a child table that go inline into one report document; the rest goes into continuations. None takes all
+    report_inline_rows: int | None = 10_000
 
     # size of the pieces in which one log is put in order, so that no task ever sorts a whole log
     chunk_lines: int = 50_000
@@ -68,7 +68,7 @@ class Settings:
     version: str = "v1.0"
 
     def __post_init__(self) -> None:
-        limits = (self.encode_cap, self.timeline_cap, self.max_clusters, self.chunk_lines, self.sample_lines, self.eval_rows, self.listing_rows)
+        limits = (self.encode_cap, self.timeline_cap, self.max_clusters, self.chunk_lines, self.sample_lines, self.eval_rows, self.listing_rows, self.report_inline_rows)
         if any(limit is not None and limit < 1 for limit in limits):
             raise ValueError("caps and chunk sizes must be positive")
 

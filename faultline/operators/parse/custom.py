@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
+from faultline.config import Settings
 from faultline.functions import times
 from faultline.functions.text import null_if_empty, pattern, strip
+from faultline.operators.joins import attach
 from faultline.operators.parse.forms import LineForm, LogFormat, always, level_of
+from faultline.schema import ENTRY_FIELDS
 
 KNOWN_GROUPS = ("message", "timestamp", "level", "service", "host")
 
@@ -89,3 +93,42 @@ def confidence(lines, expression: str):
     """Share of the given lines that match, per log."""
     jvm, _ = jvm_pattern(expression)
     return lines.groupBy("log_id").agg(F.avg(F.col("raw_line").rlike(jvm).cast("double")).alias("confidence"))
+
+
+def format_table(spark: SparkSession, formats: dict[str, str]) -> DataFrame:
+    """Checked patterns as a table: name, pattern for the JVM matcher, and the position of every known group (0: none)."""
+    rows = []
+    for name, expression in formats.items():
+        validated(name, expression)
+        jvm, positions = jvm_pattern(expression)
+        rows.append((name, jvm, *[positions.get(part, 0) for part in KNOWN_GROUPS]))
+    return spark.createDataFrame(rows, "name string, pattern string, " + ", ".join(f"{part} int" for part in KNOWN_GROUPS))
+
+
+def parse_many(lines: DataFrame, assigned: DataFrame, formats: DataFrame, cfg: Settings) -> DataFrame:
+    """P31-P34 for many patterns at once: every non-blank line by the pattern of its log.
+
+    ``assigned`` has log_id and name, at most one row per log; ``formats`` comes from ``format_table``. Patterns are columns,
+    so their number does not widen the plan; the matcher keeps the last one, and lines of a log come together. Lines of
+    logs without a pattern are left out, as are those whose name ``formats`` lacks. Unmatched lines are kept at level
+    UNKNOWN and counted as skipped.
+    """
+    # a handful of rows per registered format, made on the driver
+    per_log = assigned.join(F.broadcast(formats), "name").drop("name")
+    found = attach(lines.select("log_id", "line_number", "raw_line"), per_log, cfg)
+    found = found.filter(strip(F.col("raw_line")) != "").withColumn("_hit", F.expr("regexp_instr(raw_line, pattern) > 0"))
+
+    def named(part: str):
+        return F.when(F.col(part) > 0, F.expr(f"regexp_extract(raw_line, pattern, {part})"))
+
+    values = {
+        "ts": F.when(F.col("_hit"), custom_time(named("timestamp"))),
+        "level": F.when(F.col("_hit"), level_of(strip(named("level")), fixed.CUSTOM_LEVELS, "UNKNOWN")).otherwise("UNKNOWN"),
+        "source": F.lit("unknown"),
+        "message": F.when(F.col("_hit"), named("message")).otherwise(strip(F.col("raw_line"))),
+        "service": F.when(F.col("_hit"), null_if_empty(named("service"))),
+        "host": F.when(F.col("_hit"), null_if_empty(named("host"))),
+        "metadata": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
+    }
+    columns = [values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ENTRY_FIELDS.items()]
+    return found.select("log_id", "line_number", "raw_line", *columns, F.lit(True).alias("is_entry"), (~F.col("_hit")).alias("is_skipped"))

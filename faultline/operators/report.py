@@ -29,7 +29,7 @@ def _in_order(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     return packed
 
 
-def _first_anomalies(anomalies: DataFrame, count: int) -> DataFrame:
+def _first_anomalies(anomalies: DataFrame, count: int | None) -> DataFrame:
     first = ordered.top(anomalies, ["log_id"], order_keys(), count)
     position = F.row_number().over(Window.partitionBy("log_id").orderBy(*order_keys()))
     return first.withColumn("pos", position.cast("bigint"))
@@ -46,7 +46,8 @@ def findings(
     """The summary with the four child tables as ordered arrays.
 
     Clusters, timeline and root causes have a fixed upper size per log. Anomalies do not: their first
-    ``report_inline_rows`` go in here and the rest into ``continuations``.
+    ``report_inline_rows`` go in here (None: all), with their number in ``anomalies_total``, and the rest into
+    ``continuations`` and ``prompt_continuations``.
     """
     parts = [
         _in_order(root_causes, CAUSE, "root_causes"),
@@ -57,7 +58,8 @@ def findings(
     out = summary
     for part in parts:
         out = out.join(part, "log_id", "left")
-    return out
+    totals = anomalies.groupBy("log_id").agg(F.count(F.lit(1)).alias("anomalies_total"))
+    return out.join(totals, "log_id", "left").withColumn("anomalies_total", F.coalesce("anomalies_total", F.lit(0)))
 
 
 def _lines(items: Column, to_text, limit: int | None, when_empty: str) -> Column:
@@ -172,6 +174,8 @@ def document(found: DataFrame, cfg: Settings, write=None) -> DataFrame:
             "critical_count",
             F.array(times.iso(F.col("time_range.start")), times.iso(F.col("time_range.end"))).alias("time_range"),
             _processing_ms(found).alias("processing_time_ms"),
+            F.greatest(F.size("anomalies"), F.lit(0)).alias("anomalies_listed"),
+            "anomalies_total",
         ).alias("summary"),
         listed(
             "root_causes",
@@ -215,6 +219,28 @@ def json(documents: DataFrame) -> DataFrame:
 
 def continuations(anomalies: DataFrame, cfg: Settings) -> DataFrame:
     """V4 for logs with more anomalies than fit inline: the rest, in order, as numbered pieces of the same size."""
+    packed = _overflow(anomalies, cfg)
+    return packed.select("log_id", "part", F.transform("anomalies", anomaly_json).alias("anomalies"))
+
+
+def prompt_continuations(anomalies: DataFrame, cfg: Settings) -> DataFrame:
+    """V5 for the same logs: ``log_id, part, prompt``, each with the next ``report_inline_rows`` anomalies as text."""
+    text = F.array_join(F.transform("anomalies", _anomaly_line), "\n")
+    opening = F.format_string("KEY ANOMALIES DETECTED (continued, part %d):\n", F.col("part"))
+    return _overflow(anomalies, cfg).select("log_id", "part", F.concat(opening, text).alias("prompt"))
+
+
+def _anomaly_line(a: Column) -> Column:
+    return F.concat(
+        a["anomaly_type"], F.lit(" ("), a["severity"], F.lit(") z="), F.format_string("%.2f", a["z_score"]),
+        F.lit(": "), a["description"],
+    )
+
+
+def _overflow(anomalies: DataFrame, cfg: Settings) -> DataFrame:
+    """``log_id, part, anomalies`` of those past the inline ones, placed by severity and hour."""
+    if cfg.report_inline_rows is None:
+        anomalies, cfg = anomalies.limit(0), cfg.but(report_inline_rows=1)
     rank, _, detector, line = order_keys()
     hour = F.window(F.coalesce("ts", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")), "1 hour").getField("start")
     keyed = (
@@ -230,7 +256,7 @@ def continuations(anomalies: DataFrame, cfg: Settings) -> DataFrame:
     packed = rest.groupBy("log_id", part).agg(
         F.array_sort(F.collect_list(F.struct("pos", *ANOMALY))).alias("anomalies")
     )
-    return packed.select("log_id", "part", F.transform("anomalies", anomaly_json).alias("anomalies"))
+    return packed
 
 
 def prompt_text(cfg: Settings) -> Column:
@@ -244,15 +270,9 @@ def prompt_text(cfg: Settings) -> Column:
         None,
         "none",
     )
-    anomalies = _lines(
-        F.col("anomalies"),
-        lambda a: F.concat(
-            a["anomaly_type"], F.lit(" ("), a["severity"], F.lit(") z="), F.format_string("%.2f", a["z_score"]),
-            F.lit(": "), a["description"],
-        ),
-        None,
-        "none detected",
-    )
+    listed = _lines(F.col("anomalies"), _anomaly_line, None, "none detected")
+    left = F.col("anomalies_total") - F.greatest(F.size("anomalies"), F.lit(0))
+    anomalies = F.when(left > 0, F.concat(listed, F.format_string("\n(%d more in continuation prompts)", left))).otherwise(listed)
 
     def services(c: Column) -> Column:
         quoted = F.transform(c["affected_services"], lambda s: F.concat(F.lit("'"), s, F.lit("'")))

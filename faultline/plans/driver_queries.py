@@ -97,11 +97,11 @@ def _flat_anomalies(found: DataFrame) -> DataFrame:
 
 
 def error_spikes(spark, folder):
-    return _flat_anomalies(anomalies.error_spikes(_entries(spark, folder), FOUR))
+    return _flat_anomalies(anomalies.error_spikes(_entries(spark, folder), FOUR, Staging(spark).table))
 
 
 def latency_spikes(spark, folder):
-    return _flat_anomalies(anomalies.latency_spikes(_entries(spark, folder), FOUR))
+    return _flat_anomalies(anomalies.latency_spikes(_entries(spark, folder), FOUR, Staging(spark).table))
 
 
 def silence_gaps(spark, folder):
@@ -109,16 +109,16 @@ def silence_gaps(spark, folder):
 
 
 def cascade_failures(spark, folder):
-    return _flat_anomalies(anomalies.cascades(_entries(spark, folder), RUNS))
+    return _flat_anomalies(anomalies.cascades(_entries(spark, folder), RUNS, Staging(spark).table))
 
 
 def all_anomalies(spark, folder):
-    return _flat_anomalies(anomalies.all_anomalies(_entries(spark, folder), RUNS))
+    return _flat_anomalies(anomalies.all_anomalies(_entries(spark, folder), RUNS, Staging(spark).table))
 
 
 def leading_anomalies(spark, folder):
     """The first 20 anomalies of every log in report order."""
-    found = anomalies.all_anomalies(_entries(spark, folder), FOUR)
+    found = anomalies.all_anomalies(_entries(spark, folder), FOUR, Staging(spark).table)
     return _flat_anomalies(ordered.top(found, ["log_id"], anomalies.order_keys(), 20))
 
 
@@ -223,6 +223,15 @@ def traceback_merge(spark, folder):
     return dispatch.entries(parsed).select("log_id", "line_number", "raw_line", "level", "message", "stack_trace")
 
 
+def parse_custom_many(spark, folder):
+    """Three logs, each with its own pattern, in one pass."""
+    lines = lanes.lines(_texts(spark, folder), "custom")
+    formats = custom.format_table(spark, lanes.CUSTOM_PATTERNS)
+    assigned = lines.select("log_id").distinct().withColumn("name", F.concat(F.lit("own-"), F.substring("log_id", -1, 1)))
+    found = custom.parse_many(lines, assigned, formats, PARSE)
+    return found.select("log_id", "line_number", "level", "message", _stamp("ts"), "service", "host", "is_skipped")
+
+
 def _all_kinds(spark, folder) -> DataFrame:
     events = _texts(spark, folder)
     out = lanes.mixed_lines(events)
@@ -571,8 +580,8 @@ def root_cause_evidence(spark, folder):
 # --- reports -------------------------------------------------------------------------------------------------------
 
 
-def _findings(spark, folder) -> tuple[DataFrame, Settings]:
-    cfg = FOUR.but(reference_time=dt.datetime(2024, 2, 1))
+def _findings(spark, folder, inline: int | None = 10_000) -> tuple[DataFrame, Settings]:
+    cfg = FOUR.but(reference_time=dt.datetime(2024, 2, 1), report_inline_rows=inline)
     results = pipeline.analyse_entries(
         _entries(spark, folder), cfg, embed=family_embedder, staging=Staging(spark)
     )
@@ -687,6 +696,23 @@ def report_continuations(spark, folder):
     )
 
 
+def prompt_continuations(spark, folder):
+    """V5 overflow: the text of anomalies past the inline rows, in numbered prompts."""
+    cfg = FOUR.but(report_inline_rows=25)
+    found = anomalies.latency_spikes(_entries(spark, folder), cfg, Staging(spark).table)
+    return report.prompt_continuations(found, cfg).select("log_id", "part", "prompt")
+
+
+def prompt_anomalies(spark, folder):
+    """V5: the list of anomalies inside the prompt, cut after ten, with the number of those left."""
+    found, cfg = _findings(spark, folder, 10)
+    listed = _after("prompt", "\n\nKEY ANOMALIES DETECTED:\n", "\n\nERROR CLUSTERS")
+    marks = F.regexp_extract(listed, r"\((\d+) more in continuation prompts\)$", 1)
+    return report.prompts(found, cfg).select(
+        "log_id", F.size(F.split(listed, "\n")).cast("bigint").alias("lines"), F.coalesce(marks.try_cast("bigint"), F.lit(0).cast("bigint")).alias("more")
+    )
+
+
 # --- history -------------------------------------------------------------------------------------------------------
 
 
@@ -932,13 +958,13 @@ QUERIES: dict[str, Query] = {
     for f in (
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
         all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
-        traceback_merge, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines, text_file_lines_by_size,
+        traceback_merge, parse_custom_many, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines, text_file_lines_by_size,
         template_embeddings, detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
         prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,
         cosine_edges, cosine_edges_corpus, cosine_edges_hyperplanes, dbscan_components, dbscan_corpus, cluster_representative, error_clusters, error_clusters_capped,
         singleton_clusters, default_embedding_clusters, cluster_search, cluster_export, first_errors, entry_events,
         recovery_points, timeline_build, timeline_volume, root_cause_ranking, root_cause_evidence, report_markdown,
-        report_json, report_prompt, report_shape, report_continuations, severity_distribution, source_distribution,
+        report_json, report_prompt, report_shape, report_continuations, prompt_continuations, prompt_anomalies, severity_distribution, source_distribution,
         history_totals, daily_trend, average_severity, history_latest, history_search, service_metrics, eval_rows,
         eval_summary, analyse_access_logs, stream_parse, stream_error_rates, stream_spike_flags, stream_silence_alarms,
         stream_silence_gaps, stream_tracebacks, stream_first_seen_errors,

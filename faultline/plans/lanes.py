@@ -171,6 +171,14 @@ def _generic() -> Column:
 CUSTOM_PATTERN = r"^(?P<timestamp>\S+ \S+) \| (?P<level>\w+) \| (?P<service>[\w-]*) \| (?P<message>.*)$"
 
 
+# one pattern per log: all parts, a line without its time, and what the service's name is called elsewhere
+CUSTOM_PATTERNS = {
+    "own-0": CUSTOM_PATTERN,
+    "own-1": r"\| (?P<level>\w+) \|.*\| (?P<message>.*)$",
+    "own-2": r"^(?P<timestamp>\S+ \S+) \| \w+ \| (?P<host>[\w-]*) \| (?P<message>.*)$",
+}
+
+
 def _custom() -> Column:
     word = _by_type(error="err", signup="warn", purchase="fatal", click="debug", other=F.lit("note"))
     good = F.format_string("%s | %s | svc-%d | handled %d", _ts("yyyy-MM-dd HH:mm:ss.SSSSSS"), word, _user() % 7, _id())

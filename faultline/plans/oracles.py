@@ -226,6 +226,12 @@ PARSERS = {
         "CASE WHEN event_id % 9 = 4 THEN 'unreadable ' || event_id ELSE 'handled ' || event_id END",
         _stamp("CASE WHEN event_id % 9 <> 4 THEN ts END", "ts"),
         "CASE WHEN event_id % 9 <> 4 THEN 'svc-' || (user_id % 7) END AS service"),
+    "parse_custom_many": f"""SELECT log_id, line_number, CASE WHEN bad OR own = 2 THEN 'UNKNOWN' ELSE known END AS level,
+    message, CASE WHEN NOT bad AND own <> 1 THEN stamp END AS ts, CASE WHEN NOT bad AND own = 0 THEN svc END AS service,
+    CASE WHEN NOT bad AND own = 2 THEN svc END AS host, bad AS is_skipped
+  FROM (SELECT {_dealt('custom')}, event_id % 3 AS own, event_id % 9 = 4 AS bad, 'svc-' || (user_id % 7) AS svc, {_stamp('ts', 'stamp')},
+    {_type("'UNKNOWN'", error="'ERROR'", signup="'WARNING'", purchase="'CRITICAL'", click="'DEBUG'")} AS known,
+    CASE WHEN event_id % 9 = 4 THEN 'unreadable ' || event_id ELSE 'handled ' || event_id END AS message FROM events)""",
     "parse_k8s_table": _every_line(
         "k8s_table", "event_id % 50 = 0", "event_id % 11 = 5", _type("'INFO'", error="'WARNING'"), "'BackOff: handled ' || event_id"),
     "parse_syslog_loose": _every_line(
@@ -647,6 +653,11 @@ REPORTS = {
   o AS (SELECT log_id, lines[1] AS line, row_number() OVER (PARTITION BY log_id ORDER BY ts, lines[1]) AS pos FROM la)
   SELECT log_id, (pos - 1) // 25 AS part, count(*) AS rows, string_agg(line::VARCHAR, ',' ORDER BY pos) AS lines
   FROM o WHERE pos > 25 GROUP BY 1, 2""",
+    "prompt_continuations": f"""WITH {_entries()}, {_latency(2.5)},
+  o AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY ts, lines[1]) AS pos FROM la)
+  SELECT log_id, (pos - 1) // 25 AS part, printf('KEY ANOMALIES DETECTED (continued, part %d):', (pos - 1) // 25) || chr(10) ||
+    string_agg(printf('latency_spike (medium) z=%.2f: High response time %.1fms (z=%.2f vs baseline %.1fms)', z_score, observed_value, z_score, baseline_value),
+      chr(10) ORDER BY pos) AS prompt FROM o WHERE pos > 25 GROUP BY 1, 2""",
     "analyse_access_logs": f"""SELECT 'nginx_access-' || (event_id % 3) AS log_id, 'nginx' AS log_source, count(*) AS total_lines,
     count(*) AS parsed_lines, 0::BIGINT AS skipped_lines, {_stamp(f'min({_SECOND}) - INTERVAL 2 HOUR', 'first_ts')},
     round(avg((event_type = 'error')::INT), 6) AS error_rate, round(avg((event_type = 'signup')::INT), 6) AS warning_rate,
@@ -693,6 +704,8 @@ REPORTS |= {
   FROM ({REPORTS['report_shape']}) q JOIN ({SUMMARY['log_summary']}) l USING (log_id)
   JOIN (WITH {_entries()}, {_CAUSES}, {_RULE_ROWS} SELECT * FROM r
     QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY {_RULE_ORDER}) = 1) c USING (log_id)""",
+    "prompt_anomalies": f"""SELECT log_id, CASE WHEN anomalies > 10 THEN 11 ELSE greatest(anomalies, 1) END AS lines,
+    greatest(anomalies - 10, 0) AS more FROM ({REPORTS['report_shape']})""",
     "report_store": f"""SELECT 12::BIGINT AS id_length, severity, 'unknown' AS log_source, total_lines, '{_AT}' AS generated_at
   FROM ({REPORTS['report_shape']})""",
     "prompt_sections": f"""WITH {_entries()}, {_STATS}, {_CAUSES}, {_RULE_ROWS}, {_KEYED}, {_DEDUP}, {_clustered(200, 8, 2)},

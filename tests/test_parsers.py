@@ -191,3 +191,19 @@ def test_unicode_spaces(lines):
 def test_a_plan_without_python(lines):
     plan = dispatch.parse(lines("x"), CFG)._jdf.queryExecution().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_many_patterns_in_one_pass(spark):
+    formats = custom.format_table(spark, {"x": r"(?P<level>\w+): (?P<message>.*)", "y": r"^(?P<message>\S+) at (?P<timestamp>\S+ \S+)$"})
+    rows = [("a", 1, "err: broken"), ("a", 2, "no match"), ("a", 3, "  "), ("b", 1, "err: broken"), ("b", 2, "up at 2024-01-15 12:00:00"), ("c", 1, "x: y"), ("d", 1, "x: y")]
+    lines = spark.createDataFrame(rows, "log_id string, line_number long, raw_line string")
+    assigned = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "unknown")], "log_id string, name string")
+    many = custom.parse_many(lines, assigned, formats, Settings())
+    for log, name in (("a", "x"), ("b", "y")):
+        pattern = {"x": r"(?P<level>\w+): (?P<message>.*)", "y": r"^(?P<message>\S+) at (?P<timestamp>\S+ \S+)$"}[name]
+        alone = dispatch.parse_as(lines.filter(lines.log_id == log), custom.custom_format(name, pattern), Settings())
+        assert many.columns == alone.columns
+        assert sorted(map(str, many.filter(many.log_id == log).collect())) == sorted(map(str, alone.collect()))
+    assert many.filter("log_id IN ('c', 'd')").count() == 0
+    with pytest.raises(ValueError, match="message"):
+        custom.format_table(spark, {"z": r"(?P<level>\w+)"})
