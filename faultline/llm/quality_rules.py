@@ -26,9 +26,22 @@ LOG_BASE = math.log((1 + ERROR) / (1 - ERROR))
 TINY = 1e-4
 #: Sketches of fewer documents are merged with those of the language's other sources.
 LEAST_DOCS = 100
-#: What is measured: (name, slack). A document passes up to three times what is usual (see quantiles) plus the slack.
-HIGH = (("symbols_a_word", 0.1), ("shouts_a_word", 0.1), ("capitals_a_char", 0.1), ("dup_lines_a_line", 0.2), ("chars_a_word", 2.0))
-TIMES = 3.0
+#: What is measured, and the size of a document that it is a share of.
+MEASURES = {
+    "symbols_a_word": "n_words",
+    "shouts_a_word": "n_words",
+    "capitals_a_char": "word_chars",
+    "dup_lines_a_line": "n_lines",
+    "chars_a_word": "n_words",
+}
+#: Measures whose low values are judged too.
+TWO_SIDED = ("chars_a_word",)
+#: A limit lies this many spreads (half of what is between the 10th percentile and what is usual) beyond what is usual.
+SPREADS = 4.0
+#: What a document of the cell's median size may have beyond that, as occurrences: spreads of rare things are zero.
+OCCURRENCES = {"symbols_a_word": 8, "shouts_a_word": 8, "capitals_a_char": 8, "dup_lines_a_line": 2, "chars_a_word": 0}
+#: Lines of which repeats are a share at least, where documents have fewer.
+FEW_LINES = 10
 AT = 0.9
 LOW = 0.1
 SPREAD = 2.0
@@ -110,14 +123,15 @@ def measures() -> list[Column]:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Mergeable sketches: how many documents per lang, source, measure and logarithmic bucket (null: next to zero)."""
-    each = F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("value")) for name, _ in HIGH]))
+    """Mergeable sketches: how many documents per lang, source, measure or size, and logarithmic bucket (null: next to zero)."""
+    names = [*MEASURES, *dict.fromkeys(MEASURES.values())]
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value")) for name in names]))
     bucket = F.when(F.col("value") > TINY, F.ceil(F.log("value") / LOG_BASE)).cast("int")
     return rows.select("lang", "source", each).groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantiles(found: DataFrame, *keys: str) -> DataFrame:
-    """keys, docs, low (10th percentile), high (90th percentile) and usual of each sketch.
+    """keys, docs, low (10th percentile), middle, high (90th percentile) and usual of each sketch.
 
     usual is the 90th percentile, but no further above the median than SPREAD times the median is above the 10th: what
     less than half of the documents have cannot raise that.
@@ -129,40 +143,70 @@ def quantiles(found: DataFrame, *keys: str) -> DataFrame:
     reached = lambda share: F.min(F.when(F.col("upto") >= share * F.col("docs"), value))
     each = at.groupBy(*keys).agg(F.first("docs").alias("docs"), reached(LOW).alias("low"), reached(0.5).alias("middle"), reached(AT).alias("high"))
     usual = F.least("high", F.col("middle") + SPREAD * (F.col("middle") - F.col("low")))
-    return each.select(*keys, "docs", "low", "high", usual.alias("usual"))
+    return each.select(*keys, "docs", "low", "middle", "high", usual.alias("usual"))
 
 
 def limits(found: DataFrame) -> DataFrame:
-    """lang, source and the highest passing value of each measure.
+    """lang, source, and of each measure: least_ and most_, the passing values at the median size, and size_, that size.
 
     Sketches merge by adding counts: a source with few documents takes the sketch of its whole language. For any other its
     own 90th percentile counts, but no more of it than is usual in the language or than nine tenths of its own documents
     reach, which is a way of writing. So junk raises no limit while it is under half of the language and under nine tenths
-    of the source.
+    of the source. Limits lie SPREADS spreads and some occurrences beyond what is usual.
     """
     own = quantiles(found, "lang", "source", "measure")
-    wide = quantiles(found, "lang", "measure").select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("usual").alias("wide"))
+    wide = quantiles(found, "lang", "measure").select(
+        F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("usual").alias("wide"), F.col("low").alias("wide_low"), F.col("middle").alias("wide_middle")
+    )
     both = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
-    held = F.least("high", F.greatest("wide", "low"))
-    slack = F.create_map(*[F.lit(x) for pair in HIGH for x in pair])
-    most = TIMES * F.when(F.col("docs") < LEAST_DOCS, F.col("wide")).otherwise(held) + F.element_at(slack, F.col("measure"))
-    return both.withColumn("most", most).groupBy("lang", "source").pivot("measure", [n for n, _ in HIGH]).agg(F.first("most"))
+    few = F.col("docs") < LEAST_DOCS
+    low = F.when(few, F.col("wide_low")).otherwise(F.col("low"))
+    held = F.when(few, F.col("wide")).otherwise(F.least("high", F.greatest("wide", "low")))
+    middle = F.when(few, F.col("wide_middle")).otherwise(F.col("middle"))
+    cells = both.select("lang", "source", "measure", low.alias("low"), held.alias("held"), middle.alias("middle"))
+    per_cell = cells.groupBy("lang", "source").agg(
+        F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "held", "middle")))).alias("by")  # one entry per measure
+    )
+    columns = []
+    for name, size in MEASURES.items():
+        at = F.col("by")[name]
+        typical = F.greatest(F.col("by")[size]["middle"], F.lit(FEW_LINES if size == "n_lines" else 1))
+        # documents much alike still differ by chance: words deviate by about half their mean length
+        chance = at["held"] / 2 / F.sqrt(typical) if name in TWO_SIDED else F.lit(0.0)
+        spread = F.greatest((at["held"] - at["low"]) / 2, chance)
+        beyond = SPREADS * spread + OCCURRENCES[name] / typical
+        least = at["low"] - beyond if name in TWO_SIDED else F.lit(0.0)
+        columns += [at["low"].alias(f"low_{name}"), at["held"].alias(f"usual_{name}"), least.alias(f"least_{name}")]
+        columns += [(at["held"] + beyond).alias(f"most_{name}"), typical.alias(f"size_{name}")]
+    return per_cell.select("lang", "source", *columns)
+
+
+def passes(name: str) -> Column:
+    """Whether a measure is within its limits: their distance to what is usual grows for documents below the median size, as
+    the chance in a share does, with the root of how many times smaller they are."""
+    size = F.greatest(F.col(MEASURES[name]), F.lit(1))
+    wider = F.sqrt(F.greatest(F.col(f"size_{name}") / size, F.lit(1.0)))
+    most = F.col(f"usual_{name}") + wider * (F.col(f"most_{name}") - F.col(f"usual_{name}"))
+    least = F.col(f"low_{name}") - wider * (F.col(f"low_{name}") - F.col(f"least_{name}"))
+    return F.coalesce(F.col(name).between(least, most), F.lit(True))
 
 
 def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, the base counts, base_failed, the measures with their limits (most_...), and kept, for every row.
+    """doc_id, the base counts, base_failed, the measures with their limits, passes_ of each, and kept, for every row.
 
     A document fails the base rules with fewer than ten words, or if over a fifth of them stand in five-word windows that
     the text repeats. Of the others, the sketches give each language and source its limits, and a document is kept if
-    none of its measures is above. A null lang or source is one of its own. Repeated rows and null doc_ids are judged
-    each; a null text has no words and fails. Other columns are ignored; an empty table gives no rows.
+    all of its measures are within them. A null lang or source is one of its own. Repeated rows and null doc_ids are
+    judged each; a null text has no words and fails. Other columns are ignored; an empty table gives no rows.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = scratch.table("measured", measured(docs).withColumn("base_failed", failed).select("*", *measures()))
     most = scratch.table("limits", limits(sketches(rows.where("NOT base_failed"))))
-    named = most.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[F.col(n).alias(f"most_{n}") for n, _ in HIGH])
+    named = most.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    passes = ~F.col("base_failed")
-    for name, _ in HIGH:
-        passes = passes & F.coalesce(F.col(name) <= F.col(f"most_{name}"), F.lit(True))
-    return rows.join(small(named), same, "left").withColumn("kept", passes).drop("of_lang", "of_source")
+    judged = rows.join(small(named), same, "left").drop("of_lang", "of_source")
+    kept = ~F.col("base_failed")
+    for name in MEASURES:
+        judged = judged.withColumn(f"passes_{name}", passes(name))
+        kept = kept & F.col(f"passes_{name}")
+    return judged.withColumn("kept", kept)

@@ -440,11 +440,70 @@ def test_quality_keeps_good_rows_and_drops_symbols(spark, none):
 
 
 def test_quantiles_are_right_to_the_stated_error(spark):
-    values = [(None, "s", "chars_a_word", 1.0 + i / 100) for i in range(500)]
-    rows = spark.createDataFrame([("x", "s", *([0.0] * 4), v[3]) for v in values], "lang string, source string, " + ", ".join(f"{n} double" for n, _ in quality_rules.HIGH))
-    most = quality_rules.limits(quality_rules.sketches(rows)).first()
-    exact = 1.0 + 449 / 100
-    assert most.symbols_a_word == pytest.approx(0.1) and most.chars_a_word == pytest.approx(3 * exact + 2, rel=0.021)
+    rows = spark.createDataFrame([("x", "s", 1.0 + i / 100) for i in range(500)], "lang string, source string, chars_a_word double")
+    for name in [*quality_rules.MEASURES, *quality_rules.MEASURES.values()]:
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(40.0))
+    found = quality_rules.quantiles(quality_rules.sketches(rows), "lang", "source", "measure").where("measure = 'chars_a_word'").first()
+    exact = [1.0 + i / 100 for i in (49, 249, 449)]
+    assert [found.low, found.middle, found.high] == pytest.approx(exact, rel=0.021) and found.docs == 500
+
+
+def quantile(values, share):
+    return sorted(values)[math.ceil(share * len(values)) - 1]
+
+
+def test_verdicts_against_exact_quantiles(spark):
+    """The rules restated over exact quantiles; rows so near a limit that the sketch's error decides are left out."""
+    folder, rules = "/root/testdata/sf0.01", quality_rules
+    rows = [r.asDict() for r in rules.judge(spark.read.parquet(f"{folder}/documents.parquet"), Scratch(spark)).collect()]
+    cells, langs = defaultdict(list), defaultdict(list)
+    for r in rows:
+        if not r["base_failed"]:
+            cells[r["lang"], r["source"]].append(r)
+            langs[r["lang"]].append(r)
+
+    def of(docs, name):
+        low, middle, high = (quantile([d[name] for d in docs], q) for q in (rules.LOW, 0.5, rules.AT))
+        return low, middle, high, min(high, middle + rules.SPREAD * (middle - low))
+
+    checked = decided = 0
+    for (lang, _), docs in cells.items():
+        for name, size in rules.MEASURES.items():
+            wide, own = of(langs[lang], name), of(docs, name)
+            few = len(docs) < rules.LEAST_DOCS
+            low, usual = (wide[0], wide[3]) if few else (own[0], min(own[2], max(wide[3], own[0])))
+            typical = max(of(langs[lang] if few else docs, size)[1], rules.FEW_LINES if size == "n_lines" else 1)
+            chance = usual / 2 / math.sqrt(typical) if name in rules.TWO_SIDED else 0
+            beyond = rules.SPREADS * max(chance, (usual - low) / 2) + rules.OCCURRENCES[name] / typical
+            for d in docs:
+                wider = math.sqrt(max(1, typical / max(1, d[size])))
+                most, least = usual + wider * beyond, low - wider * beyond if name in rules.TWO_SIDED else 0.0
+                margin = 0.15 * max(most, 1e-3)
+                if abs(d[name] - most) > margin and (least == 0.0 or abs(d[name] - least) > margin):
+                    assert d[f"passes_{name}"] == (least <= d[name] <= most), (name, d)
+                    checked, decided = checked + 1, decided + (not d[f"passes_{name}"])
+    assert checked > 0.95 * 5 * sum(map(len, cells.values())) and decided > 20
+
+
+def test_limits_differ_between_cells_and_drop_bad_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    judged = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet"), Scratch(spark))
+    rows = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    dropped = {name: [sum(not r[f"passes_{name}"] for r in side) for side in (good, bad)] for name in quality_rules.MEASURES}
+    assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.05 * len(bad), dropped
+    assert dropped["symbols_a_word"][1] > 200 and dropped["chars_a_word"][1] > 100, dropped
+    for name in ("symbols_a_word", "chars_a_word", "capitals_a_char"):
+        assert len({round(r[f"most_{name}"], 4) for r in rows}) >= 4, name
+
+
+def test_two_ways_of_writing_have_their_own_limits(spark):
+    rows = [("en", "long", " ".join(f"considerable{i}x{j}" for j in range(40))) for i in range(150)]
+    rows += [("en", "short", " ".join(f"a{(i + j) % 90}" for j in range(40))) for i in range(150)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, ("en", "short", rows[3][2])])], "doc_id long, lang string, source string, text string")
+    found = {r.doc_id: r for r in quality_rules.judge(docs, Scratch(spark)).collect()}
+    assert found[0].most_chars_a_word > 15 and found[200].most_chars_a_word < 15
+    assert found[0].kept and found[200].kept and not found[300].passes_chars_a_word
 
 
 @pytest.mark.parametrize("size", [60, 300])
