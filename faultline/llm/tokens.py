@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from faultline.llm.shared import STEP_BYTES, worker_state
+from faultline.llm.shared import worker_state
 
 #: Entries after which a worker's word table takes no more, and the share of words it may then lack before it is emptied.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 STALE = 0.25
 SLOTS = 1 << 21
+#: Text bytes whose words are looked up together.
+LOOK_BYTES = 1 << 19
 #: Eight-byte numbers that hold a word of the table. Longer words are encoded each time.
 LANES = 3
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -48,11 +50,15 @@ class WordTable:
     def clear(self) -> None:
         self.hashes, self.entries = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.size = self.n_ids = 0
-        self.words, self.ends, self.ids = np.zeros((1_024, LANES + 1), np.uint64), np.zeros(1_025, np.int64), np.zeros(4_096, np.uint32)
+        # zeros cost no memory before they are written
+        self.words, self.ends = np.zeros((CACHE_WORDS, LANES + 1), np.uint64), np.zeros(CACHE_WORDS + 1, np.int64)
+        self.ids = np.zeros(8 * CACHE_WORDS, np.uint32)
 
     @staticmethod
     def hashed(words: np.ndarray) -> np.ndarray:
-        mixed = np.bitwise_xor.reduce((words ^ (words >> np.uint64(29))) * MIXERS, axis=1)
+        mixed = np.zeros(len(words), np.uint64)
+        for lane, mixer in zip(words.T, MIXERS, strict=True):
+            mixed ^= (lane ^ (lane >> np.uint64(29))) * mixer
         mixed = (mixed ^ (mixed >> np.uint64(32))) * MIXERS[0]
         return np.maximum(mixed ^ (mixed >> np.uint64(29)), np.uint64(1))  # zero marks free slots
 
@@ -72,12 +78,8 @@ class WordTable:
         return out
 
     def add(self, words: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Takes in distinct words that it lacks, with how many of ``ids`` each has."""
+        """Takes in distinct words that it lacks, CACHE_WORDS in all, with how many of ``ids`` each has."""
         n, m = len(words), len(ids)
-        if self.size + n > len(self.words):
-            more = max(n, len(self.words))
-            self.words = np.concatenate([self.words, np.zeros((more, LANES + 1), np.uint64)])
-            self.ends = np.concatenate([self.ends, np.zeros(more, np.int64)])
         if self.n_ids + m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(m, len(self.ids)), np.uint32)])
         self.words[self.size : self.size + n] = words
@@ -159,12 +161,26 @@ class WordEncoder:
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text; a very long one that comes alone is looked at part by part."""
-        if len(texts) == 1 and len(texts[0]) > 2 * STEP_BYTES:
-            return [b"".join(self.encode_together([part])[0] for part in parts_of(texts[0]))]
-        return self.encode_together(texts) if texts else []
+        """The ids of each text, looked up for about LOOK_BYTES of text at a time; a longer text is looked at part by part."""
+        out: list[bytes] = []
+        some: list[bytes] = []
+        held = 0
+        for text in texts:
+            if len(text) > 2 * LOOK_BYTES:
+                out += self.encode_together(some)
+                out.append(b"".join(self.encode_together([part])[0] for part in parts_of(text)))
+                some, held = [], 0
+                continue
+            some.append(text)
+            held += len(text)
+            if held >= LOOK_BYTES:
+                out += self.encode_together(some)
+                some, held = [], 0
+        return out + self.encode_together(some)
 
     def encode_together(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         joined = b"\n".join(texts).lower() + b"\n" + bytes(8 * LANES)
         codes = np.frombuffer(joined, np.uint8)[: -8 * LANES]
         space = SPACE[codes]
@@ -210,10 +226,10 @@ class WordEncoder:
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
-    """A long text in parts of about STEP_BYTES, cut at white space."""
+    """A long text in parts of about LOOK_BYTES, cut at white space."""
     at = 0
     while at < len(text):
-        cut = CUT.search(text, at + STEP_BYTES)
+        cut = CUT.search(text, at + LOOK_BYTES)
         end = cut.start() if cut else len(text)
         yield text[at:end]
         at = end

@@ -84,7 +84,7 @@ def test_encoder_equals_the_library_on_whole_texts(texts):
 @pytest.mark.parametrize(("room", "step"), [(50, 4 << 20), (1_000_000, 4 << 20), (1_000_000, 40)])
 def test_encoder_on_odd_texts(monkeypatch, room, step):
     monkeypatch.setattr(tokens, "CACHE_WORDS", room)
-    monkeypatch.setattr(tokens, "STEP_BYTES", step)
+    monkeypatch.setattr(tokens, "LOOK_BYTES", step)
     tokenizer, own, rng = Tokenizer.from_file(VOCABULARY), WordEncoder(VOCABULARY), np.random.default_rng(4)
     letters = list("aabcdeE'.,!  \n\t\x00\x0b\x1c0é ß İ Σς ́中😀-'sS")
     for _ in range(30):
