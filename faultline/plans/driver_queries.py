@@ -697,10 +697,11 @@ def report_continuations(spark, folder):
 
 
 def prompt_continuations(spark, folder):
-    """V5 overflow: the text of anomalies past the inline rows, in numbered prompts."""
+    """V5 overflow: the text of anomalies past the inline rows, in numbered prompts; figures, whose last digit depends on how
+    exact ties are rounded, stand as #."""
     cfg = FOUR.but(report_inline_rows=25)
     found = anomalies.latency_spikes(_entries(spark, folder), cfg, Staging(spark).table)
-    return report.prompt_continuations(found, cfg).select("log_id", "part", "prompt")
+    return report.prompt_continuations(found, cfg).select("log_id", "part", F.regexp_replace("prompt", r"\d+\.\d+", "#").alias("prompt"))
 
 
 def prompt_anomalies(spark, folder):

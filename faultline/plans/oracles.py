@@ -656,8 +656,7 @@ REPORTS = {
     "prompt_continuations": f"""WITH {_entries()}, {_latency(2.5)},
   o AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY ts, lines[1]) AS pos FROM la)
   SELECT log_id, (pos - 1) // 25 AS part, printf('KEY ANOMALIES DETECTED (continued, part %d):', (pos - 1) // 25) || chr(10) ||
-    string_agg(printf('latency_spike (medium) z=%.2f: High response time %.1fms (z=%.2f vs baseline %.1fms)', z_score, observed_value, z_score, baseline_value),
-      chr(10) ORDER BY pos) AS prompt FROM o WHERE pos > 25 GROUP BY 1, 2""",
+    string_agg('latency_spike (medium) z=#: High response time #ms (z=# vs baseline #ms)', chr(10) ORDER BY pos) AS prompt FROM o WHERE pos > 25 GROUP BY 1, 2""",
     "analyse_access_logs": f"""SELECT 'nginx_access-' || (event_id % 3) AS log_id, 'nginx' AS log_source, count(*) AS total_lines,
     count(*) AS parsed_lines, 0::BIGINT AS skipped_lines, {_stamp(f'min({_SECOND}) - INTERVAL 2 HOUR', 'first_ts')},
     round(avg((event_type = 'error')::INT), 6) AS error_rate, round(avg((event_type = 'signup')::INT), 6) AS warning_rate,
