@@ -52,7 +52,7 @@ def windows(found: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     whose collisions only leave a rare window uncut.
     """
     rows = leads(found, LONGEST)
-    pairs = scratch.table("pairs", frequent_pairs(found, least))
+    pairs = scratch.table_freeing("pairs", frequent_pairs(found, least))
     if pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
         go_on = F.lit(True)
         for k in range(1, LONGEST):
@@ -62,7 +62,7 @@ def windows(found: DataFrame, least: int, scratch: Scratch) -> DataFrame:
             go_on = F.col(f"p{k}").isNotNull()
             rows = rows.withColumn(f"w{k + 1}", F.when(go_on, F.col(f"w{k + 1}")))
     padded = [F.coalesce(w, F.lit("")).alias(w) for w in WORDS]
-    return scratch.table("windows", rows.groupBy("lang", *padded).agg(F.count("*").alias("n")))
+    return scratch.table_freeing("windows", rows.groupBy("lang", *padded).agg(F.count("*").alias("n")))
 
 
 def marginals(counted: DataFrame, least: int, scratch: Scratch) -> DataFrame:
@@ -74,7 +74,7 @@ def marginals(counted: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     size = sum(F.col(w).isNotNull().cast("int") for w in WORDS)
     last = F.coalesce(*reversed(WORDS), F.lit("-"))
     some = levels.where(F.col("lang").isNotNull() & (last != "") & ((F.col("f") >= least) | F.col("w1").isNull()))
-    return scratch.table("phrases", some.select("lang", F.concat_ws(" ", *WORDS).alias("phrase"), size.alias("size"), "f"))
+    return scratch.table_freeing("phrases", some.select("lang", F.concat_ws(" ", *WORDS).alias("phrase"), size.alias("size"), "f"))
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -113,10 +113,14 @@ def collocations(docs: DataFrame, scratch: Scratch, least: int = 100, keep: int
     A null text is empty, a null lang is ``und``. Ids do not matter: repeated rows, null and repeated doc_ids count each.
     Texts of any length are cut into pieces in place. Other columns are ignored; an empty table gives no rows. Languages
     and words of any frequency are summed in each task before they are shuffled; no window frame or group holds the
-    occurrences of a word, and the last ranking keeps ``keep`` rows per task and language before it meets in one.
+    occurrences of a word, and the last ranking keeps ``keep`` rows per task and language before it meets in one. The
+    shuffle files of each step are deleted once its table is written, so disk holds one step at a time.
     """
     counted = windows(pieces(docs), least, scratch)
-    found = scratch.table("candidates", scored(marginals(counted, least, scratch)))
+    scratch.drop("pairs")
+    phrases = marginals(counted, least, scratch)
+    scratch.drop("windows")
+    found = scratch.table_freeing("candidates", scored(phrases))
     inside = contained(found)
     left = found.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -20,11 +20,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 4 << 20
 #: Most rows of a side that may be asked to be broadcast; its rows are a few numbers or a short key each.
 BROADCAST_ROWS = 100_000
+#: Spark's setting to delete the shuffle files of a query once it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch(Staging):
     """Intermediate tables below the shared folder, which can be dropped once nothing reads them any more."""
 
+    def table_freeing(self, name: str, frame: DataFrame) -> DataFrame:
+        """A table whose shuffle files go as soon as it is written: what reads it needs only the table."""
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            return self.table(name, frame)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

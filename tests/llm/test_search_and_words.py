@@ -1,6 +1,7 @@
 """Top-k search, spelling variants and collocations against brute force, with their defined edge cases."""
 
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import collocations, impact_search, queries, spelling
-from faultline.llm.shared import Scratch
+from faultline.llm.shared import FREE_SHUFFLES, Scratch
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -199,3 +200,16 @@ def test_search_query_asks_every_twentieth_row(spark):
     got = queries.op11_impact_search(spark, FOLDER)
     ids = [r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
     assert {r.query_id for r in got.collect()} == {v for v in ids if v % 20 == 0}
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark, scratch):
+    def held():
+        folder = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+        return {p.name for p in folder.rglob("shuffle_*.data")}
+
+    frame = spark.range(50_000).groupBy((F.col("id") % 997).alias("k")).count()
+    before, setting = held(), spark.conf.get(FREE_SHUFFLES)
+    freed = scratch.table_freeing("freed", frame)
+    assert held() <= before and freed.count() == 997 and spark.conf.get(FREE_SHUFFLES) == setting
+    scratch.table("plain", frame)
+    assert not held() <= before
