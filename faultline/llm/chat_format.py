@@ -10,6 +10,9 @@ from faultline.llm.shared import Scratch
 #: Types of a schema and the JSON types (as Spark names them) that satisfy them.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
+#: What may stand before JSON: a byte order mark, and the blanks of JSON itself.
+BEFORE_JSON = r"^\x{FEFF}?[\x20\x09\x0A\x0D]*"
+
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 
@@ -32,7 +35,8 @@ def invalid(name: Column, arguments: Column, schemas: Schemas) -> Column:
 def parts(messages: DataFrame, schemas: Schemas) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and plain messages, by what the text of each row holds."""
     rows = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
-    json = F.when(F.col("text").startswith("{"), F.try_parse_json("text"))
+    bare = F.regexp_replace("text", BEFORE_JSON, "")
+    json = F.when(bare.startswith("{"), F.try_parse_json(bare))
     rows = rows.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get(json, "$.tool_calls", "array<variant>")))
     rows = rows.withColumn("answers", F.when(F.col("role") == "tool", F.try_variant_get(json, "$.tool_call_id", "string")))
     rows = rows.withColumn("content", F.when(F.col("role") == "tool", F.try_variant_get(json, "$.content", "string")))
@@ -96,11 +100,20 @@ def ordered(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return out.join(unmet, ["conv_id", "call_id"], "left").withColumn("unmet", F.coalesce("unmet", F.lit(False)))
 
 
+def matched(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Hash join of calls and results by conversation and id: conv_id, call_id, result_uid.
+
+    Both sides hold one row per key, numbers and a short id each, so a partition's hash table is small and no key is hot.
+    """
+    return calls.select("conv_id", "call_id").join(results.hint("shuffle_hash"), ["conv_id", "call_id"])
+
+
 def link(messages: DataFrame, schemas: Schemas, scratch: Scratch) -> DataFrame:
     """One row per message, call and result: conv_id, at, level, turn, part, kind, call_id, status, json.
 
     An assistant's text ``{"tool_calls": [{"id", "name", "arguments", "after"}]}`` holds calls, a tool's text
-    ``{"tool_call_id", "content"}`` a result; any other text, valid JSON or not, is a plain message. Calls and results
+    ``{"tool_call_id", "content"}`` a result, also after a byte order mark or blanks; any other text, valid JSON or not,
+    is a plain message. Calls and results
     are joined by conversation and id. Of several calls or results with one id the first counts, the others are kept and
     marked. Sorting a conversation by at, level, turn, part and kind gives a topological order: a call follows the calls
     it needs, a result its call. Status is ``ok``, or says what is wrong. ``json`` is canonical: keys in order, no
@@ -120,7 +133,7 @@ def link(messages: DataFrame, schemas: Schemas, scratch: Scratch) -> DataFrame:
     heads = calls.join(one_call, [*key, "uid"])
     one_result = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(first)
     one_result = one_result.select(*key, F.col("first.uid").alias("result_uid"))
-    answered = one_result.join(results.select(F.col("uid").alias("result_uid"), "content"), "result_uid")
+    answered = matched(one_call, one_result).join(results.select(F.col("uid").alias("result_uid"), "content"), "result_uid")
     order = scratch.table("order", ordered(heads, scratch))
     tied = scratch.table("tied", one_call.join(order, key).join(answered, key, "left").select("uid", "at", "level", "cyclic", "unmet", "result_uid", "content"))
 

@@ -563,6 +563,23 @@ def test_chat_links_orders_and_validates(spark, scratch):
     assert chat_format.link(frame.limit(0), {}, Scratch(spark)).count() == 0
 
 
+def test_chat_json_after_blanks_and_byte_order_mark(spark, scratch):
+    say, told = json.dumps({"tool_calls": [call("a"), call("b")]}), [json.dumps({"tool_call_id": i, "content": "r"}) for i in "ab"]
+    rows = [(1, 0, "assistant", "\ufeff " + say), (1, 1, "tool", " \t\r\n" + told[0]), (1, 2, "tool", "\ufeff" + told[1]), (1, 3, "tool", "x " + told[0])]
+    out = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {"n": ("integer", True)}}, scratch)
+    found = {(r.turn, r.part): (r.kind, r.status) for r in out.collect()}
+    assert found == {(0, 0): ("call", "ok"), (0, 1): ("call", "ok"), (1, 0): ("result", "ok"), (2, 0): ("result", "ok"), (3, 0): ("message", "ok")}
+
+
+def test_chat_calls_meet_results_in_a_hash_join(spark, scratch):
+    keys = [(1, f"c{i}", i) for i in range(50)]
+    calls = scratch.table("calls", spark.createDataFrame(keys, "conv_id long, call_id string, uid long"))
+    results = scratch.table("results", spark.createDataFrame(keys[::2], "conv_id long, call_id string, result_uid long"))
+    found = chat_format.matched(calls, results)
+    assert sorted(found.collect()) == sorted(keys[::2])
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pipeline_stages_on_edges_and_whole(spark, docs, none, texts):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "source_mixing", "best_fit_packing"]
     kept = docs
