@@ -15,6 +15,7 @@ from faultline.operators import (
     clusters,
     detect,
     evaluate,
+    frequent,
     history,
     ordered,
     report,
@@ -145,6 +146,11 @@ def top_error_messages(spark, folder):
     return summary.top_errors(_entries(spark, folder), 5).select("log_id", "message", "count", "first_line")
 
 
+def top_errors_in_two_passes(spark, folder):
+    found = frequent.top_errors(_entries(spark, folder), Staging(spark).table)
+    return found.select("log_id", "message", "count", "first_line")
+
+
 def severity(spark, folder):
     """V1 for one log per user, from all detectors and rules."""
     entries = _entries(spark, folder, 100_000)
@@ -958,7 +964,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         error_rate_by_window, window_scores, error_spikes, latency_spikes, silence_gaps, cascade_failures,
-        all_anomalies, leading_anomalies, log_summary, top_error_messages, severity, level_distribution,
+        all_anomalies, leading_anomalies, log_summary, top_error_messages, top_errors_in_two_passes, severity, level_distribution,
         traceback_merge, parse_custom_many, detect_scores, detect_format, detected_counts, custom_confidence, document_lines, text_file_lines, text_file_lines_by_size,
         template_embeddings, detect_empty_logs, text_file_guards, cluster_csv, root_cause_rules, report_sections, report_fields, report_store,
         prompt_sections, eval_from_file, quarantine, accepted_logs, message_templates, document_templates, template_priority, left_out_templates,

@@ -137,6 +137,7 @@ SUMMARY = {
     (SELECT string_agg(message, '|' ORDER BY count DESC, first_line) FROM t WHERE t.log_id = s.log_id) AS top_error_messages
   FROM s""",
     "top_error_messages": f"WITH {_entries()}, {_TOP} SELECT log_id, message, count, first_line FROM t",
+    "top_errors_in_two_passes": f"WITH {_entries()}, {_TOP} SELECT log_id, message, count, first_line FROM t",
     "level_distribution": f"""WITH {_entries(100_000)}, {_STATS}
   SELECT log_id, 'INFO' AS level, round(greatest(0.0, 1 - error_rate - warning_rate), 6) AS share FROM s
   UNION ALL SELECT log_id, 'WARN', round(warning_rate, 6) FROM s UNION ALL SELECT log_id, 'ERROR', round(error_rate, 6) FROM s""",
