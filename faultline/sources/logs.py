@@ -76,16 +76,16 @@ def _is_compressed(name: str = "path") -> Column:
     return F.col(name).rlike(COMPRESSED)
 
 
-def _whole_files(spark: SparkSession, path: str, up_to: int) -> DataFrame:
+def _whole_files(files: DataFrame, up_to: int) -> DataFrame:
     # the length filter is pushed to the listing, larger files are never opened
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return _files(spark, path).filter((F.col("length") <= up_to) & ~_is_compressed()).select(
+    return files.filter((F.col("length") <= up_to) & ~_is_compressed()).select(
         _log_id().alias("log_id"), F.col("length").alias("size"), text.alias("text")
     )
 
 
-def _oversized(spark: SparkSession, path: str, above: int) -> DataFrame:
-    return _files(spark, path).filter(F.col("length") > above).select(
+def _oversized(files: DataFrame, above: int) -> DataFrame:
+    return files.filter(F.col("length") > above).select(
         _log_id().alias("log_id"), F.lit("file_too_large").alias("reason")
     )
 
@@ -177,10 +177,11 @@ def read(spark: SparkSession, path: str, cfg: Settings, stage: Stage | None = No
     every size; their last line counts as closed, and the size guard looks at the bytes stored.
     """
     limit = cfg.whole_file_bytes if cfg.max_bytes is None else min(cfg.whole_file_bytes, cfg.max_bytes)
-    small = from_texts(_whole_files(spark, path, limit), cfg)
+    files = _files(spark, path)  # listed once for both
+    small = from_texts(_whole_files(files, limit), cfg)
     rejected = small.quarantine
     if cfg.max_bytes is not None:
-        rejected = rejected.unionByName(_oversized(spark, path, cfg.max_bytes))
+        rejected = rejected.unionByName(_oversized(files, cfg.max_bytes))
     rows = _rows(spark, path, limit, cfg.max_bytes)
     splits = (stage or Staging(spark).table)("splits", _splits(rows))
     breaks = F.sum("read") - F.count("unclosed")
