@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.llm.shared import Scratch, small, steps
 from faultline.llm.tokens import encoder
@@ -126,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             F.count("*").alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("longest"), F.min("length").alias("shortest")
         ).first()
 
-    rest, opened, rounds, placed, bins, empty = state(items), 0, 0, None, None, True
+    rest, opened, rounds, kinds, bins, empty = state(items), 0, 0, None, None, True
     stalled = True
     while rest.n:
         if stalled:
@@ -135,7 +136,9 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             opened += more
             bins = fresh if empty else bins.unionByName(fresh)
             empty = False
-        out = scratch.table(f"round{rounds}", matched(items, bins, rest.longest, rest.n))
+        # the rounds are partitions of one table, so that what reads them all stays one scan however many there are
+        out = scratch.table(f"placed/round={rounds}", matched(items, bins, rest.longest, rest.n))
+        kinds = out.schema
         found = out.where("bin_id is not null")
         taken = found.groupBy("bin_id").agg(F.sum("length").alias("taken"))
         if rounds > 1:
@@ -146,14 +149,14 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
                 "bin_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")
             )
             bins = scratch.table(f"bins{rounds}", reduced.where(F.col("gap") >= now.shortest))
-        one = found.select("uid", "bin_id", F.lit(rounds).alias("round"))
-        placed = one if placed is None else placed.unionByName(one)
         stalled = (rest.n - now.n) * STALLED < rest.n
         items, rest, rounds = left.select("uid", "length"), now, rounds + 1
 
     whole = numbered.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
-    if placed is None:
+    if kinds is None:
         return whole.drop("uid")
+    every = spark.read.schema(StructType([*kinds, StructField("round", IntegerType())])).parquet(f"{scratch.folder}/placed")
+    placed = every.where("bin_id is not null").select("uid", "bin_id", "round")
     in_order = Window.partitionBy("bin_id").orderBy("round", "uid").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         numbered.where(F.col("length") < capacity)

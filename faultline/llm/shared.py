@@ -83,12 +83,15 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", encoding: boo
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        at = batch.schema.get_field_index(column)
-        texts = pc.fill_null(batch.column(at).cast(pa.large_binary()), b"")
-        ends = pc.cumulative_sum(pc.binary_length(texts)).to_numpy(zero_copy_only=False)
+        texts = batch.column(batch.schema.get_field_index(column))
+        lengths = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        ends = pc.cumulative_sum(lengths).to_numpy(zero_copy_only=False)
         start = 0
         while start < len(ends):
             done = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(ends.searchsorted(done + STEP_BYTES, side="right")))
-            yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+            step = pc.fill_null(texts.slice(start, stop - start).cast(pa.large_binary()), b"")
+            yield batch.slice(start, stop - start), step.to_pylist()
             start = stop
+        # Arrow keeps what a batch took, about as much as an encoder, unless asked for it
+        pa.default_memory_pool().release_unused()

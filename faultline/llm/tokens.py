@@ -122,8 +122,11 @@ class WordEncoder:
         self.tails = {b"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        out: list[bytes] = []
+        for start in range(0, len(texts), WORDS_A_CALL):  # the library's results take far more than the ids in them
+            encoded = self.whole.encode_batch_fast(texts[start : start + WORDS_A_CALL], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        return out
 
     def plain_ids(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []

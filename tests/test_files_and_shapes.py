@@ -40,3 +40,33 @@ def test_lines_of_documents_in_shared_files(spark, monkeypatch, size):
 def test_report_shape_counts_anomalies_past_the_inline_rows(spark):
     found = driver_queries.report_shape(spark, FOLDER, 3)
     assert oracle_check.compare(found, oracle_check.connect(FOLDER), ORACLES["report_shape"]) is None
+
+
+def test_steps_return_what_arrow_took():
+    import pyarrow as pa
+
+    from faultline.llm.shared import steps
+
+    batch = pa.record_batch({"text": pa.array(["x" * 1_000_000, None, "", "é"] * 40)})
+    before = pa.total_allocated_bytes()
+    most, seen = 0, []
+    for part, texts in steps(iter([batch]), encoding=True):
+        most = max(most, pa.total_allocated_bytes() - before)
+        seen += list(zip(part.column(0).to_pylist(), texts, strict=True))
+    assert [(t or "").encode() for t, _ in seen] == [b for _, b in seen] and len(seen) == 160
+    assert most < 10_000_000  # a step's texts, not the batch's
+
+
+def test_packing_reads_its_rounds_as_one_table(spark):
+    from faultline.llm.packing import pack
+    from faultline.llm.shared import Scratch
+
+    pieces = spark.range(300).selectExpr("id AS doc_id", "1 + (id * 37) % 97 AS length")
+    placed = pack(pieces, 100, Scratch(spark))
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+    rows = placed.collect()
+    ends = {}
+    for row in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert row.offset == ends.get(row.sequence_id, 0)
+        ends[row.sequence_id] = row.offset + row.length
+    assert len(rows) == 300 and max(ends.values()) <= 100
