@@ -1,7 +1,7 @@
 """Similarity clusters over the templates of each log.
 
 Logs of up to ``IN_TASK_ROWS`` vectors are labelled by one task each, from one similarity matrix of bounded size. Larger
-ones go through a table of pairs, made block by block, and joins over it. Both give the same labels.
+ones are compared block by block, and joins over neighbour counts and links follow. Both give the same labels.
 """
 
 from __future__ import annotations
@@ -44,12 +44,37 @@ def _label_in_tasks(vectors: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
+def _points(vectors: DataFrame, cfg: Settings, stage: Stage) -> DataFrame:
+    itself = (norm(F.col("embedding")) > 0) | F.lit(cfg.eps >= 1)
+    return stage("points", vectors.select("log_id", "ordinal", "embedding", itself.alias("counts_itself"), F.floor(F.col("ordinal") / cfg.chunk_lines).alias("_chunk")))
+
+
 def label_by_pairs(vectors: DataFrame, pairs: DataFrame, cfg: Settings, stage: Stage) -> DataFrame:
     """C6, C7 from a table of pairs (``log_id, a, b``): for logs of any size, and any ``min_cluster_size``."""
-    length = norm(F.col("embedding"))
-    itself = (length > 0) | F.lit(cfg.eps >= 1)
-    points = stage("points", vectors.select("log_id", "ordinal", "embedding", itself.alias("counts_itself"), F.floor(F.col("ordinal") / cfg.chunk_lines).alias("_chunk")))
-    labels = components.density_labels(points, pairs, cfg.min_cluster_size, stage, cfg.chunk_lines)
+    points = _points(vectors, cfg, stage)
+    return _described(points, components.density_labels(points, pairs, cfg.min_cluster_size, stage, cfg.chunk_lines), cfg, stage)
+
+
+def label_by_blocks(
+    vectors: DataFrame, cfg: Settings, stage: Stage, degrees: DataFrame | None = None, block_rows: int = similarity.BLOCK_ROWS
+) -> DataFrame:
+    """The same without a table of pairs, which is quadratic in the vectors of a log: vectors are compared block by block,
+    once for the neighbour counts (``degrees``, if they are not there yet) and once for the links of core points; tables
+    have a row per vector and two blocks at most, and ``min_cluster_size`` pairs per point that is no core point.
+    """
+    points = _points(vectors, cfg, stage)
+    if degrees is None:
+        degrees = stage("degrees", similarity.degrees(points, cfg.eps, stage, block_rows))
+    core = stage("core_points", components.core_points(points, degrees, cfg.min_cluster_size))
+    flagged = points.join(core.withColumn("core", F.lit(True)), ["log_id", "ordinal"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    links = stage("core_links", similarity.core_links(flagged, cfg.eps, stage, block_rows))
+    borders = links.filter("border").select("log_id", F.col("a").alias("ordinal"), F.col("b").alias("other"))
+    labels = components.linked_labels(points, core, links.filter("NOT border").drop("border"), borders, stage, cfg.chunk_lines)
+    return _described(points, labels, cfg, stage)
+
+
+def _described(points: DataFrame, labels: DataFrame, cfg: Settings, stage: Stage) -> DataFrame:
+    """Labels with row numbers and, for members of clusters, how central they are."""
     alone = points.groupBy("log_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("log_id", F.lit(0).cast("bigint").alias("_only"))
     rows = ordered.positions(points, ["log_id"], "_chunk", ["ordinal"], "row").withColumn("row", F.col("row") - 1)
     rows = rows.join(labels, ["log_id", "ordinal"]).join(alone, "log_id", "left").withColumn("label", F.coalesce("_only", "label"))
@@ -80,8 +105,7 @@ def label(vectors: DataFrame, cfg: Settings, stage: Stage | None = None, in_task
         return _label_in_tasks(needed, cfg)
     small = _label_in_tasks(needed.join(sizes.filter(F.col("n") <= in_task).select("log_id"), "log_id", "left_semi"), cfg)
     many = stage("many_vectors", needed.join(larger, "log_id", "left_semi"))
-    pairs = stage("near_pairs", edges(many, cfg, stage).select("log_id", "a", "b"))
-    return small.unionByName(label_by_pairs(many, pairs, cfg, stage))
+    return small.unionByName(label_by_blocks(many, cfg, stage))
 
 
 def assign(kept: DataFrame, labels: DataFrame, large: bool = False) -> DataFrame:

@@ -57,19 +57,30 @@ def density_labels(points: DataFrame, pairs: DataFrame, min_samples: int, stage:
     ends = pairs.select("log_id", F.col("a").alias("ordinal"), F.col("b").alias("other"))
     ends = ends.unionByName(pairs.select("log_id", F.col("b").alias("ordinal"), F.col("a").alias("other")))
     degrees = ends.groupBy("log_id", "ordinal").agg(F.count(F.lit(1)).alias("near"))
-    near = F.coalesce("near", F.lit(0)) + F.col("counts_itself").cast("int")
-    core = points.join(degrees, ["log_id", "ordinal"], "left").filter(near >= min_samples)
-    core = stage("core_points", core.select("log_id", "ordinal"))
+    core = stage("core_points", core_points(points, degrees, min_samples))
     other = core.select("log_id", F.col("ordinal").alias("other"))
     to_core = stage("core_pairs", ends.join(other, ["log_id", "other"]).select("log_id", "ordinal", "other"))
     inner = to_core.join(core, ["log_id", "ordinal"], "left_semi")
-    found = roots(inner.filter("ordinal < other").select("log_id", F.col("ordinal").alias("a"), F.col("other").alias("b")), stage)
+    inner = inner.filter("ordinal < other").select("log_id", F.col("ordinal").alias("a"), F.col("other").alias("b"))
+    return linked_labels(points, core, inner, to_core.join(core, ["log_id", "ordinal"], "left_anti"), stage, chunk)
+
+
+def core_points(points: DataFrame, degrees: DataFrame, min_samples: int) -> DataFrame:
+    """``log_id, ordinal`` of the points with ``min_samples`` neighbours; ``degrees`` has log_id, ordinal and near."""
+    near = F.coalesce("near", F.lit(0)) + F.col("counts_itself").cast("int")
+    return points.join(degrees, ["log_id", "ordinal"], "left").filter(near >= min_samples).select("log_id", "ordinal")
+
+
+def linked_labels(points: DataFrame, core: DataFrame, links: DataFrame, borders: DataFrame, stage: Stage, chunk: int = 50_000) -> DataFrame:
+    """``density_labels`` from ``core`` points, ``links`` (log_id, a, b) that join those of a cluster, and ``borders``
+    (log_id, ordinal, other): the other points that are neighbours of core points."""
+    found = roots(links, stage)
     rooted = core.join(found.withColumnRenamed("node", "ordinal"), ["log_id", "ordinal"], "left")
     rooted = rooted.select("log_id", "ordinal", F.coalesce("root", "ordinal").alias("root"))
     firsts = stage("cluster_roots", rooted.select("log_id", "root").distinct().withColumn("_chunk", F.floor(F.col("root") / chunk)))
     numbered = ordered.positions(firsts, ["log_id"], "_chunk", ["root"], "label").select("log_id", "root", (F.col("label") - 1).alias("label"))
     inside = stage("core_labels", rooted.join(numbered, ["log_id", "root"]).select("log_id", "ordinal", "label"))
-    reached = to_core.join(core, ["log_id", "ordinal"], "left_anti").join(inside.withColumnRenamed("ordinal", "other"), ["log_id", "other"])
+    reached = borders.join(inside.withColumnRenamed("ordinal", "other"), ["log_id", "other"])
     border = reached.groupBy("log_id", "ordinal").agg(F.min("label").alias("label"))
     labels = inside.unionByName(border)
     return points.select("log_id", "ordinal").join(labels, ["log_id", "ordinal"], "left").select(

@@ -205,3 +205,45 @@ def test_search(entries):
     assert clusters.search(found, "store").count() == 1
     assert clusters.search(found, "full", ("P2", "P4")).count() == 0
     assert clusters.search(found, "absent").count() == 0
+
+
+@pytest.mark.parametrize("min_samples", [4])
+def test_labels_by_blocks_equal_those_by_pairs(spark, min_samples):
+    rng = np.random.default_rng(min_samples)
+    logs = {}
+    for name, n in (("a", 30), ("b", 60), ("c", 1)):
+        points = rng.normal(size=(n, 3))
+        if n > 10:
+            points[3] = points[n - 1] = 0.0
+            points[7] = points[8]
+        logs[name] = points
+    frame, cfg = points_frame(spark, logs), Settings(eps=0.03, min_cluster_size=min_samples)
+    pairs = clusters.edges(frame, cfg, Staging(spark).table, 7).select("log_id", "a", "b")
+
+    def plain(found):
+        return sorted((r.log_id, r.ordinal, r.row, r.label, round(r.centrality, 6)) for r in found.collect())
+
+    want = plain(clusters.label_by_pairs(frame, pairs, cfg, Staging(spark).table))
+    assert plain(clusters.label_by_blocks(frame, cfg, Staging(spark).table, None, 20)) == want
+
+
+def test_counts_of_pairs_leave_no_pairs_behind(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 24))
+    points = np.vstack([centre + 0.4 * rng.normal(size=(30, 24)) for centre in centres])
+    frame = points_frame(spark, {"a": points, "b": points[:50]})
+    for counted, listed in (
+        (similarity.count_pairs(frame, 0.3, Staging(spark).table, 60), similarity.all_pairs(frame, 0.3, Staging(spark).table, 60)),
+        (similarity.count_likely_pairs(frame, 0.3, Staging(spark).table, 5, 0.95, 60), similarity.likely_pairs(frame, 0.3, Staging(spark).table, 5, 0.95, 60)),
+    ):
+        want = {r["log_id"]: r["count"] for r in listed.groupBy("log_id").count().collect()}
+        assert {r.log_id: r.pairs for r in counted.collect()} == want and len(want) == 2
+
+
+def test_large_logs_are_dealt_into_large_blocks(spark):
+    # copies of a vector go with its blocks: sixteen of them, not one per thousand vectors
+    frame = spark.range(40_000).select(F.lit("a").alias("log_id"), F.col("id").alias("ordinal"), F.array(F.lit(1.0)).alias("embedding"))
+    cells = similarity._whole_logs(frame, Staging(spark).table, "blocks", 128)
+    assert cells.filter("ordinal = 7").count() == 16 and cells.select("block").distinct().count() == 16
+    larger = similarity._cells(frame.withColumn("number", F.lit(0)).withColumn("bucket", F.lit(0)), Staging(spark).table, "larger", 128, 1)
+    assert larger.select("block").distinct().count() == 3
