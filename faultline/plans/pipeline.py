@@ -57,6 +57,15 @@ def analyse_entries(
     )
 
 
+def detect_once(
+    lines: DataFrame, cfg: Settings, staging: Staging, formats: DataFrame | None = None, logs: DataFrame | None = None
+) -> tuple[DataFrame, set[str]]:
+    """Formats per log as a staged table, and the names of those that occur."""
+    formats = staging.table("formats", detect.formats(lines, cfg, logs) if formats is None else formats)
+    # one row per distinct format name
+    return formats, {row.format for row in formats.select("format").distinct().collect()}
+
+
 def parse_once(
     lines: DataFrame,
     cfg: Settings,
@@ -66,9 +75,7 @@ def parse_once(
     logs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Formats and parsed lines as staged tables. Only parsers of formats that occur become part of the plan."""
-    formats = staging.table("formats", detect.formats(lines, cfg, logs) if formats is None else formats)
-    # one row per distinct format name
-    present = {row.format for row in formats.select("format").distinct().collect()}
+    formats, present = detect_once(lines, cfg, staging, formats, logs)
     return formats, staging.table("parsed", dispatch.parse(lines, cfg, formats, custom, present, staging.table))
 
 
