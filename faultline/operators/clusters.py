@@ -19,7 +19,7 @@ from faultline.functions.vectors import dot, hashed_embedder, norm
 from faultline.operators import components, ordered, similarity, templates
 from faultline.operators.anomalies import is_error
 
-# the task code travels with the job, so executors need NumPy and pandas but not this package
+# the task code travels with the job, so executors need NumPy and PyArrow but not this package
 cloudpickle.register_pickle_by_value(density)
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -37,9 +37,11 @@ def edges(vectors: DataFrame, cfg: Settings, stage: Stage, block_rows: int = sim
 
 
 def _label_in_tasks(vectors: DataFrame, cfg: Settings) -> DataFrame:
+    """Tasks get whole logs in order and label them as they come, many small ones in a batch."""
     eps, min_samples = cfg.eps, cfg.min_cluster_size
-    return vectors.groupBy("log_id").applyInPandas(
-        lambda group: density.labelled(group, eps, min_samples),
+    together = vectors.select("log_id", "ordinal", "embedding").repartition("log_id").sortWithinPartitions("log_id", "ordinal")
+    return together.mapInArrow(
+        lambda batches: density.labelled(batches, eps, min_samples),
         "log_id string, ordinal bigint, row bigint, label bigint, centrality double",
     )
 

@@ -247,3 +247,31 @@ def test_large_logs_are_dealt_into_large_blocks(spark):
     assert cells.filter("ordinal = 7").count() == 16 and cells.select("block").distinct().count() == 16
     larger = similarity._cells(frame.withColumn("number", F.lit(0)).withColumn("bucket", F.lit(0)), Staging(spark).table, "larger", 128, 1)
     assert larger.select("block").distinct().count() == 3
+
+
+def test_logs_are_labelled_as_they_come_however_batches_cut_them():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sizes = [1, 3, 1, 40, 2, 7, 1, 1]
+    points = rng.normal(size=(sum(sizes), 4)).astype(np.float32)
+    ids = [f"log-{i}" for i, n in enumerate(sizes) for _ in range(n)]
+    ordinals = [5 * i for n in sizes for i in range(n)]
+    rows = pa.table({"log_id": ids, "ordinal": ordinals, "embedding": pa.array(points.tolist(), pa.list_(pa.float32()))})
+    want, at = [], 0
+    for n in sizes:
+        labels, centrality = density.label_matrix(points[at : at + n].astype(np.float64), 0.5, 2)
+        want += zip(ids[at : at + n], ordinals[at : at + n], range(n), labels.tolist(), centrality.tolist())
+        at += n
+    for width in (1, 3, 10, 100):
+        made = pa.Table.from_batches(density.labelled(iter(rows.to_batches(width)), 0.5, 2))
+        assert list(zip(*made.to_pydict().values(), strict=True)) == want
+    assert list(density.labelled(iter([]), 0.5, 2)) == []
+
+
+def test_small_logs_share_a_python_call(spark):
+    rows = [(f"l{i % 50:02d}", i, [1.0, float(i % 3)]) for i in range(150)]
+    labels = clusters.label(spark.createDataFrame(rows, "log_id string, ordinal bigint, embedding array<float>"), CFG)
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert labels.count() == 150 and {r.row for r in labels.collect()} == {0, 1, 2}
