@@ -94,10 +94,10 @@ def signals(entries: DataFrame) -> DataFrame:
 
 def quoted_evidence(entries: DataFrame, count: int = 3) -> DataFrame:
     """The first matches of each quoting rule in line and text order, per log."""
-    every_word = "|".join(word for words in QUOTED.values() for word in words)
+    every_word = [word for words in QUOTED.values() for word in words]
     lowered = F.lower(F.concat_ws("\n", "message", "stack_trace"))
     rows = entries.select("log_id", "line_number", lowered.alias("text"))
-    rows = rows.filter(F.col("text").rlike(every_word))
+    rows = rows.filter(contains_any(F.col("text"), every_word))
     per_rule = F.array(
         *[
             F.struct(

@@ -38,17 +38,25 @@ def analyse_entries(
     logs: DataFrame | None = None,
     embed: Embedder | None = None,
     staging: Staging | None = None,
+    written: bool = False,
 ) -> Results:
-    """All result tables from entries. With ``staging`` each table is written once and what follows reads it back."""
+    """All result tables from entries. With ``staging`` each table is written once and what follows reads it back.
+
+    The entries themselves, which a dozen steps read, are written too unless they are ``written`` already.
+    """
 
     def kept(name: str, frame: DataFrame) -> DataFrame:
         return frame if staging is None else staging.table(name, frame)
 
+    given = entries
+    if not written:
+        # nothing of the analysis looks at raw lines or metadata
+        entries = kept("entries", entries if staging is None else entries.drop("raw_line", "metadata"))
     found = kept("anomalies", anomalies.all_anomalies(entries, cfg, staging and staging.table))
     causes = kept("root_causes", root_causes.analyse(entries, logs))
     totals = summary.log_summary(entries, cfg, lines, formats, skipped, logs)
     return Results(
-        entries=entries,
+        entries=given,
         summary=kept("summary", summary.grade(totals, found, causes)),
         anomalies=found,
         error_clusters=kept("error_clusters", clusters.error_clusters(entries, cfg, embed, staging and staging.table)),
@@ -100,7 +108,7 @@ def analyse(
         known = F.col("format").isin([f.name for f in detect.SNIFFED])
         formats = formats.withColumn("log_source", F.when(known, F.col("format")).otherwise("unknown"))
     entries, skipped = dispatch.entries(parsed), dispatch.skipped(parsed)
-    results = analyse_entries(entries, cfg, lines, formats, skipped, logs, embed, staging)
+    results = analyse_entries(entries, cfg, lines, formats, skipped, logs, embed, staging, written=True)
     elapsed = F.lit((time.perf_counter() - began) * 1000)
     return results._replace(summary=results.summary.withColumn("processing_time_ms", elapsed))
 
