@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,22 +11,32 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import Scratch
 
 #: What separates pieces of a text, and words of a piece.
-STOPS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
+STOPS = ".,;:!?\x0a\x0b\x0c\x0d"
+BLANKS = " \x09"
 #: Words of a window, and so of the longest phrase.
 LONGEST = 5
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-#: Most hashed pairs (8 bytes each) that are broadcast to cut windows short; with more, windows stay whole, which gives
-#: the same phrases from a larger shuffle.
-MOST_PAIRS = 1_000_000
+#: Words of the phrases by which windows are cut short, in the order in which they are counted.
+CUTS = (2, 3)
+#: Bits of a block of a filter of frequent phrases, as numbers of 64 bits. A phrase sets two bits of one block.
+BLOCK_BITS = 4_096
+#: Bits of a filter per phrase, and the phrases beyond which it grows no further: 32 MB are broadcast at most. With more,
+#: more rare windows stay uncut, which gives the same results from a larger shuffle.
+BITS_A_PHRASE = 16
+MOST_PAIRS = 1 << 24
 EXACT = "decimal(20,0)"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
     """lang (null: und) and the words of each piece of each text that has any; only A-Z are put in lower case."""
-    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(plain, STOPS)).alias("piece"))
-    return each.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("words")).where(F.size("words") > 0)
+    # one stop and one blank are left, as Spark splits at single characters without a pattern
+    plain = F.translate(
+        F.coalesce(F.col("text").cast("string"), F.lit("")),
+        string.ascii_uppercase + STOPS + BLANKS,
+        string.ascii_lowercase + "\n" * len(STOPS) + " " * len(BLANKS),
+    )
+    each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(plain, "\n")).alias("piece"))
+    return each.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
 
 
 def leads(found: DataFrame, longest: int) -> DataFrame:
@@ -34,47 +45,87 @@ def leads(found: DataFrame, longest: int) -> DataFrame:
     return found.select("lang", F.inline(F.arrays_zip(*[a.alias(w) for a, w in zip(ahead, WORDS, strict=False)])))
 
 
-def pair_key(first: str, second: str) -> Column:
-    return F.xxhash64("lang", first, second)
+def key(words: list[str]) -> Column:
+    return F.xxhash64("lang", *words)
+
+
+def blocks_for(n: int) -> int:
+    """How many blocks the filter of ``n`` phrases has, a power of two."""
+    return 1 << max(0, math.ceil(min(n, MOST_PAIRS) * BITS_A_PHRASE / BLOCK_BITS) - 1).bit_length()
+
+
+def block_of(hashed: str, blocks: int) -> Column:
+    return F.expr(f"{hashed} & {blocks - 1}L")
+
+
+def places(hashed: str) -> list[str]:
+    """The two bits of its block that stand for a hashed phrase."""
+    return [f"CAST(shiftrightunsigned({hashed}, {by}) & {BLOCK_BITS - 1} AS INT)" for by in (20, 40)]
 
 
-def frequent_pairs(found: DataFrame, least: int) -> DataFrame:
-    """pair: the hashes of neighbouring words that occur together ``least`` times or more."""
-    pairs = leads(found, 2).where("w2 IS NOT NULL").groupBy(pair_key("w1", "w2").alias("pair")).agg(F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= least).select("pair")
+def phrase_filter(hashes: DataFrame, blocks: int) -> DataFrame:
+    """block and bits: a Bloom filter of the column ``hash``, one row of 64-bit numbers for each block that holds any."""
+    each = hashes.select(block_of("hash", blocks).alias("block"), F.expr(f"explode(array({', '.join(places('hash'))}))").alias("place"))
+    lanes = each.groupBy("block", F.expr("place >> 6").alias("lane")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
+    held = lanes.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("lane", "bits"))).alias("held"))  # 64 at most
+    return held.select("block", F.expr(f"transform(sequence(0, {BLOCK_BITS // 64 - 1}), i -> coalesce(held[i], 0L))").alias("bits"))
+
+
+def holds(bits: str, hashed: str) -> Column:
+    """Whether a block's bits (null: none) hold the phrase, or look as if they did."""
+    found = [f"shiftrightunsigned(get({bits}, {at} >> 6), {at} & 63) & 1" for at in places(hashed)]
+    return F.expr(f"coalesce({' & '.join(found)}, 0L) = 1L")
+
+
+def cut(rows: DataFrame, longest: int, filters: dict[int, tuple[DataFrame, int]]) -> DataFrame:
+    """``rows`` of ``leads`` with no words from where the first rare phrase of each window ends.
+
+    ``filters`` has a filter and the number of its blocks by the number of words. The longest that fit are looked up, as a
+    phrase that is not rare has no rare phrase in it.
+    """
+    go_on = F.lit(True)
+    for k in range(2, longest + 1 if filters else 0):
+        size = max(n for n in filters if n <= k)
+        known, blocks = filters[size]
+        rows = rows.withColumn(f"h{k}", F.when(go_on & F.col(f"w{k}").isNotNull(), key(WORDS[k - size : k])))
+        there = F.broadcast(known.select(F.col("block").alias(f"b{k}"), F.col("bits").alias(f"x{k}")))  # 64 Ki rows at most
+        rows = rows.join(there, block_of(f"h{k}", blocks) == F.col(f"b{k}"), "left")
+        go_on = holds(f"x{k}", f"h{k}")
+        rows = rows.withColumn(f"w{k}", F.when(go_on, F.col(f"w{k}")))
+    return rows.select("lang", *WORDS[:longest])
 
 
 def windows(found: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """lang, w1 to w5 and n: how often each longest window occurs, padded with empty words where the piece ends.
+    """lang, phrase and n: how often each longest window occurs, shorter where the piece ends.
 
-    A phrase is rare if two neighbours in it are, so a window is cut (and padded) before the first rare pair: no phrase
-    that occurs ``least`` times is lost, and hardly any rare window is shuffled. Pairs are told apart by a 64-bit hash,
-    whose collisions only leave a rare window uncut.
+    A phrase is rare if two or three neighbours in it are, so a window is cut before the last word of its first rare pair or
+    triple: no phrase that occurs ``least`` times is lost, and hardly any rare window is shuffled. Triples are counted where
+    both pairs are frequent. Frequent ones are known by Bloom filters over 64-bit hashes, whose errors only leave a rare
+    window uncut.
     """
-    rows = leads(found, LONGEST)
-    pairs = scratch.table_freeing("pairs", frequent_pairs(found, least))
-    if pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
-        go_on = F.lit(True)
-        for k in range(1, LONGEST):
-            known = F.broadcast(pairs.select(F.col("pair").alias(f"p{k}")))  # counted above
-            here = F.when(go_on & F.col(f"w{k + 1}").isNotNull(), pair_key(f"w{k}", f"w{k + 1}"))
-            rows = rows.withColumn(f"h{k}", here).join(known, F.col(f"h{k}") == F.col(f"p{k}"), "left")
-            go_on = F.col(f"p{k}").isNotNull()
-            rows = rows.withColumn(f"w{k + 1}", F.when(go_on, F.col(f"w{k + 1}")))
-    padded = [F.coalesce(w, F.lit("")).alias(w) for w in WORDS]
-    return scratch.table_freeing("windows", rows.groupBy("lang", *padded).agg(F.count("*").alias("n")))
+    filters: dict[int, tuple[DataFrame, int]] = {}
+    for size in CUTS:
+        rows = cut(leads(found, size), size, filters).where(F.col(WORDS[size - 1]).isNotNull())
+        often = rows.groupBy(key(WORDS[:size]).alias("hash")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        hashes = scratch.table_freeing(f"frequent_{size}", often.select("hash"))
+        blocks = blocks_for(hashes.count())
+        filters[size] = scratch.table_freeing(f"filter_{size}", phrase_filter(hashes, blocks)), blocks
+        scratch.drop(f"frequent_{size}")
+    rows = cut(leads(found, LONGEST), LONGEST, filters).select("lang", F.concat_ws(" ", *WORDS).alias("phrase"))
+    return scratch.table_freeing("windows", rows.groupBy("lang", "phrase").agg(F.count("*").alias("n")))
 
 
 def marginals(counted: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """lang, phrase, size and f of the phrases of one to five words that occur ``least`` times, and size 0 for all words.
 
-    ROLLUP sums the windows by ever shorter prefixes. A prefix with an empty word is a window that ended before.
+    Windows are summed by all their beginnings; the empty one is that of every window.
     """
-    levels = counted.rollup("lang", *WORDS).agg(F.sum("n").alias("f"))
-    size = sum(F.col(w).isNotNull().cast("int") for w in WORDS)
-    last = F.coalesce(*reversed(WORDS), F.lit("-"))
-    some = levels.where(F.col("lang").isNotNull() & (last != "") & ((F.col("f") >= least) | F.col("w1").isNull()))
-    return scratch.table_freeing("phrases", some.select("lang", F.concat_ws(" ", *WORDS).alias("phrase"), size.alias("size"), "f"))
+    blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    begins = [F.when(blanks >= k, F.substring_index("phrase", " ", k)) for k in range(1, LONGEST)]
+    each = counted.select("lang", F.explode(F.array(F.lit(""), *begins, F.col("phrase"))).alias("phrase"), "n").where("phrase IS NOT NULL")
+    size = F.when(F.col("phrase") == "", 0).otherwise(blanks + 1)
+    some = each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    return scratch.table_freeing("phrases", some.select("lang", "phrase", size.alias("size"), "f"))
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -117,7 +168,7 @@ def collocations(docs: DataFrame, scratch: Scratch, least: int = 100, keep: int
     shuffle files of each step are deleted once its table is written, so disk holds one step at a time.
     """
     counted = windows(pieces(docs), least, scratch)
-    scratch.drop("pairs")
+    scratch.drop(*[f"filter_{size}" for size in CUTS])
     phrases = marginals(counted, least, scratch)
     scratch.drop("windows")
     found = scratch.table_freeing("candidates", scored(phrases))

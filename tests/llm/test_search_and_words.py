@@ -189,6 +189,26 @@ def test_phrases_on_edges(spark, scratch):
     assert collocations.collocations(docs.limit(0), Scratch(spark)).count() == 0
 
 
+def test_windows_are_cut_past_the_pairs_a_filter_is_made_for(spark, scratch, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_PAIRS", 2)
+    rows = [(f"r{i} s{i} t{i} u{i} v{i}. one two three four five. one two q{i} two three p{i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = collocations.windows(collocations.pieces(docs), 100, scratch)
+    # 2,100 rare words, few of which stand before or behind anything, and what begins at the five others
+    assert found.count() < 2_300
+    assert {r.phrase for r in found.where("n >= 300").collect()} >= {"one two three four five", "one two", "five"}
+
+
+def test_filters_hold_all_their_phrases_and_few_others(spark):
+    hashes = spark.range(20_000).selectExpr("xxhash64(id) AS hash")
+    for blocks in (1, collocations.blocks_for(10_000)):
+        kept = collocations.phrase_filter(hashes.where("pmod(hash, 2) = 0"), blocks)
+        found = hashes.join(kept, collocations.block_of("hash", blocks) == kept.block, "left").withColumn("held", collocations.holds("bits", "hash"))
+        assert found.where("pmod(hash, 2) = 0 AND NOT held").count() == 0
+    assert found.where("pmod(hash, 2) = 1 AND held").count() < 500
+    assert collocations.blocks_for(0) == 1 and collocations.blocks_for(10**12) == 1 << 16
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 9 * 10**15
     rows = [("en", "", 0, big), ("en", "a b", 2, big - 7), ("en", "a", 1, big - 3), ("en", "b", 1, big - 1)]
